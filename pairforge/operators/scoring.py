@@ -63,8 +63,9 @@ def with_word_counts(pred: DataFrame) -> DataFrame:
     return pred.withColumn("gram", O.word_overlap(T.split_words(F.col("hyp")), T.split_words(F.col("ref"))))
 
 
-def with_rouge_counts(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("rouge", O.stem_overlap(T.rouge_tokens(F.col("hyp")), T.rouge_tokens(F.col("ref"))))
+def with_rouge_counts(pred: DataFrame, stemmed: bool = True) -> DataFrame:
+    overlap = O.stem_overlap if stemmed else O.plain_overlap
+    return pred.withColumn("rouge", overlap(T.rouge_tokens(F.col("hyp")), T.rouge_tokens(F.col("ref"))))
 
 
 # --- corpus formulas over summed counts ------------------------------------------------
@@ -114,20 +115,20 @@ def corpus_chrf(pred: DataFrame, by: list[str] = ()) -> DataFrame:
     return summed.select(*by, chrf_score(col("m"), col("h"), col("r")).alias("chrf"))
 
 
-def sentence_rouge(pred: DataFrame) -> DataFrame:
-    """Per pair ``rouge1, rouge2, rougeL`` F-measures on stems."""
+def sentence_rouge(pred: DataFrame, stemmed: bool = True) -> DataFrame:
+    """Per pair ``rouge1, rouge2, rougeL`` F-measures."""
     c = F.col("rouge")
 
     def f(match: Column, hyp: Column, ref: Column) -> Column:
         return f_measure(match / F.greatest(hyp, F.lit(1)), match / F.greatest(ref, F.lit(1)))
 
-    return with_rouge_counts(pred).withColumns(
+    return with_rouge_counts(pred, stemmed).withColumns(
         {"rouge1": f(c[0], c[1], c[2]), "rouge2": f(c[3], c[4], c[5]), "rougeL": f(c[6], c[1], c[2])}
     ).drop("rouge")
 
 
-def corpus_rouge(pred: DataFrame, by: list[str] = ()) -> DataFrame:
-    return sentence_rouge(pred).groupBy(*by).agg(
+def corpus_rouge(pred: DataFrame, by: list[str] = (), stemmed: bool = True) -> DataFrame:
+    return sentence_rouge(pred, stemmed).groupBy(*by).agg(
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("rouge1", "rouge2", "rougeL")]
     )
 

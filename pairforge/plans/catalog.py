@@ -432,6 +432,11 @@ def corpus_rouge(spark, d):
     return rounded(scoring.corpus_rouge(D.predictions(spark, d)))
 
 
+@query
+def corpus_rouge_unstemmed(spark, d):
+    return rounded(scoring.corpus_rouge(D.predictions(spark, d), stemmed=False).drop("rougeL"))
+
+
 @query
 def error_rates(spark, d):
     return rounded(scoring.error_rates(D.predictions(spark, d)))
