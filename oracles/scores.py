@@ -52,12 +52,27 @@ def bleu_sql() -> str:
 
 
 def chrf_sql() -> str:
-    chars = lambda c: f"string_split(regexp_replace({c}, {WS}, '', 'g'), '')"
+    """Equal pairs match in every gram; only the others are cut into grams."""
+    squash = lambda c: f"regexp_replace({c}, {WS}, '', 'g')"
+    sides = " UNION ALL ".join(
+        f"SELECT id, n, 1 - {s} AS is_hyp, substr({side}, i, n) AS g FROM (SELECT id, n, {side}, unnest(range(1, length({side}) - n + 2)) AS i "
+        "FROM orders WHERE h <> r)"
+        for s, side in ((0, "h"), (1, "r"))
+    )
+    extra = {
+        "seqs": f"SELECT row_number() OVER () AS id, {squash('source')} AS h, {squash('target')} AS r FROM pairs",
+        "orders": "SELECT id, h, r, unnest(range(1, 7)) AS n FROM seqs",
+        "matches": "SELECT n, sum(least(hc, rc)) AS m FROM (SELECT n, sum(is_hyp) AS hc, sum(1 - is_hyp) AS rc "
+        f"FROM ({sides}) GROUP BY id, n, g) GROUP BY n",
+        "totals": "SELECT n, sum(CASE WHEN length(r) >= n THEN greatest(length(h) - n + 1, 0) ELSE 0 END) AS h, "
+        "sum(greatest(length(r) - n + 1, 0)) AS r, sum(CASE WHEN h = r THEN greatest(length(h) - n + 1, 0) ELSE 0 END) AS same "
+        "FROM orders GROUP BY n",
+    }
     final = (
-        "SELECT round(100 * 5 * p * q / (4 * p + q), 6) AS chrf FROM (SELECT avg(m / h) AS p, avg(m / r) AS q FROM ("
-        "SELECT n, sum(m) AS m, sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS h, sum(r) AS r FROM counts GROUP BY n) WHERE h > 0 AND r > 0)"
+        "SELECT round(100 * 5 * p * q / (4 * p + q), 6) AS chrf FROM (SELECT avg((m + same) / h) AS p, avg((m + same) / r) AS q "
+        "FROM totals JOIN matches USING (n) WHERE h > 0 AND r > 0)"
     )
-    return with_tables(final, "pairs", extra={"seqs": _seqs(chars("source"), chars("target")), **_grams(6)})
+    return with_tables(final, "pairs", extra=extra)
 
 
 def gleu_sql(where: str = "") -> str:

@@ -100,14 +100,14 @@ def corrupt_word(word: Column, key: Column, p: float) -> Column:
     letters = F.lit(ASCII_LETTERS)
     deletable = F.char_length(word) > 1
     blocks = F.sequence(F.lit(0), F.floor((F.char_length(word) - 1) / 4).cast("int"))
-    gates = F.array_join(F.transform(blocks, lambda b: digest(key, "g", b)), "")
+    gates = F.transform(blocks, lambda b: digest(key, "g", b))
 
     def edited(gate: Column) -> Column:
         return F.array_join(
             F.transform(
                 F.split(word, ""),
                 lambda c, i: F.when(
-                    below(F.substring(gate, i * 8 + 1, F.lit(8)), p),
+                    below(F.substring(F.get(gate, F.shiftright(i, 2)), i.bitwiseAND(3) * 8 + 1, F.lit(8)), p),
                     corrupt_char(c, key_of(key, i), deletable),
                 ).otherwise(c),
             ),

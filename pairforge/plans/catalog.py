@@ -708,5 +708,6 @@ def stream_clean(spark, d):
 def stream_encoded(spark, d):
     words = stored(D.source_vocab(spark, d), "vocab")
     ids = D.marker_ids(words)
-    rows = inflight.encode(_document_stream(spark, d), words, ids["source:<unk>"], ids["source:<eos>"])
-    return run_to_table(rows, "encoded").select("doc_id", "sent_pos", joined("ids").alias("ids"))
+    tokens = inflight.encode_tokens(_document_stream(spark, d), words.drop("side"), ids["source:<unk>"])
+    table = run_to_table(tokens, "tokens")
+    return inflight.gather(table, ids["source:<eos>"]).select("doc_id", "sent_pos", joined("ids").alias("ids"))
