@@ -38,7 +38,7 @@ MARKUP_RULES: tuple[tuple[str, str, str], ...] = (
     ("percent_sign", r"%", " percent "),
     ("dollar_sign", r"\$", " dollar "),
     ("ampersand", r"&", " and "),
-    ("character_whitelist", r"[^a-zA-Z0-9\-'.?! ]", ""),
+    ("character_whitelist", r"[^a-zA-Z0-9\-'.?! ]+", ""),
     ("space_runs", r"\s+", " "),
     ("edge_spaces", r"^\s+|\s+$", ""),
     ("double_dash_words", r"\b--[A-Za-z0-9]+\b", ""),

@@ -30,11 +30,6 @@ def uniform(digest_col: Column, slot: int = 0) -> Column:
     return F.conv(word, 16, 10).cast("double") / F.lit(_SPAN)
 
 
-def choice_index(u: Column, n: Column | int) -> Column:
-    """0-based index of a uniform choice among ``n``."""
-    return F.floor(u * n).cast("int")
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` (a one-element transform)."""
     return F.transform(F.array(value), body)[0]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SENTENCE_END = r"[.!?]"
 WHITESPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+HAS_WORD = WHITESPACE.replace("[", "[^", 1).removesuffix("+")
+
 # Word / punctuation runs, as the subword pre-tokenizer cuts them.
 WORD_OR_PUNCT = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s]+"
 

@@ -18,12 +18,14 @@ def sentences(docs: DataFrame, tokenizer: str = "whitespace", keep_empty: bool =
     whitespace words; ``keep_empty`` keeps pieces without a word.
     """
     pieces = docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sent_pos", "piece"))
+    if not keep_empty:
+        # tested on the raw piece, so the word splitting below runs once
+        pieces = pieces.where(F.col("piece").rlike(T.HAS_WORD))
     if tokenizer == "social":
         sentence = F.array_join(T.social_tokens(F.col("piece")), " ")
     else:
         sentence = T.squeeze(F.col("piece"))
-    rows = pieces.select("doc_id", "sent_pos", sentence.alias("sentence"))
-    return rows if keep_empty else rows.where(F.col("sentence") != "")
+    return pieces.select("doc_id", "sent_pos", sentence.alias("sentence"))
 
 
 def first_sentences(rows: DataFrame, n: int) -> DataFrame:

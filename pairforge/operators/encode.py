@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import SEED, key_of
-from ..functions.noise import corrupt_words
+from ..functions.noise import corrupt_sentence
 from ..functions.text import words_of
 from .joins import lookup
 from .pairs import ON_THE_FLY
@@ -83,7 +83,7 @@ def decode_ids(encoded: DataFrame, ids: str, vocab: DataFrame, unknown: str = "<
 def renoise(decoded: DataFrame, epoch: int, p: float = ON_THE_FLY, seed: int = SEED) -> DataFrame:
     """Fresh noise on decoded text, another draw for every epoch."""
     key = key_of(seed, "epoch", epoch, F.col("ex_id"))
-    return decoded.withColumn("text", F.array_join(corrupt_words(words_of(F.col("text")), key, p), " "))
+    return decoded.withColumn("text", corrupt_sentence(F.col("text"), key, p))
 
 
 def encode_text(rows: DataFrame, vocab: DataFrame, unk: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.noise import corrupt_words
+from ..functions.noise import corrupt_sentence
 from ..functions.rng import SEED, key_of
 from ..functions.text import words_of
 
@@ -25,8 +25,10 @@ def variants(rows: DataFrame, times: int = TIMES, p: float = PROBABILITY, seed:
     )
     if times <= 0:
         keyed = keyed.where(F.lit(False))
-    noisy = corrupt_words(words_of(F.col("target")), key_of(seed, *map(F.col, ("doc_id", "sent_pos", "variant"))), p)
-    return keyed.select("doc_id", "sent_pos", "variant", F.array_join(noisy, " ").alias("source"), "target")
+    key = key_of(seed, *map(F.col, ("doc_id", "sent_pos", "variant")))
+    return keyed.select(
+        "doc_id", "sent_pos", "variant", corrupt_sentence(F.col("target"), key, p).alias("source"), "target"
+    )
 
 
 def unique_pairs(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ STARTUP_TRIALS = 3
 WARMUP_STEPS = 1
 TOP = 3
 
+STEPS_PER_CHUNK = 1024
+
 
 def sample_trials(ids: DataFrame, seed: int = SEED) -> DataFrame:
     """One uniform draw of every parameter per ``trial_id``; tied sizes share one draw."""
@@ -102,26 +107,38 @@ def best_per_trial(reports: DataFrame) -> DataFrame:
     return reports.groupBy("run_id").agg(F.greatest(F.lit(0.0), F.max("chrf")).alias("best_chrf"))
 
 
+def _earlier_medians(step: pd.DataFrame) -> pd.DataFrame:
+    """Running median of the values of earlier trials, from a list kept sorted."""
+    step = step.sort_values("trial_id")
+    seen: list[float] = []
+    medians: list[float | None] = []
+    for value in step["value"]:
+        half = len(seen) // 2
+        medians.append((seen[half] + seen[~half]) / 2 if seen else None)
+        insort(seen, value)
+    return step.assign(median=pd.Series(medians, index=step.index, dtype="float64"), n_earlier=range(len(step)))
+
+
 def median_pruning(
     reports: DataFrame, startup: int = STARTUP_TRIALS, warmup: int = WARMUP_STEPS
 ) -> DataFrame:
     """``pruned``: best value so far below the median of earlier trials at the same step.
 
     Needs ``trial_id, step, value``, unique on (trial, step). A trial is compared once
-    ``startup`` earlier trials reported the step and the step is past ``warmup``. The
-    number of trials is a parameter of the search, which bounds the windows.
+    ``startup`` earlier trials reported the step and the step is past ``warmup``. A step
+    has one number per trial and the trials of a search are counted in advance, which
+    bounds the groups; a window percentile would sort each frame anew.
     """
-    best = W.partitionBy("trial_id").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy("step").orderBy("trial_id").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        reports.withColumn("best", F.max("value").over(best))
-        .withColumn("median", F.percentile("value", F.lit(0.5)).over(earlier))
-        .withColumn("n_earlier", F.count("value").over(earlier))
-        .withColumn(
-            "pruned",
-            (F.col("n_earlier") >= startup) & (F.col("step") > warmup) & F.coalesce(F.col("best") < F.col("median"), F.lit(False)),
-        )
+    chunked = reports.withColumn("_chunk", F.floor(F.col("step") / STEPS_PER_CHUNK))
+    best = running(chunked, ["trial_id"], "_chunk", ["step"], {"best": ("max", F.col("value"), True)})
+    rows = best.select("trial_id", "step", "value", "best")
+    schema = f"{rows.schema.simpleString()[7:-1].replace(':', ' ')}, median double, n_earlier bigint"
+    pruned = (
+        (F.col("n_earlier") >= startup)
+        & (F.col("step") > warmup)
+        & F.coalesce(F.col("best") < F.col("median"), F.lit(False))
     )
+    return rows.groupBy("step").applyInPandas(_earlier_medians, schema).withColumn("pruned", pruned)
 
 
 def top_trials(results: DataFrame, k: int = TOP, score: str = "best_chrf", key: str = "run_id") -> DataFrame:

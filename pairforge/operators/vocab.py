@@ -22,17 +22,25 @@ def token_rows(rows: DataFrame, sentence: str) -> DataFrame:
     )
 
 
-def source_tokens(sentences: DataFrame, variants: DataFrame) -> DataFrame:
+def source_tokens(variants: DataFrame) -> DataFrame:
     """Tokens of the originals (variant 0) and of the variants that changed.
 
-    An unchanged variant only repeats tokens its original has shown before, so it adds
-    no vocabulary entry and moves no first occurrence.
+    The originals are the targets of the first variants. An unchanged variant only repeats
+    tokens its original has shown before, so it adds no entry and moves no first place.
     """
-    originals = sentences.select("doc_id", "sent_pos", F.lit(0).alias("variant"), "sentence")
-    changed = variants.where(F.col("source") != F.col("target")).select(
-        "doc_id", "sent_pos", "variant", F.col("source").alias("sentence")
+    first = F.struct(F.lit(0).alias("variant"), F.col("target").alias("sentence"))
+    own = F.struct("variant", F.col("source").alias("sentence"))
+    shown = F.array(
+        F.when(F.col("variant") == 1, first), F.when(F.col("source") != F.col("target"), own)
     )
-    return token_rows(originals.unionByName(changed), "sentence")
+    rows = variants.select("doc_id", "sent_pos", F.explode(F.array_compact(shown)).alias("s"))
+    return token_rows(rows.select("doc_id", "sent_pos", "s.*"), "sentence")
+
+
+def original_tokens(variants: DataFrame) -> DataFrame:
+    """Tokens of the originals of a variant table."""
+    originals = variants.where(F.col("variant") == 1).withColumn("variant", F.lit(0))
+    return token_rows(originals, "target")
 
 
 def target_tokens(sentences: DataFrame) -> DataFrame:

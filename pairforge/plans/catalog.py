@@ -448,13 +448,18 @@ def prefix_agreement(spark, d):
 
 
 def _id_predictions(spark, d):
-    """Both sides of every pair as source-vocabulary ids behind a start marker."""
-    words = stored(D.source_vocab(spark, d), "vocab")
+    """Both sides of every pair, as text and as source-vocabulary ids behind a start marker."""
+    variants = D.stored_variants(spark, d)
+    numbered = D.number(pairs.unique_pairs(variants))
+    words = stored(vocab.build_vocab(vocab.source_tokens(variants), "source"), "vocab")
     both = words.unionByName(words.withColumn("side", F.lit("target")))
     sos = D.marker_ids(words)["source:<sos>"]
-    encoded = encode.encode_pairs(D.numbered_pairs(spark, d), both, {"unk": -1, "eos": -2, "sos": sos})
-    return encoded.select(
+    encoded = encode.encode_pairs(numbered, both, {"unk": -1, "eos": -2, "sos": sos})
+    texts = numbered.select("ex_id", F.col("source").alias("hyp"), F.col("target").alias("ref"))
+    return encoded.join(texts, "ex_id").select(
         "ex_id",
+        "hyp",
+        "ref",
         F.concat(F.array(F.lit(sos)), sequences.cut_at(F.col("source_ids"), -2)).alias("hyp_ids"),
         F.col("target_ids").alias("ref_ids"),
     )
@@ -500,9 +505,7 @@ def score_report(spark, d):
 
 
 def _report(spark, d):
-    ids = _id_predictions(spark, d)
-    rows = D.numbered_pairs(spark, d).select("ex_id", F.col("source").alias("hyp"), F.col("target").alias("ref"))
-    pred = stored(rows.join(ids, "ex_id"), "report")
+    pred = stored(_id_predictions(spark, d), "report")
     return scoring.full_report(pred, D.token_scores(spark, d), pad=0)
 
 

@@ -35,9 +35,18 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unique_pairs(variant_rows(spark, sf_dir))
 
 
-def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def number(rows: DataFrame) -> DataFrame:
     """Pairs with ``ex_id``, their rank by first place."""
-    return indexing.dense_index(pair_rows(spark, sf_dir), ["doc_id", "sent_pos", "variant"], "ex_id")
+    return indexing.dense_index(rows, ["doc_id", "sent_pos", "variant"], "ex_id")
+
+
+def numbered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return number(pair_rows(spark, sf_dir))
+
+
+def stored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant table written once, for plans that read it more than once."""
+    return stored(variant_rows(spark, sf_dir), "variants")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,16 +61,21 @@ def labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = sentence_rows(spark, sf_dir)
-    return vocab.build_vocab(vocab.source_tokens(sents, pairs.variants(sents)), "source")
+    return vocab.build_vocab(vocab.source_tokens(variant_rows(spark, sf_dir)), "source")
 
 
 def target_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.build_vocab(vocab.target_tokens(sentence_rows(spark, sf_dir)), "target")
 
 
+def vocabs_of(variants: DataFrame) -> DataFrame:
+    """Source and target vocabulary of a stored variant table."""
+    source = vocab.build_vocab(vocab.source_tokens(variants), "source")
+    return source.unionByName(vocab.build_vocab(vocab.original_tokens(variants), "target"))
+
+
 def both_vocabs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_vocab(spark, sf_dir).unionByName(target_vocab(spark, sf_dir))
+    return vocabs_of(stored_variants(spark, sf_dir))
 
 
 def marker_ids(words: DataFrame) -> dict[str, int]:
@@ -72,10 +86,11 @@ def marker_ids(words: DataFrame) -> dict[str, int]:
 
 def encoded_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
     """Word-mode encoding of all pairs and the marker ids."""
-    words = stored(both_vocabs(spark, sf_dir), "vocab")
+    variants = stored_variants(spark, sf_dir)
+    words = stored(vocabs_of(variants), "vocab")
     ids = marker_ids(words)
     markers = {"unk": ids["source:<unk>"], "eos": ids["source:<eos>"], "sos": ids["target:<sos>"]}
-    return encode.encode_pairs(numbered_pairs(spark, sf_dir), words, markers), ids
+    return encode.encode_pairs(number(pairs.unique_pairs(variants)), words, markers), ids
 
 
 def kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
