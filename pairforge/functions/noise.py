@@ -4,9 +4,8 @@ Gates and draws are read from digests of ``key``, which callers build from the r
 identity, so a retried task or another partitioning gives the same typos.
 
 The sentence gate is a built-in expression and only the sentences that pass it (a share
-``p``) reach the Arrow helper. A form with nested ``transform`` lambdas gave the same
-rows at seven times the CPU: lambda bodies are interpreted, and every character of a
-touched sentence needs a digest.
+``p``) reach the Arrow helper. Nested ``transform`` lambdas give the same rows but cost
+more: lambda bodies are interpreted, and every few characters need a digest.
 """ 
 
 from __future__ import annotations
@@ -40,13 +39,13 @@ ASCII_LETTERS = string.ascii_letters
 _NEAR = {**QWERTY_NEIGHBOURS, **{k.upper(): v.upper() for k, v in QWERTY_NEIGHBOURS.items()}}
 
 
-def _hex(key: str) -> str:
-    return md5(key.encode()).hexdigest()
+def _bytes(key: str) -> bytes:
+    return md5(key.encode(), usedforsecurity=False).digest()
 
 
-def _draw(hex_digest: str, slot: int, n: int) -> int:
+def _draw(digest_bytes: bytes, slot: int, n: int) -> int:
     """0-based choice among ``n`` from one 32-bit slot of a digest."""
-    return int(hex_digest[8 * slot : 8 * slot + 8], 16) * n >> 32
+    return int.from_bytes(digest_bytes[4 * slot : 4 * slot + 4]) * n >> 32
 
 
 def _edited(char: str, key: str, deletable: bool) -> str:
@@ -55,7 +54,7 @@ def _edited(char: str, key: str, deletable: bool) -> str:
     if near is None:
         # digits stay, anything else that is no keyboard letter is dropped
         return char if char.isdecimal() else ""
-    draw = _hex(key)
+    draw = _bytes(key)
     kind = ("add", "delete", "change")[_draw(draw, 0, 3)] if deletable else ("add", "change")[_draw(draw, 0, 2)]
     if kind == "delete":
         return ""
@@ -63,7 +62,13 @@ def _edited(char: str, key: str, deletable: bool) -> str:
     return char + typed if kind == "add" else typed
 
 
-def typo(word: str, key: str, p: float) -> str:
+def _limit(p: float) -> bytes:
+    """Four-byte draws below this are the draws below ``p``."""
+    whole = math.ceil(p * 4294967296)
+    return b"\xff" * 5 if whole > 0xFFFFFFFF else max(whole, 0).to_bytes(4)
+
+
+def typo(word: str, key: str, limit: bytes) -> str:
     """A noisy form of ``word``: edits per character, then perhaps a stray last letter.
 
     Never empty (a random letter stands in) and never touches special tokens. The gates
@@ -71,30 +76,34 @@ def typo(word: str, key: str, p: float) -> str:
     """
     if word in SPECIAL_TOKENS:
         return word
-    limit = math.ceil(p * 4294967296)
-    gates = "".join(_hex(f"{key}|g|{b}") for b in range((len(word) + 3) // 4))
-    parts = [
-        _edited(char, f"{key}|{i}", len(word) > 1) if int(gates[8 * i : 8 * i + 8], 16) < limit else char
-        for i, char in enumerate(word)
-    ]
-    last = _hex(key)
-    if int(last[:8], 16) < limit:
-        parts.append(ASCII_LETTERS[_draw(last, 1, 52)])
-    return "".join(parts) or ASCII_LETTERS[_draw(last, 2, 52)]
+    size = len(word)
+    gates = b"".join([_bytes(f"{key}|g|{b}") for b in range((size + 3) // 4)])
+    hit = [i for i in range(size) if gates[4 * i : 4 * i + 4] < limit]
+    if hit:
+        parts = list(word)
+        for i in hit:
+            parts[i] = _edited(parts[i], f"{key}|{i}", size > 1)
+        word = "".join(parts)
+    last = _bytes(key)
+    if last[:4] < limit:
+        word += ASCII_LETTERS[_draw(last, 1, 52)]
+    return word or ASCII_LETTERS[_draw(last, 2, 52)]
 
 
 @F.pandas_udf(T.StringType())
 def _noisy_words(words: pd.Series, keys: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([typo(w, k, rate) for w, k, rate in zip(words, keys, p)], dtype=object)
+    limit = _limit(p.iloc[0])
+    return pd.Series([typo(w, k, limit) for w, k in zip(words, keys)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def _noisy_sentences(sentences: pd.Series, keys: pd.Series, p: pd.Series) -> pd.Series:
     """Word-for-word noise; null rows (sentences left alone) stay null."""
+    limit = _limit(p.iloc[0])
     return pd.Series(
         [
-            None if s is None else " ".join([typo(w, f"{k}|{i}", rate) for i, w in enumerate(s.split(" "))])
-            for s, k, rate in zip(sentences, keys, p)
+            None if s is None else " ".join([typo(w, f"{k}|{i}", limit) for i, w in enumerate(s.split(" "))])
+            for s, k in zip(sentences, keys)
         ],
         dtype=object,
     )
