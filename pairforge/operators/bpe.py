@@ -115,6 +115,19 @@ def safe_prefix(frontier: list[tuple[str, str, int]], ids: dict[str, int], compl
     return chosen
 
 
+def _frontier(pairs: DataFrame, order: list[Column]) -> list[tuple[str, str, int]]:
+    return [(r["left"], r["right"], r["n"]) for r in pairs.orderBy(*order).limit(_FRONTIER).collect()]
+
+
+def _by_ids(pairs: DataFrame, ids: dict[str, int]) -> tuple[DataFrame, list[Column]]:
+    """Pairs with their symbol ids (the vocabulary so far, broadcast) and that order."""
+    known = pairs.sparkSession.createDataFrame(list(ids.items()), "s string, i int")
+    for side in ("left", "right"):
+        named = known.select(F.col("s").alias(side), F.col("i").alias(f"{side}_id"))
+        pairs = pairs.join(F.broadcast(named), side)
+    return pairs, [F.desc("n"), F.col("left_id"), F.col("right_id")]
+
+
 def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_merges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Exact training: returns ``merges(rank, left, right, merged, n)`` and ``vocab(token, id)``.
 
@@ -126,17 +139,19 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_merges: int | Non
     """
     spark = counts.sparkSession
     words = stored(counts.select("word", "n", as_symbols(F.col("word")).alias("symbols")), "bpe")
-    letters = words.select(F.explode(symbol_array(F.col("symbols"))).alias("c")).distinct().limit(vocab_size)
-    alphabet = sorted(r["c"] for r in letters.collect())
+    letters = words.select(F.explode(symbol_array(F.col("symbols"))).alias("c")).distinct()
+    alphabet = sorted(r["c"] for r in letters.collect())  # single characters: bounded by Unicode
     ids = {token: i for i, token in enumerate([*MARKERS, *alphabet])}
     merges: list[tuple[int, str, str, str, int]] = []
     budget = vocab_size - len(ids) if max_merges is None else max_merges
     pending = 0
     while len(merges) < budget and len(ids) < vocab_size:
-        top = pair_counts(words).orderBy(F.desc("n"), "left", "right").limit(_FRONTIER)
-        frontier = [(r["left"], r["right"], r["n"]) for r in top.collect()]
+        frontier = _frontier(pair_counts(words), [F.desc("n"), F.col("left"), F.col("right")])
         if not frontier:
             break
+        if len(frontier) == _FRONTIER and frontier[0][2] == frontier[-1][2]:
+            # ties fill the list: only the order by symbol ids says which pairs belong in it
+            frontier = _frontier(*_by_ids(pair_counts(words), ids))
         for left, right, n in safe_prefix(frontier, ids, len(frontier) < _FRONTIER):
             if len(merges) == budget or len(ids) >= vocab_size:
                 break

@@ -127,6 +127,14 @@ def test_bpe_equals_library(spark):
     assert decoded == tok.decode(got)
 
 
+def test_bpe_with_ties_beyond_the_frontier(spark, monkeypatch):
+    counts = bpe.word_counts(sents(spark, CORPUS))
+    merges, words = bpe.train(counts, vocab_size=50)
+    monkeypatch.setattr(bpe, "_FRONTIER", 2)
+    few, same = bpe.train(counts, vocab_size=50)
+    assert sorted(few.collect()) == sorted(merges.collect()) and sorted(same.collect()) == sorted(words.collect())
+
+
 def test_safe_prefix_stops_at_shared_symbols():
     ids = {c: i for i, c in enumerate("abcdef")}
     frontier = [("a", "b", 9), ("c", "d", 8), ("b", "c", 7), ("e", "f", 5)]
