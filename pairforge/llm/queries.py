@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pii, quality
+from . import bpe, jaccard, mixing, pii, quality, substrings
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +25,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, sf_dir, "documents"), n_words=3, p=90, q=100)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_pii": op3_pii,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_repeated_passages": op5_repeated_passages,
     "op7_source_mix": op7_source_mix,
     "op9_quality_rules": op9_quality_rules,
 }
