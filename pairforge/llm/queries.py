@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pages, pii, quality, substrings, toxicity
+from . import bpe, jaccard, mixing, neighbours, pages, pii, quality, substrings, token_counts, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document as it is and with its digit runs masked."""
+    edited = token_counts.masked_digits(table(spark, sf_dir, "documents"))
+    return token_counts.count_edited(edited, RANKS, PATTERN)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -48,8 +54,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_token_counts": op2_token_counts,
     "op3_pii": op3_pii,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeated_passages": op5_repeated_passages,
@@ -57,4 +68,5 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op8_main_text": op8_main_text,
     "op9_quality_rules": op9_quality_rules,
+    "op10_nearest": op10_nearest,
 }
