@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
-from .common import only, slices, texts
+from .common import only, sieve, slices, texts
 from .components import components
 from .hashing import Words, mix, shingles
 
@@ -148,7 +148,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "words"])
 
     on = (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    fetched = docs.join(wanted, on).select("text", "places")
+    fetched = sieve(docs, "address", wanted, "at")[0].join(wanted.hint("merge"), on).select("text", "places")
     return fetched.mapInArrow(run, "unit bigint, words array<bigint>").dropDuplicates(["unit"])
 
 
@@ -194,7 +194,7 @@ def repeated_passages(
     units = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
     one = places.join(units, F.col("unit") == F.col("u")).groupBy("unit").agg(F.min(F.struct("address", "doc_id", "place")).alias("one"))
     wanted = one.groupBy(F.col("one.address").alias("at"), F.col("one.doc_id").alias("id")).agg(F.collect_list("one.place").alias("places"))
-    contents = stored(_contents(rows, wanted, window, shingle), "contents")
+    contents = stored(_contents(rows, stored(wanted, "wanted"), window, shingle), "contents")
     sides = [contents.select(F.col("unit").alias(f"{x}u"), F.col("words").alias(f"{x}w")) for x in "ab"]
     joined = pairs.join(sides[0], F.col("a") == F.col("au")).join(sides[1], F.col("b") == F.col("bu"))
     same = F.size(F.array_intersect("aw", "bw"))
