@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from ..session import scratch_path, stored
-from .common import fresh, only, slices, texts
+from .common import fresh, only, sieve, slices, texts
 from .components import components
 from .hashing import Words, mix, shingles
 
@@ -26,6 +26,15 @@ FLUSH = 1 << 21
 GROUP_SETS, GROUP_SHINGLES = 256, 1 << 19
 
 
+#: Documents, and frequent shingles of theirs, that the order of shingles is taken from.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 1 << 17
+
+
+def by_block(p: int, q: int) -> bool:
+    """Whether blocks, one more than elements may differ, have six elements or more."""
+    return 6 * (1 + q / p) * (q - p) <= q + p
+
+
 class Signatures:
     """Keys such that any two linked sets share one.
 
@@ -36,22 +45,33 @@ class Signatures:
     intersection, so the intersection is one of its subsets of n - d to n elements. All of
     those are enumerated; their number is C(n, d) and so on.
 
-    *Heavy* sets go to inverted lists. The elements are dealt by hash into more blocks
-    than elements may differ, so that linked sets agree on a whole block, and the lists
-    are kept by block content: scanning a list by single shingles would compare all
-    documents that share a passage, which grows with the square of their number.
-
-    The boundary is the largest size at which the subsets cost no more than the block
-    postings; a posting of a small set's short block is priced higher, since more unlike
-    sets share it and have to be compared.
+    *Heavy* sets go to inverted lists, which are kept in one of two ways. If few elements
+    may differ, the elements are dealt by hash into more blocks than that, so that linked
+    sets agree on a whole block, and lists are kept by block content: lists by single
+    shingles would hold all documents that share a passage. Blocks of less than about six
+    shingles are no better than shingles; so at lower thresholds lists are kept by single
+    shingles, those of the n - ceil(n p / q) + 1 first in an order that all sets share:
+    linked sets share one of them. ``frequent`` shingles come last in it, the rest goes by
+    hash. Any order finds all links; this one keeps the lists short.
+
+    The boundary is the largest size at which the subsets cost no more than the postings;
+    a posting of a small set is priced higher, since more unlike sets share it and have to
+    be compared.
     """
 
-    def __init__(self, p: int, q: int, price: float = 4.0) -> None:
+    def __init__(self, p: int, q: int, frequent: np.ndarray | None = None, price: float = 4.0) -> None:
         self.p, self.q = p, q
+        self.frequent = np.zeros(0, np.uint64) if frequent is None else frequent
+        self.by_block = by_block(p, q)
         self.boundary = 0
-        while self._subsets(self.boundary + 1) <= price * len(self._blocks(self.boundary + 1)) * self._count(self.boundary + 1):
+        while self._subsets(self.boundary + 1) <= price * self._postings(self.boundary + 1):
             self.boundary += 1
-        self.seeds = mix(np.arange(1, 4096, dtype=np.uint64))
+
+    def _postings(self, n: int) -> int:
+        return len(self._blocks(n)) * self._block_count(self._range(n)) if self.by_block else self._prefix(n)
+
+    def _prefix(self, n: int) -> int:
+        return n - -(-n * self.p // self.q) + 1
 
     def _missing(self, n: int) -> int:
         return n * (self.q - self.p) // self.q
@@ -62,9 +82,6 @@ class Signatures:
     def _range(self, n: int) -> int:
         return floor(log(n) / log(RANGE) + 1e-9)
 
-    def _count(self, n: int) -> int:
-        return self._block_count(self._range(n))
-
     def _block_count(self, k: int) -> int:
         """One block more than elements may differ when the smaller set is of range k, and the spare ones."""
         top = RANGE ** (k + 1)
@@ -83,9 +100,16 @@ class Signatures:
         if n <= self.boundary:
             out.append(self._subset_keys(mixed))
         if n * self.q > self.boundary * self.p:  # it may have a heavy partner
-            out.extend(self._block_keys(mixed, k) for k in self._blocks(n))
+            if self.by_block:
+                out.extend(self._block_keys(mixed, k) for k in self._blocks(n))
+            else:
+                out.append(self._first_elements(elements, mixed))
         return np.concatenate(out)
 
+    def _first_elements(self, elements: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        late = np.isin(elements, self.frequent, assume_unique=True)
+        return mix(mixed[np.lexsort((mixed, late))[: self._prefix(len(elements))]])
+
     def _subset_keys(self, mixed: np.ndarray) -> np.ndarray:
         sums = mixed.sum(keepdims=True)  # wraps around: order-free
         n, out = len(mixed), []
@@ -113,6 +137,27 @@ class Signatures:
         return np.concatenate([keys, mix(mix(void + seed))])
 
 
+def _frequent(docs: DataFrame, n_words: int) -> np.ndarray:
+    """Shingles that come twice or more in a sample of documents: at most ``ORDER_SHINGLES``, sorted.
+
+    They only set the order in which a set's shingles are listed; every document is joined
+    in full whatever the sample holds.
+    """
+    share = ORDER_DOCS / max(docs.count(), ORDER_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words()
+        for batch in slices(batches):
+            found = [np.unique(shingles(hashed(t), n_words)) for t in texts(batch)]
+            value, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times, pa.int64())], ["shingle", "times"])
+
+    sample = docs.where(F.pmod("address", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).mapInArrow(run, "shingle bigint, times bigint")
+    counts = sample.groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 1")
+    top = counts.orderBy(F.desc("times"), "shingle").limit(ORDER_SHINGLES).select("shingle").toPandas()
+    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
 def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
     """Write, in one pass over the texts, the parts ``kind=0`` (a row per document), ``kind=1``
     (postings) and ``kind=2`` (pairs); returns the path.
@@ -122,9 +167,10 @@ def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
     posting from each task at most, also when a third of all documents have it.
     """
     schema = "kind int, doc_id bigint, address bigint, n int, set_id bigint, other bigint"
+    frequent = None if by_block(p, q) else docs.sparkSession.sparkContext.broadcast(_frequent(docs, n_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sign = Words(), Signatures(p, q)
+        hashed, sign = Words(), Signatures(p, q, frequent and frequent.value)
         names = ["kind", "doc_id", "address", "n", "set_id", "other"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         keys: list[np.ndarray] = []
@@ -294,8 +340,9 @@ def similar_sets(
     blocks = F.ceil(F.greatest(F.col("sets") * 2 / GROUP_SETS, F.col("shingles") * 2 / GROUP_SHINGLES))
     blocks = F.when((F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES), 1).otherwise(blocks)
     sizes = sizes.select(F.col("cluster").alias("c"), blocks.cast("int").alias("blocks"))
-    fetched = rows.join(
-        members, (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    # the same kind of join at every size: with the filter before it, few texts move
+    fetched = sieve(rows, "address", members, "at")[0].join(
+        members.hint("merge"), (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
     ).select("cluster", "set_id", "text")
     dealt = fetched.join(sizes, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -343,6 +390,7 @@ def drop_similar(
     marked = docs.withColumn(names["own"], F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     on = (F.col(names["own"]) == F.col(names["address"])) & F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(names["doc_id"]))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = marked.join(addresses, on, "left_anti").select(*columns)
-    several = marked.join(addresses.where(F.col(names["stays"])), on, "left_semi").dropDuplicates([id_col, names["own"]])
-    return single.unionByName(several.select(*columns))
+    met, clear = sieve(marked, names["own"], addresses, names["address"])
+    single = met.join(addresses, on, "left_anti")
+    several = met.join(addresses.where(F.col(names["stays"])), on, "left_semi").dropDuplicates([id_col, names["own"]])
+    return clear.select(*columns).unionByName(single.select(*columns)).unionByName(several.select(*columns))
