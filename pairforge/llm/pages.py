@@ -132,7 +132,8 @@ def _first_pass(
 def _second_pass(labels: list[str]) -> list[bool]:
     """Undecided blocks take the label of the nearest decided neighbours.
 
-    Where those differ, ``near`` is good, and ``short`` follows the closer one, bad on a tie.
+    Where those differ, ``near`` is good, and ``short`` follows the closer one,
+    on a tie the one behind it, as headings do.
     Without a decided neighbour on a side, that side is bad.
     """
     n = len(labels)
@@ -154,7 +155,7 @@ def _second_pass(labels: list[str]) -> list[bool]:
         elif left == right or label == "near":
             out.append(left or right)
         else:
-            out.append(left if to_left < to_right else right if to_right < to_left else False)
+            out.append(left if to_left < to_right else right)
     return out
 
 
