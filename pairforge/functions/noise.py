@@ -53,7 +53,7 @@ def _edited(char: str, key: str, deletable: bool) -> str:
     near = _NEAR.get(char)
     if near is None:
         # digits stay, anything else that is no keyboard letter is dropped
-        return char if char.isdecimal() else ""
+        return char if char.isdigit() else ""
     draw = _bytes(key)
     kind = ("add", "delete", "change")[_draw(draw, 0, 3)] if deletable else ("add", "change")[_draw(draw, 0, 2)]
     if kind == "delete":

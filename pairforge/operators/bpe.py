@@ -96,8 +96,10 @@ def safe_prefix(frontier: list[tuple[str, str, int]], ids: dict[str, int], compl
 
     Pairs come by count, ties by symbol ids. A merge of (a, b) only changes pairs that
     touch a or b, and a pair it creates is at most as frequent as the old (x, a) or
-    (b, y) it came from. So the next pair is certain while it shares no symbol with the
-    merges before it and is strictly more frequent than anything those can create.
+    (b, y) it came from; for a doubled symbol that includes (a, a) itself. So the next pair
+    is certain while it shares no symbol with the merges before it and is strictly more
+    frequent than anything those can create. If the merged string is a symbol already, its
+    present pairs gain counts that are not known here, so nothing after it is certain.
     """
     ranked = sorted(frontier, key=lambda p: (-p[2], ids[p[0]], ids[p[1]]))
     floor = 0 if complete else ranked[-1][2]
@@ -110,7 +112,9 @@ def safe_prefix(frontier: list[tuple[str, str, int]], ids: dict[str, int], compl
             break
         chosen.append((left, right, n))
         touched |= {left, right}
-        near = [c for a, b, c in frontier if (a, b) != (left, right) and (b == left or a == right)]
+        if left + right in ids:
+            break
+        near = [c for a, b, c in frontier if ((a, b) != (left, right) or left == right) and (b == left or a == right)]
         ceiling = max([ceiling, floor, *near])
     return chosen
 
@@ -166,10 +170,9 @@ def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_merges: int | Non
     return spark.createDataFrame(merges, MERGE_SCHEMA), vocab
 
 
-def merge_list(merges: DataFrame, vocab_size: int = VOCAB_SIZE) -> list[tuple[str, str]]:
-    """The merges in rank order; at most ``vocab_size`` rows."""
-    rows = merges.orderBy("rank").limit(vocab_size).collect()
-    return [(r["left"], r["right"]) for r in rows]
+def merge_list(merges: DataFrame) -> list[tuple[str, str]]:
+    """All merges in rank order: as many as the vocabulary was trained for."""
+    return [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
 
 
 def segmenter(merges: list[tuple[str, str]]):
@@ -209,9 +212,10 @@ def encode(rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unk
 
     Every distinct word is segmented once and its ids are looked up once; occurrences only
     join the result. Characters outside the alphabet are dropped, or become ``unknown``.
+    A row without words keeps its place, with no ids.
     """
-    tokens = rows.select("ex_id", F.posexplode(words_of(F.col("text"))).alias("pos", "raw"))
-    distinct = tokens.select("raw").distinct().withColumn("norm", normalise(F.col("raw")))
+    tokens = rows.select("ex_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "raw"))
+    distinct = tokens.where(F.col("raw").isNotNull()).select("raw").distinct().withColumn("norm", normalise(F.col("raw")))
     parts = distinct.select("raw", F.posexplode(word_or_punct(F.col("norm"))).alias("k", "word"))
     pieces = parts.select("raw", "k", F.posexplode(segmenter(merges)(F.col("word"))).alias("j", "token"))
     known = lookup(pieces, vocab.select("token", "id"), ["token"])
@@ -221,13 +225,14 @@ def encode(rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unk
         F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["id"]).alias("word_ids")
     )
     joined = lookup(tokens, by_word, ["raw"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("v"))))
+    held = F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), held)))
     return joined.groupBy("ex_id").agg(F.flatten(F.transform(ordered, lambda x: x["v"])).alias("ids"))
 
 
 def decode(encoded: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
-    """``ex_id, text``: pieces joined by spaces, markers skipped."""
-    tokens = encoded.select("ex_id", F.posexplode(ids).alias("pos", "id"))
-    words = lookup(tokens, vocab.select("id", "token"), ["id"]).where(~F.col("token").isin(*MARKERS))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    """``ex_id, text``: pieces joined by spaces, markers skipped; an empty text if nothing is left."""
+    tokens = encoded.select("ex_id", F.posexplode_outer(ids).alias("pos", "id"))
+    words = lookup(tokens, vocab.select("id", "token"), ["id"])
+    ordered = F.array_sort(F.collect_list(F.when(~F.col("token").isin(*MARKERS), F.struct("pos", "token"))))
     return words.groupBy("ex_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"))

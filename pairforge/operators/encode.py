@@ -16,19 +16,19 @@ MAX_LEN = 175
 
 
 def pair_tokens(pairs: DataFrame) -> DataFrame:
-    """``ex_id, side, pos, token``: both sides of a pair from one explode."""
+    """``ex_id, side, pos, token``: both sides of a pair from one explode; a side without words has one row of nulls."""
     both = F.array(
         F.struct(F.lit("source").alias("side"), words_of(F.col("source")).alias("words")),
         F.struct(F.lit("target").alias("side"), words_of(F.col("target")).alias("words")),
     )
     return pairs.select("ex_id", F.explode(both).alias("s")).select(
-        "ex_id", F.col("s.side").alias("side"), F.posexplode("s.words").alias("pos", "token")
+        "ex_id", F.col("s.side").alias("side"), F.posexplode_outer("s.words").alias("pos", "token")
     )
 
 
 def _ordered(cond: Column, value: Column) -> Column:
     """Values in position order, of the rows where ``cond`` holds."""
-    items = F.collect_list(F.when(cond, F.struct(F.col("pos"), value.alias("v"))))
+    items = F.collect_list(F.when(cond & F.col("pos").isNotNull(), F.struct(F.col("pos"), value.alias("v"))))
     return F.transform(F.array_sort(items), lambda x: x["v"])
 
 
@@ -44,7 +44,7 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, markers: dict[str, int]) ->
     grouped = ids.groupBy("ex_id").agg(
         _ordered(on_source, F.coalesce(F.col("id"), F.lit(markers["unk"]))).alias("src"),
         _ordered(~on_source, F.col("id")).alias("tgt"),
-        F.count_if(~on_source & F.col("id").isNull()).alias("missing"),
+        F.count_if(~on_source & F.col("token").isNotNull() & F.col("id").isNull()).alias("missing"),
     )
     return grouped.where(F.col("missing") == 0).select(
         "ex_id",
@@ -66,15 +66,16 @@ def keep_short(encoded: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 def missing_tokens(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """``side, token, n``: tokens absent from the vocabulary, counted before the anti join."""
-    counts = pair_tokens(pairs).groupBy("side", "token").agg(F.count("*").alias("n"))
+    counts = pair_tokens(pairs).where(F.col("token").isNotNull()).groupBy("side", "token").agg(F.count("*").alias("n"))
     return counts.join(vocab.select("side", "token"), ["side", "token"], "left_anti")
 
 
 def decode_ids(encoded: DataFrame, ids: str, vocab: DataFrame, unknown: str = "<UNK>") -> DataFrame:
     """``ex_id, text``: words of an id column joined by spaces, ``unknown`` for other ids."""
-    tokens = encoded.select("ex_id", F.posexplode(ids).alias("pos", "id"))
+    tokens = encoded.select("ex_id", F.posexplode_outer(ids).alias("pos", "id"))
     words = lookup(tokens, vocab.select(F.col("id").cast("int").alias("id"), "token"), ["id"])
-    pairs = F.collect_list(F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("w")))
+    word = F.struct("pos", F.coalesce("token", F.lit(unknown)).alias("w"))
+    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), word))
     return words.groupBy("ex_id").agg(
         F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ").alias("text")
     )
@@ -88,7 +89,7 @@ def renoise(decoded: DataFrame, epoch: int, p: float = ON_THE_FLY, seed: int = S
 
 def encode_text(rows: DataFrame, vocab: DataFrame, unk: int) -> DataFrame:
     """``ex_id, ids`` of ``rows(ex_id, text)``; unknown words become ``unk``."""
-    tokens = rows.select("ex_id", F.posexplode(words_of(F.col("text"))).alias("pos", "token"))
+    tokens = rows.select("ex_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "token"))
     ids = lookup(tokens, vocab.select("token", F.col("id").cast("int").alias("id")), ["token"])
     return ids.groupBy("ex_id").agg(
         _ordered(F.lit(True), F.coalesce(F.col("id"), F.lit(unk))).alias("ids")

@@ -63,13 +63,13 @@ def is_validation(line: Column) -> Column:
 def chrf_of(line: Column) -> Column:
     """The chrF of a validation line, null for any other line."""
     found = F.regexp_extract(line, CHRF_VALUE, 1)
-    return F.when(is_validation(line) & (found != ""), found.cast("double"))
+    return F.when(is_validation(line) & (found != ""), found.try_cast("double"))
 
 
 def epoch_of(line: Column) -> Column:
     """The number in an epoch line, null for any other line."""
     found = F.regexp_extract(line, EPOCH_VALUE, 1)
-    return F.when(found != "", found.cast("int"))
+    return F.when(found != "", found.try_cast("int"))
 
 
 def all_values(line: Column) -> Column:

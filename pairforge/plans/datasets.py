@@ -128,7 +128,7 @@ def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same articles, written as a dump file and scanned back."""
     path = scratch_path(spark, "dump")
     corpus_source.write_dump(page_articles(spark, sf_dir), path)
-    return corpus_source.read_dump(spark, path)
+    return corpus_source.read_dump(spark, path, unescape=True)
 
 
 # --- subwords --------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import article_body, clean_markup, is_redirect
@@ -10,19 +10,37 @@ from ..functions.cleaning import article_body, clean_markup, is_redirect
 PAGE_END = "</page>"
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, raw``: article bodies of an XML dump, redirects left out.
+def read_dump(spark: SparkSession, path: str, unescape: bool = False) -> DataFrame:
+    """``doc_id, raw``: article bodies of an XML dump; redirects left out.
+
+    Bodies stay escaped as they are there, since the cleaning chain decodes them, unless
+    ``unescape`` is set.
 
     The text source splits the file on the page end tag, so one dump file is read by many
-    tasks and never as one value. ``doc_id`` is the page's own ``<id>``.
+    tasks and never as one value. ``doc_id`` is the page's own ``<id>``, null without one. A
+    page is a redirect by its body alone: title and comment may mention the word.
     """
     records = spark.read.option("lineSep", PAGE_END).text(path)
     body = article_body(F.col("value"))
-    return records.where(F.col("value").contains("<text ") & ~is_redirect(F.col("value"))).select(
-        F.regexp_extract("value", r"<id>(\d+)</id>", 1).cast("bigint").alias("doc_id"), body.alias("raw")
+    return records.where(F.col("value").contains("<text ") & ~is_redirect(body)).select(
+        F.regexp_extract("value", r"<id>(\d+)</id>", 1).try_cast("bigint").alias("doc_id"), (unescaped(body) if unescape else body).alias("raw")
     )
 
 
+def escaped(text: Column) -> Column:
+    """Signs of markup as references."""
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(reference))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    """What :func:`escaped` was given."""
+    for sign, reference in ((">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
+        text = F.replace(text, F.lit(reference), F.lit(sign))
+    return text
+
+
 def clean_dump(articles: DataFrame, newline: str = "glue") -> DataFrame:
     """``doc_id, text``: cleaned articles that still have text.
 
@@ -34,10 +52,10 @@ def clean_dump(articles: DataFrame, newline: str = "glue") -> DataFrame:
 
 
 def write_dump(articles: DataFrame, path: str) -> None:
-    """Write ``doc_id, raw`` as page records of a dump."""
+    """Write ``doc_id, raw`` as page records of a dump, signs of markup escaped."""
     page = F.concat(
         F.lit("<page><id>"), F.col("doc_id").cast("string"),
-        F.lit('</id><revision><text xml:space="preserve">'), F.col("raw"), F.lit("</text></revision>"),
+        F.lit('</id><revision><text xml:space="preserve">'), escaped(F.col("raw")), F.lit("</text></revision>"),
     )
     articles.select(page.alias("value")).write.option("lineSep", PAGE_END).text(path)
 

@@ -28,13 +28,17 @@ def tagged(run: Column, line_no: Column, value: Column) -> Column:
 
 
 def parse_tagged(rows: DataFrame) -> DataFrame:
-    """``run_id, chunk, line_no, value`` of shipped lines, in any number of files."""
+    """``run_id, chunk, line_no, value`` of shipped lines, in any number of files.
+
+    Lines that are not tagged (no number of run or line, no text) are left out.
+    """
     parts = F.split("value", "\t", 3)
-    return rows.select(
-        parts[0].cast("bigint").alias("run_id"),
-        parts[1].cast("bigint").alias("line_no"),
-        parts[2].alias("value"),
-    ).withColumn("chunk", F.floor(F.col("line_no") / LINES_PER_CHUNK))
+    found = rows.select(
+        F.get(parts, 0).try_cast("bigint").alias("run_id"),
+        F.get(parts, 1).try_cast("bigint").alias("line_no"),
+        F.get(parts, 2).alias("value"),
+    )
+    return found.dropna().withColumn("chunk", F.floor(F.col("line_no") / LINES_PER_CHUNK))
 
 
 def epoch_line(epoch: Column, loss: Column, accuracy: Column) -> Column:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import noise
@@ -139,3 +142,58 @@ def test_safe_prefix_stops_at_shared_symbols():
     ids = {c: i for i, c in enumerate("abcdef")}
     frontier = [("a", "b", 9), ("c", "d", 8), ("b", "c", 7), ("e", "f", 5)]
     assert bpe.safe_prefix(frontier, ids, True) == [("a", "b", 9), ("c", "d", 8)]
+
+
+def one_by_one(words, n):
+    """Plain training: counts all pairs again after every merge."""
+    state = {w: list(w) for w in words}
+    ids = {t: i for i, t in enumerate([*bpe.MARKERS, *sorted({c for w in words for c in w})])}
+    out = []
+    while len(out) < n:
+        counts = {}
+        for w, parts in state.items():
+            for pair in zip(parts, parts[1:]):
+                counts[pair] = counts.get(pair, 0) + words[w]
+        if not counts:
+            break
+        left, right = min(counts, key=lambda p: (-counts[p], ids[p[0]], ids[p[1]]))
+        out.append((left, right))
+        ids.setdefault(left + right, len(ids))
+        for w, parts in state.items():
+            k, new = 0, []
+            while k < len(parts):
+                joined = parts[k : k + 2] == [left, right]
+                new.append(left + right if joined else parts[k])
+                k += 1 + joined
+            state[w] = new
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_training_equals_one_merge_at_a_time(spark, seed):
+    random.seed(seed)
+    words = {"".join(random.choices("abc", k=random.randint(2, 9))): random.randint(1, 30) for _ in range(8)}
+    if seed == 0:
+        words = {"aaaaaaaa": 100, "cd": 200}
+    merges, _ = bpe.train(spark.createDataFrame(list(words.items()), "word string, n bigint"), max_merges=8)
+    assert bpe.merge_list(merges) == one_by_one(words, 8)
+
+
+def test_a_known_merged_symbol_ends_the_round():
+    ids = {s: i for i, s in enumerate(["ab", "c", "d", "e", "abc", "x"])}
+    frontier = [("ab", "c", 300), ("d", "e", 200), ("abc", "x", 150), ("c", "x", 100)]
+    assert bpe.safe_prefix(frontier, ids, True) == [("ab", "c", 300)]
+
+
+def test_rows_without_words_stay(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None)], "ex_id bigint, text string")
+    vocab = spark.createDataFrame([("a", 5), ("b", 6)], "token string, id int")
+    got = {r.ex_id: r.ids for r in encode.encode_text(rows, vocab, 0).collect()}
+    assert got == {1: [5, 6], 2: [], 3: []}
+    ids = spark.createDataFrame([(1, [5, 6]), (2, [])], "ex_id bigint, ids array<int>")
+    assert {r.ex_id: r.text for r in encode.decode_ids(ids, "ids", vocab).collect()} == {1: "a b", 2: ""}
+    assert {r.ex_id: r.text for r in bpe.decode(ids, "ids", vocab).collect()} == {1: "a b", 2: ""}
+    merges = [("a", "b")]
+    known = spark.createDataFrame([("ab", 7)], "token string, id int")
+    some = spark.createDataFrame([(1, "ab"), (2, "")], "ex_id bigint, text string")
+    assert {r.ex_id: r.ids for r in bpe.encode(some, merges, known).collect()} == {1: [7], 2: []}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import cleaning, text
 from pairforge.functions.stemming import stem
 from pairforge.sources import corpus as corpus_source
+from pairforge.sources import logs
 from pairforge.operators import corpus
 
 
@@ -96,3 +97,18 @@ def test_dump_scan(spark, tmp_path):
 def test_utf16_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Élan vital. Ünder", encoding="utf-16")
     assert corpus_source.read_utf16(spark, str(tmp_path)).first()["text"] == "Élan vital. Ünder"
+
+
+def test_dump_keeps_articles_that_mention_redirects_and_markup(spark, tmp_path):
+    rows = [(1, "a </page> b </text> &lt; c"), (2, "#REDIRECT [[x]]")]
+    path = str(tmp_path / "dump")
+    corpus_source.write_dump(spark.createDataFrame(rows, "doc_id bigint, raw string"), path)
+    extra = tmp_path / "more.txt"
+    extra.write_text('<page><comment>#redirect made</comment><revision><text x="">kept</text></revision></page>')
+    back = corpus_source.read_dump(spark, path, unescape=True).union(corpus_source.read_dump(spark, str(extra)))
+    assert {(r.doc_id, r.raw) for r in back.collect()} == {(1, rows[0][1]), (None, "kept")}
+
+
+def test_malformed_log_lines_are_left_out(spark):
+    lines = spark.createDataFrame([("1\t2\ttext",), ("no tabs",), ("x\t1\ty",), ("",)], "value string")
+    assert [tuple(r) for r in logs.parse_tagged(lines).select("run_id", "line_no", "value").collect()] == [(1, 2, "text")]
