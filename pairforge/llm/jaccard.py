@@ -27,7 +27,7 @@ GROUP_SETS, GROUP_SHINGLES = 256, 1 << 19
 
 
 #: Documents, and frequent shingles of theirs, that the order of shingles is taken from.
-ORDER_DOCS, ORDER_SHINGLES = 20_000, 1 << 17
+ORDER_DOCS, ORDER_SHINGLES = 4_000, 1 << 17
 
 
 def by_block(p: int, q: int) -> bool:
@@ -391,6 +391,8 @@ def drop_similar(
     on = (F.col(names["own"]) == F.col(names["address"])) & F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(names["doc_id"]))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     met, clear = sieve(marked, names["own"], addresses, names["address"])
-    single = met.join(addresses, on, "left_anti")
-    several = met.join(addresses.where(F.col(names["stays"])), on, "left_semi").dropDuplicates([id_col, names["own"]])
+    decided = met.join(addresses, on, "left")
+    single = decided.where(F.col(names["stays"]).isNull())
+    # of equal rows one stays; only rows that repeat are shuffled for it
+    several = decided.where(F.col(names["stays"])).dropDuplicates([id_col, names["own"]])
     return clear.select(*columns).unionByName(single.select(*columns)).unionByName(several.select(*columns))

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.joins import fits
 from ..session import stored
 from .common import WORD, fresh, only, slices, texts
 
 #: Counted as symbols.
 SYMBOLS = "#*$%&|<>"
+#: Failed hosts, short strings, that are broadcast at most; beyond, they are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def repeated_words(words: list[str]) -> int:
@@ -156,5 +159,8 @@ def drop_rejected(docs: DataFrame, max_host_rate: float = 0.5, text_col: str = "
     rates, mean = host_rates(counted.select(host_col, *names.values()), host_col, names)
     passed = counted.where(rules_failed(names) == 0).drop(*names.values())
     bad = rates.where(F.col("host_rate") > max_host_rate).select(F.col("host").alias(fresh(docs, "bad_host")))
+    bad = stored(bad, "bad-hosts")
+    # failed hosts are sent to the rows if few; counted first, since hosts grow with the corpus
+    bad = F.broadcast(bad) if fits(bad, MOST_SENT) else bad
     kept = passed.join(bad, passed[host_col] == bad[bad.columns[0]], "left_anti")
     return kept.where(F.col(f"`{host_col}`").isNotNull() | (mean <= max_host_rate))
