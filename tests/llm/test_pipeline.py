@@ -47,7 +47,7 @@ def test_quality_rules(stages):
 
 def test_one_document_of_each_group_stays(stages):
     docs, result = stages[1]
-    groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 3, 90)
+    groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert sorted(rows(result)) == sorted({c for _, c in groups.values()})
 
 
