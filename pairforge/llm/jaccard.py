@@ -26,8 +26,10 @@ FLUSH = 1 << 21
 GROUP_SETS, GROUP_SHINGLES = 256, 1 << 19
 
 
-#: Documents, and frequent shingles of theirs, that the order of shingles is taken from.
-ORDER_DOCS, ORDER_SHINGLES = 4_000, 1 << 17
+#: Bits (log2) of the broadcast filter of shared shingles: 32 MB, whatever the input.
+SHARED_BITS = 28
+#: Characters of text for each range of shingle hashes, and most ranges (log2).
+RANGE_CHARS, MOST_RANGES = 1 << 18, 20
 
 
 def by_block(p: int, q: int) -> bool:
@@ -51,17 +53,18 @@ class Signatures:
     shingles would hold all documents that share a passage. Blocks of less than about six
     shingles are no better than shingles; so at lower thresholds lists are kept by single
     shingles, those of the n - ceil(n p / q) + 1 first in an order that all sets share:
-    linked sets share one of them. ``frequent`` shingles come last in it, the rest goes by
-    hash. Any order finds all links; this one keeps the lists short.
+    linked sets share one of them. Shingles that other sets have, by the filter ``shared``,
+    come last in it, and the rest goes by hash. Any order finds all links; this one keeps
+    lists short and unlike sets apart.
 
     The boundary is the largest size at which the subsets cost no more than the postings;
     a posting of a small set is priced higher, since more unlike sets share it and have to
     be compared.
     """
 
-    def __init__(self, p: int, q: int, frequent: np.ndarray | None = None, price: float = 4.0) -> None:
+    def __init__(self, p: int, q: int, shared: np.ndarray | None = None, price: float = 4.0) -> None:
         self.p, self.q = p, q
-        self.frequent = np.zeros(0, np.uint64) if frequent is None else frequent
+        self.shared = np.zeros(1 << SHARED_BITS - 3, np.uint8) if shared is None else shared
         self.by_block = by_block(p, q)
         self.boundary = 0
         while self._subsets(self.boundary + 1) <= price * self._postings(self.boundary + 1):
@@ -107,7 +110,8 @@ class Signatures:
         return np.concatenate(out)
 
     def _first_elements(self, elements: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        late = np.isin(elements, self.frequent, assume_unique=True)
+        place = _digest(elements) >> np.uint64(40 - SHARED_BITS)
+        late = self.shared[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
         return mix(mixed[np.lexsort((mixed, late))[: self._prefix(len(elements))]])
 
     def _subset_keys(self, mixed: np.ndarray) -> np.ndarray:
@@ -137,25 +141,96 @@ class Signatures:
         return np.concatenate([keys, mix(mix(void + seed))])
 
 
-def _frequent(docs: DataFrame, n_words: int) -> np.ndarray:
-    """Shingles that come twice or more in a sample of documents: at most ``ORDER_SHINGLES``, sorted.
+def _digest(elements: np.ndarray) -> np.ndarray:
+    """40 bits of each shingle for the search of shared ones; the first ``SHARED_BITS`` are its place in the filter."""
+    return mix(elements ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(24)
 
-    They only set the order in which a set's shingles are listed; every document is joined
-    in full whatever the sample holds.
+
+def _set_id(elements: np.ndarray) -> int:
+    return xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
+
+
+def _shared(docs: DataFrame, n_words: int) -> np.ndarray:
+    """Filter of the shingles that two different sets or more have, counted over all documents.
+
+    Each task sends the digests of its shingles, with eight bits of the set's id, by ranges
+    of the digest: six bytes a shingle at most. The task of a range finds those with two ids and
+    returns its part of the filter. The filter has a fixed size; false hits in it, more of
+    them the larger the input is, only put a shingle later in the order.
     """
-    share = ORDER_DOCS / max(docs.count(), ORDER_DOCS)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    log_ranges = min(max(1, (chars // RANGE_CHARS).bit_length()), MOST_RANGES)
+    low = np.uint64(40 - log_ranges)
+    places = SHARED_BITS - log_ranges
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
+        found: list[np.ndarray] = []
+        held = 0
+
+        def combined() -> pa.RecordBatch:
+            marks = np.unique(np.concatenate(found))
+            shingle = marks >> np.uint64(8)
+            new = shingle[1:] != shingle[:-1]
+            marks = marks[np.r_[True, new] | np.r_[new, True]]  # two ids of a shingle are enough
+            shingle = marks >> np.uint64(8)
+            part, start = np.unique(shingle >> low, return_index=True)
+            rest = (shingle & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint64)
+            rows = [(rest[i:j] << np.uint64(8) | marks[i:j] & np.uint64(255)).tobytes() for i, j in zip(start, np.r_[start[1:], len(marks)])]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_packed(r) for r in rows], pa.binary())], ["part", "marks"])
+
         for batch in slices(batches):
-            found = [np.unique(shingles(hashed(t), n_words)) for t in texts(batch)]
-            value, times = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(times, pa.int64())], ["shingle", "times"])
+            for text in texts(batch):
+                elements = np.unique(shingles(hashed(text), n_words))
+                if len(elements):
+                    found.append(_digest(elements) << np.uint64(8) | np.uint64(_set_id(elements) & 255))
+                    held += len(elements)
+                if held >= FLUSH:
+                    yield combined()
+                    found.clear()
+                    held = 0
+        if found:
+            yield combined()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, marks = None, []
+
+        def close() -> pa.RecordBatch:
+            shingle = np.unique(np.concatenate(marks)) >> np.uint64(8)
+            place = (shingle[1:][shingle[1:] == shingle[:-1]] >> (low - np.uint64(places))).astype(np.int64)
+            bits = np.zeros(1 << places, np.uint8)
+            bits[place] = 1
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+        for batch in slices(batches):
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("marks").to_pylist()):
+                if part != at:
+                    if marks:
+                        yield close()
+                    at, marks = part, []
+                marks.append(_unpacked(packed))
+        if marks:
+            yield close()
+
+    sent = docs.select("text").mapInArrow(send, "part int, marks binary")
+    bits = sent.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "part int, bits binary")
+    shared = np.zeros(1 << SHARED_BITS - 3, np.uint8)
+    width = 1 << places - 3
+    for row in bits.collect():  # one bit a place: as large as the filter
+        shared[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return shared
+
+
+def _packed(marks: bytes) -> bytes:
+    """64-bit marks of at most 48 bits in six bytes each, byte planes side by side."""
+    return np.ascontiguousarray(np.frombuffer(marks, np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
 
-    sample = docs.where(F.pmod("address", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).mapInArrow(run, "shingle bigint, times bigint")
-    counts = sample.groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 1")
-    top = counts.orderBy(F.desc("times"), "shingle").limit(ORDER_SHINGLES).select("shingle").toPandas()
-    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(6, -1)
+    marks = np.zeros((planes.shape[1], 8), np.uint8)
+    marks[:, :6] = planes.T
+    return marks.view(np.uint64).ravel()
 
 
 def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
@@ -167,10 +242,10 @@ def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
     posting from each task at most, also when a third of all documents have it.
     """
     schema = "kind int, doc_id bigint, address bigint, n int, set_id bigint, other bigint"
-    frequent = None if by_block(p, q) else docs.sparkSession.sparkContext.broadcast(_frequent(docs, n_words))
+    shared = None if by_block(p, q) else docs.sparkSession.sparkContext.broadcast(_shared(docs, n_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sign = Words(), Signatures(p, q, frequent and frequent.value)
+        hashed, sign = Words(), Signatures(p, q, shared and shared.value)
         names = ["kind", "doc_id", "address", "n", "set_id", "other"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         keys: list[np.ndarray] = []
@@ -203,7 +278,7 @@ def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
             for text in texts(batch):
                 elements = np.unique(shingles(hashed(text), n_words))
                 sizes.append(len(elements))
-                ids.append(xxh3_64_intdigest(elements.tobytes()) - (1 << 63) if len(elements) else None)
+                ids.append(_set_id(elements) if len(elements) else None)
                 if len(elements) and ids[-1] not in seen:
                     seen.add(ids[-1])
                     sets.append(ids[-1])
