@@ -86,8 +86,7 @@ add(
     "pairs_table",
     "SELECT source = target AS is_identity, count(*) AS n_pairs, sum(length(source))::BIGINT AS source_chars FROM ("
     "SELECT source, max(target) FILTER (last_one = 1) AS target FROM (SELECT *, row_number() OVER (PARTITION BY source "
-    "ORDER BY doc_id DESC, sent_pos DESC, variant DESC) AS last_one FROM variants JOIN "
-    "(SELECT doc_id, sent_pos FROM sentences ORDER BY doc_id, sent_pos LIMIT 20000) USING (doc_id, sent_pos)) "
+    "ORDER BY doc_id DESC, sent_pos DESC, variant DESC) AS last_one FROM variants) "
     "GROUP BY source) GROUP BY 1",
     "variants",
 )
@@ -336,7 +335,7 @@ add(
 add(
     "stream_monitor",
     "SELECT run_id, line_no, epoch, round(chrf, 6) AS chrf, round(max(chrf) OVER (PARTITION BY run_id ORDER BY line_no), 6) AS best_chrf, "
-    "epoch >= 3 AS stop FROM reports",
+    "epoch >= 3 AS stop, false AS late FROM reports",
     "reports",
 )
 add("stream_clean", f"SELECT doc_id, {cleaned('text')} AS text FROM documents")

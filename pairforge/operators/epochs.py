@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .scans import running
 
 # Shipped schedule.
@@ -35,13 +36,9 @@ def global_steps(batches: DataFrame, chunk: str, order: list[str]) -> DataFrame:
 
 def running_loss(batches: DataFrame, chunk: str, order: list[str]) -> DataFrame:
     """``running_loss``: the epoch's loss before this batch over its number of batches."""
-    totals = batches.groupBy("run_id", "epoch").agg(F.count("*").alias("_n"))
-    seen = running(batches, ["run_id", "epoch"], chunk, order, {"_before": ("sum", F.col("loss"), False)})
-    return (
-        seen.join(totals, ["run_id", "epoch"])
-        .withColumn("running_loss", F.col("_before") / F.col("_n"))
-        .drop("_before", "_n")
-    )
+    outputs = {"_before": ("sum", F.col("loss"), False), "_n": ("total", F.lit(1), True)}
+    seen = running(batches, ["run_id", "epoch"], chunk, order, outputs)
+    return seen.withColumn("running_loss", F.col("_before") / F.col("_n")).drop("_before", "_n")
 
 
 def scalar_rows(batches: DataFrame) -> DataFrame:
@@ -59,11 +56,16 @@ def _chunked(epochs: DataFrame) -> DataFrame:
     return epochs.withColumn("_chunk", F.floor(F.col("epoch") / EPOCHS_PER_CHUNK))
 
 
+def _flagged(epochs: DataFrame, metric: str) -> DataFrame:
+    """``_chunk``, ``_place`` (1-based in the run), ``prev_best`` and ``improved``, by one running call."""
+    outputs = {"prev_best": ("max", F.col(metric), False), "_place": ("sum", F.lit(1), True)}
+    seen = running(_chunked(epochs), ["run_id"], "_chunk", ["epoch"], outputs)
+    return seen.withColumn("improved", F.col("prev_best").isNull() | (F.col(metric) > F.col("prev_best")))
+
+
 def best_so_far(epochs: DataFrame, metric: str = "chrf") -> DataFrame:
     """``prev_best`` over earlier epochs and ``improved`` (strictly better, or the first)."""
-    seen = running(_chunked(epochs), ["run_id"], "_chunk", ["epoch"], {"prev_best": ("max", F.col(metric), False)})
-    better = F.col("prev_best").isNull() | (F.col(metric) > F.col("prev_best"))
-    return seen.withColumn("improved", better).drop("_chunk")
+    return _flagged(epochs, metric).drop("_chunk", "_place")
 
 
 def plateau(
@@ -80,53 +82,51 @@ def plateau(
     rate is cut and counting restarts, so the counter is the misses since the last
     improvement modulo ``patience + 1`` and every wrap is a cut. ``executed`` says whether
     the rate before the epoch was still above ``lowest``.
+
+    Three levels of running values. Each level reads its input twice, so the first two are
+    stored: nested plans would double with every level.
     """
-    flagged = _chunked(best_so_far(epochs, metric))
-    placed = running(
-        flagged, ["run_id"], "_chunk", ["epoch"], {"_place": ("sum", F.lit(1), True)}
-    )
-    last = running(
-        placed,
-        ["run_id"],
-        "_chunk",
-        ["epoch"],
-        {"_last": ("last", F.when(F.col("improved"), F.col("_place")), True)},
-    )
-    misses = last.withColumn("_misses", F.col("_place") - F.col("_last"))
-    cut = (F.col("_misses") > 0) & (F.col("_misses") % (patience + 1) == 0)
-    counted = running(
-        misses.withColumn("reduced", cut),
-        ["run_id"],
-        "_chunk",
-        ["epoch"],
+    run, order = ["run_id"], ["epoch"]
+    flagged = stored(_flagged(epochs, metric), "plateau")
+    at = F.when(F.col("improved"), F.col("_place"))
+    ends = {"_last": ("last", at, True), "_before": ("last", at, False)}
+    placed = stored(running(flagged, run, "_chunk", order, ends), "plateau")
+    # an improvement closes the misses before it; every patience + 1 of them were a cut
+    closed = F.when(F.col("improved"), F.floor((F.col("_place") - 1 - F.col("_before")) / (patience + 1)))
+    counted = running(placed, run, "_chunk", order, {"_closed": ("sum", closed, True)})
+    misses = F.col("_place") - F.col("_last")
+    counted = counted.withColumns(
         {
-            "_cuts": ("sum", F.col("reduced").cast("int"), True),
-            "_cuts_before": ("sum", F.col("reduced").cast("int"), False),
-        },
-    )
+            "reduced": (misses > 0) & (misses % (patience + 1) == 0),
+            "_cuts": F.col("_closed") + F.floor(misses / (patience + 1)),
+            "no_improve": (misses % (patience + 1)).cast("int"),
+        }
+    ).withColumn("_cuts_before", F.col("_cuts") - F.col("reduced").cast("int"))
 
     def rate(cuts: str) -> Column:
         return F.lit(lr) * F.pow(F.lit(decay), F.col(cuts))
 
     return (
-        counted.withColumn("no_improve", (F.col("_misses") % (patience + 1)).cast("int"))
-        .withColumn("lr", rate("_cuts"))
+        counted.withColumn("lr", rate("_cuts"))
         .withColumn("fine_tuning", F.col("_cuts") > 0)
         .withColumn("executed", rate("_cuts_before") > lowest)
-        .drop("_chunk", "_place", "_last", "_misses", "_cuts", "_cuts_before")
+        .drop("_chunk", "_place", "_last", "_before", "_closed", "_cuts", "_cuts_before")
     )
 
 
 def checkpoints(decided: DataFrame) -> DataFrame:
-    """Flags of the rows a run would keep: ``is_best`` (last improvement) and ``is_last``."""
-    ends = decided.groupBy("run_id").agg(
-        F.max("epoch").alias("_last"), F.max(F.when(F.col("improved"), F.col("epoch"))).alias("_best")
-    )
+    """Flags of the rows a run would keep: ``is_best`` (last improvement) and ``is_last``.
+
+    A row is the last one if none follows it, so both are running counts from the end.
+    """
+    back = _chunked(decided).withColumns({"_chunk": -F.col("_chunk"), "_back": -F.col("epoch")})
+    better = F.coalesce(F.col("improved"), F.lit(False))
+    later = {"_later": ("sum", F.lit(1), False), "_better": ("sum", better.cast("int"), False)}
     return (
-        decided.join(ends, "run_id")
-        .withColumn("is_best", F.col("epoch") == F.col("_best"))
-        .withColumn("is_last", F.col("epoch") == F.col("_last"))
-        .drop("_last", "_best")
+        running(back, ["run_id"], "_chunk", ["_back"], later)
+        .withColumn("is_best", better & (F.col("_better") == 0))
+        .withColumn("is_last", F.col("_later") == 0)
+        .drop("_chunk", "_back", "_later", "_better")
     )
 
 

@@ -21,6 +21,7 @@ _KINDS = {
         lambda c: F.last(c, ignorenulls=True),
         lambda carry, local: F.coalesce(local, carry),
     ),
+    "total": (F.sum, lambda carry, local: carry),
 }
 
 
@@ -34,7 +35,8 @@ def running(
     """Add running aggregates per ``keys`` in the order ``chunk, *order``.
 
     ``outputs`` maps a name to (kind, value, inclusive): kind is ``sum``, ``max``,
-    ``min`` or ``last`` (last non-null); inclusive says whether the row itself counts.
+    ``min``, ``last`` (last non-null) or ``total`` (the sum over all rows of the keys);
+    inclusive says whether the row itself counts.
     """
     values = {name: f"_v_{name}" for name in outputs}
     df = df.withColumns({values[n]: v for n, (_, v, _) in outputs.items()})
@@ -43,18 +45,20 @@ def running(
     for name, (kind, _, inclusive) in outputs.items():
         agg, _ = _KINDS[kind]
         frame = local_all.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-        local[f"_l_{name}"] = agg(F.col(values[name])).over(frame)
+        if kind != "total":
+            local[f"_l_{name}"] = agg(F.col(values[name])).over(frame)
         if kind == "last":
             # the last non-null of a chunk, by its order; a map-side combinable aggregate
             at = F.when(F.col(values[name]).isNotNull(), F.struct(*order))
             finals.append(F.max_by(F.col(values[name]), at).alias(f"_t_{name}"))
         else:
             finals.append(agg(F.col(values[name])).alias(f"_t_{name}"))
-    earlier = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(*keys)
+    earlier = every.orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     carried = {}
     for name, (kind, _, _) in outputs.items():
         agg, _ = _KINDS[kind]
-        carried[f"_c_{name}"] = agg(F.col(f"_t_{name}")).over(earlier)
+        carried[f"_c_{name}"] = agg(F.col(f"_t_{name}")).over(every if kind == "total" else earlier)
     totals = df.groupBy(*keys, chunk).agg(*finals).withColumns(carried)
     totals = totals.drop(*[f"_t_{n}" for n in outputs])
     joined = df.withColumns(local).join(totals, [*keys, chunk])

@@ -40,6 +40,7 @@ WARMUP_STEPS = 1
 TOP = 3
 
 STEPS_PER_CHUNK = 1024
+LINES_PER_CHUNK = 4096
 
 
 def sample_trials(ids: DataFrame, seed: int = SEED) -> DataFrame:
@@ -98,9 +99,10 @@ def validations(lines: DataFrame, chunk: str = "chunk", order: list[str] = ("lin
 
 def until_stop(reports: DataFrame, stop: int = STOP_EPOCH) -> DataFrame:
     """Reports up to and including the first one of epoch ``stop`` or later."""
-    at = reports.where(F.col("epoch") >= stop).groupBy("run_id").agg(F.min("line_no").alias("_stop"))
-    joined = reports.join(at, "run_id", "left")
-    return joined.where(F.col("_stop").isNull() | (F.col("line_no") <= F.col("_stop"))).drop("_stop")
+    chunked = reports.withColumn("_chunk", F.floor(F.col("line_no") / LINES_PER_CHUNK))
+    passed = {"_passed": ("sum", (F.col("epoch") >= stop).cast("int"), False)}
+    seen = running(chunked, ["run_id"], "_chunk", ["line_no"], passed)
+    return seen.where(F.col("_passed") == 0).select(*reports.columns)
 
 
 def best_per_trial(reports: DataFrame) -> DataFrame:
@@ -124,6 +126,9 @@ def median_pruning(
 ) -> DataFrame:
     """``pruned``: best value so far below the median of earlier trials at the same step.
 
+    This replays whole logs: every earlier trial counts at every step it reported, also
+    one that a pruner would have ended before.
+
     Needs ``trial_id, step, value``, unique on (trial, step). A trial is compared once
     ``startup`` earlier trials reported the step and the step is past ``warmup``. A step
     has one number per trial and the trials of a search are counted in advance, which
@@ -147,11 +152,14 @@ def top_trials(results: DataFrame, k: int = TOP, score: str = "best_chrf", key:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), key)))
 
 
-def results_document(top: DataFrame, score: str = "best_chrf") -> DataFrame:
-    """One JSON document with the best trial and the ranked list (of a top-k table)."""
-    fields = [c for c in top.columns if c != "rank"]
-    ranked = F.array_sort(F.collect_list(F.struct("rank", *fields)))
-    return top.agg(ranked.alias("r")).select(
+def results_document(top: DataFrame, score: str = "best_chrf", key: str = "run_id") -> DataFrame:
+    """One JSON document with the best trial and the ranked list (of a top-k table).
+
+    Columns besides rank, key and score are the trial's ``params``.
+    """
+    params = [c for c in top.columns if c not in ("rank", key, score)]
+    entry = F.struct("rank", key, score, *([F.struct(*params).alias("params")] if params else []))
+    return top.agg(F.array_sort(F.collect_list(entry)).alias("r")).select(
         F.to_json(F.struct(F.col("r")[0].alias("best_trial"), F.col("r").alias("top_3_trials"))).alias("document")
     )
 

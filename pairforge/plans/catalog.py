@@ -163,12 +163,10 @@ def typo_pairs(spark, d):
 
 @query
 def pairs_table(spark, d):
-    """The pair table built once under its parameters, then read back."""
+    """The pair table of all sentences, built once under its parameters, then read back."""
     root = scratch_path(spark, "pairs")
-    key = (20_000, pairs.TIMES, pairs.PROBABILITY, "word")
-    build = lambda: pairs.unique_pairs(
-        pairs.variants(corpus.first_sentences(D.sentence_rows(spark, d), key[0]))
-    )
+    key = (D.sentence_rows(spark, d).count(), pairs.TIMES, pairs.PROBABILITY, "word")
+    build = lambda: D.pair_rows(spark, d)
     tables.read_or_build(spark, root, *key, build)
     again = tables.read_or_build(spark, root, *key, build)
     return again.groupBy("is_identity").agg(
@@ -279,7 +277,7 @@ def subword_decoded(spark, d):
 
 @query
 def subword_renoised(spark, d):
-    """Subword ids decoded, corrupted and encoded again, with markers, short rows only."""
+    """Subword ids decoded, corrupted and encoded again, with markers."""
     merges, words = D.subword_model(spark, d)
     pieces = bpe.merge_list(merges)
     ids = bpe.encode(_conversation_lines(spark, d), pieces, words)
@@ -290,7 +288,7 @@ def subword_renoised(spark, d):
         F.concat("ids", F.array(F.lit(1))).alias("source_ids"),
         F.concat(F.array(F.lit(0)), F.col("ids")).alias("target_ids"),
     )
-    return encode.keep_short(marked).select("ex_id", F.size("source_ids").alias("n_ids"), joined("source_ids").alias("ids"))
+    return marked.select("ex_id", F.size("source_ids").alias("n_ids"), joined("source_ids").alias("ids"))
 
 
 # --- encoding and batching -------------------------------------------------------------
@@ -656,7 +654,8 @@ def top_trials(spark, d):
 
 @query
 def results_document(spark, d):
-    return trials.results_document(trials.top_trials(trials.best_per_trial(D.reports(spark, d))))
+    results, configs = _board(spark, d)
+    return trials.results_document(trials.top_trials(results).join(configs.drop("config"), "run_id", "left"))
 
 
 def _board(spark, d):

@@ -40,7 +40,9 @@ def read_pairs(spark: SparkSession, root: str, n: int, rep: int, p: float, mode:
     """The stored pairs of a parameter set; None if they were never built."""
     try:
         return spark.read.parquet(pairs_path(root, n, rep, p, mode))
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -89,11 +91,11 @@ CONFIG_SCHEMA = T.StructType(
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
-    """Run configurations as JSON lines; malformed entries are left out, not fatal."""
-    rows = (
-        spark.read.schema(CONFIG_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
+    """Run configurations as JSON lines; malformed entries are left out, not fatal.
+
+    The searched parameters are typed columns; ``config`` keeps every key of the entry.
+    """
+    lines = spark.read.text(path)
+    typed = F.from_json("value", CONFIG_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(typed.alias("c"), F.from_json("value", "map<string,string>").alias("config")).select("c.*", "config")
     return rows.where(F.col("_corrupt").isNull() & F.col("run_id").isNotNull()).drop("_corrupt")

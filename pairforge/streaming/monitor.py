@@ -11,30 +11,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.trials import STOP_EPOCH, chrf_of, epoch_of
 
-OUTPUT = "run_id bigint, line_no bigint, epoch int, chrf double, best_chrf double, stop boolean"
-STATE = "epoch int, best double"
+OUTPUT = "run_id bigint, line_no bigint, epoch int, chrf double, best_chrf double, stop boolean, late boolean"
+STATE = "epoch int, best double, top bigint, marked bigint"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    epoch, best = state.get if state.exists else (0, 0.0)
+    epoch, best, top, marked = state.get if state.exists else (0, 0.0, -1, -1)
     lines = pd.concat(list(batches)).sort_values("line_no", kind="stable")
     out = []
     for line_no, mark, chrf in zip(lines["line_no"], lines["mark"], lines["chrf"]):
+        known = line_no >= marked
         if pd.notna(chrf):
             best = max(best, float(chrf))
-            out.append((key[0], line_no, epoch, float(chrf), best, epoch >= STOP_EPOCH))
-        if pd.notna(mark):
-            epoch = int(mark)
-    state.update((epoch, best))
-    yield pd.DataFrame(out, columns=["run_id", "line_no", "epoch", "chrf", "best_chrf", "stop"])
+            out.append((key[0], line_no, epoch if known else None, float(chrf), best, known and epoch >= STOP_EPOCH, line_no < top))
+        if pd.notna(mark) and known:
+            epoch, marked = int(mark), line_no
+        top = max(top, line_no)
+    state.update((epoch, best, int(top), int(marked)))
+    rows = pd.DataFrame(out, columns=["run_id", "line_no", "epoch", "chrf", "best_chrf", "stop", "late"])
+    yield rows.astype({"epoch": "Int32"})
 
 
 def monitor(lines: DataFrame) -> DataFrame:
     """Stream of reports from a stream of ``run_id, line_no, value``.
 
     Only epoch and validation lines, two per epoch, reach the state; the rest is filtered
-    in the scan. The state of a run is two numbers. Lines of a run must arrive in order
-    across micro-batches; inside one they are sorted.
+    in the scan. The state of a run is four numbers. Inside a micro-batch lines are sorted.
+    A line that comes after a later one of its run is ``late``: its best may hold reports
+    that follow it, and its epoch is null if a later epoch line was seen. An epoch line
+    older than the last one does not set the epoch back.
     """
     marks = lines.select(
         "run_id", "line_no", epoch_of(F.col("value")).alias("mark"), chrf_of(F.col("value")).alias("chrf")

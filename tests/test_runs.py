@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -78,9 +79,31 @@ def test_median_pruning(spark):
 
 
 def test_configs_tolerate_bad_entries(spark, tmp_path):
-    (tmp_path / "c.json").write_text('{"run_id": 1, "hidden_dim": 700}\n{broken\n{"hidden_dim": 5}\n')
+    (tmp_path / "c.json").write_text('{"run_id": 1, "hidden_dim": 700, "device": "cpu"}\n{broken\n{"hidden_dim": 5}\n')
     got = tables.read_configs(spark, str(tmp_path)).collect()
     assert [(r["run_id"], r["hidden_dim"]) for r in got] == [(1, 700)]
+    assert got[0]["config"] == {"run_id": "1", "hidden_dim": "700", "device": "cpu"}
+
+
+def test_results_document_holds_params(spark):
+    top = spark.createDataFrame([(1, 7, 80.5, 700), (2, 5, 70.0, 800)], "rank int, run_id bigint, best_chrf double, hidden_dim int")
+    got = json.loads(trials.results_document(top).first()["document"])
+    assert got["best_trial"] == {"rank": 1, "run_id": 7, "best_chrf": 80.5, "params": {"hidden_dim": 700}}
+    assert [t["params"]["hidden_dim"] for t in got["top_3_trials"]] == [700, 800]
+
+
+def test_plateau_reads_its_input_few_times(spark):
+    rows = spark.createDataFrame([("r", 1, 1.0)], "run_id string, epoch int, chrf double")
+    decided = epochs.plateau(rows)
+    scans_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans_of(decided) <= 4 and scans_of(epochs.checkpoints(decided)) <= 5
+
+
+def test_checkpoints(spark):
+    values = [3, 4, 2, 9, 9, 1]
+    rows = spark.createDataFrame([("r", i + 1, float(v)) for i, v in enumerate(values)], "run_id string, epoch int, chrf double")
+    got = epochs.checkpoints(epochs.plateau(rows)).where("is_best or is_last").orderBy("epoch").collect()
+    assert [(r["epoch"], r["is_best"], r["is_last"]) for r in got] == [(4, True, False), (6, False, True)]
 
 
 def test_pairs_read_or_build(spark, tmp_path):
@@ -115,6 +138,19 @@ def test_monitor_keeps_state_between_runs(spark, tmp_path):
     assert [(r["epoch"], r["best_chrf"], r["stop"]) for r in got] == [(0, 40.5, False), (1, 78.5, False), (3, 78.5, True), (3, 99.0, True)]
 
 
+def test_monitor_flags_late_lines(spark, tmp_path):
+    source, home = tmp_path / "in", str(tmp_path / "out")
+    os.makedirs(source)
+    for name, part in (("a.txt", [0, 3, 4, 5]), ("b.txt", [1, 2, 6])):
+        (source / name).write_text("\n".join(f"7\t{i}\t{LINES[i]}" for i in part))
+        run_to_table(monitor.monitor(logs.parse_tagged(spark.readStream.text(str(source)))), "monitor", keep=home)
+    (source / "c.txt").write_text(f"7\t2\t{LINES[3]}")
+    got = run_to_table(monitor.monitor(logs.parse_tagged(spark.readStream.text(str(source)))), "monitor", keep=home)
+    rows = sorted((r["line_no"], r["epoch"], r["late"]) for r in got.collect() if r["epoch"] is not None)
+    assert rows == [(0, 0, False), (3, 0, False), (5, 3, False), (6, 3, False)]
+    assert [(r["line_no"], r["late"], r["stop"]) for r in got.where("epoch is null").collect()] == [(2, True, False)]
+
+
 def test_stream_equals_batch(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents*.parquet")
