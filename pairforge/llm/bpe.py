@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import only, slices, texts
 
-#: Distinct pre-tokens that a worker remembers; beyond, it starts anew. Only speed depends on it.
+#: Distinct pre-tokens of a generation that a worker remembers, of two. Only speed depends on it.
 REMEMBERED = 1 << 18
 _NONE = 1 << 62
-_POS = 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,48 +43,53 @@ class PairTree:
         self.right = list(range(1, n + 1))  # start of the next live symbol
         self.left = list(range(-1, n - 1))
         self.width = 1 << max(n - 1, 1).bit_length()
-        self.tree = [_NONE] * (2 * self.width)
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                self.tree[self.width + i] = rank << _POS | i
-        for k in range(self.width - 1, 0, -1):
-            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
-
-    def _put(self, i: int, value: int) -> None:
-        tree, k = self.tree, self.width + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
-
-    def _score(self, i: int) -> int:
-        second = self.right[i]
-        if second >= self.n:
-            return _NONE
-        end = self.right[second]
-        if end - i > self.longest:
-            return _NONE
-        rank = self.ranks.get(self.piece[i:end])
-        return _NONE if rank is None else rank << _POS | i
+        self.shift = self.width.bit_length()  # short pieces have small values
+        get, shift = ranks.get, self.shift
+        ranked = [get(piece[i : i + 2]) for i in range(n - 1)]
+        level = [_NONE if rank is None else rank << shift | i for i, rank in enumerate(ranked)]
+        level += [_NONE] * (self.width - len(level))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.tree = [_NONE]
+        for level in reversed(levels):
+            self.tree += level
 
     def merge_all(self) -> list[bytes]:
-        right, left = self.right, self.left
-        while (best := self.tree[1]) != _NONE:
-            i = best & ((1 << _POS) - 1)
+        right, left, tree, piece = self.right, self.left, self.tree, self.piece
+        n, width, shift, longest, get = self.n, self.width, self.shift, self.longest, self.ranks.get
+        low = (1 << shift) - 1
+        while (best := tree[1]) != _NONE:
+            i = best & low
             dead = right[i]
             right[i] = after = right[dead]
-            if after < self.n:
+            if after < n:
                 left[after] = i
-            self._put(dead, _NONE)
-            self._put(i, self._score(i))
-            if left[i] >= 0:
-                self._put(left[i], self._score(left[i]))
+            # all three leaves are set before their paths are mended, so that paths that
+            # meet are mended once
+            tree[width + dead] = _NONE
+            changed = (i, left[i], dead) if left[i] >= 0 else (i, dead)
+            for first in changed[:-1]:
+                value, second = _NONE, right[first]
+                if second < n and (end := right[second]) - first <= longest:
+                    rank = get(piece[first:end])
+                    if rank is not None:
+                        value = rank << shift | first
+                tree[width + first] = value
+            for leaf in changed:
+                k = (width + leaf) >> 1
+                while k:
+                    a, b = tree[2 * k], tree[2 * k + 1]
+                    if b < a:
+                        a = b
+                    if tree[k] == a:
+                        break
+                    tree[k] = a
+                    k >>= 1
         out, i = [], 0
-        while i < self.n:
-            out.append(self.piece[i : right[i]])
+        while i < n:
+            out.append(piece[i : right[i]])
             i = right[i]
         return out
 
@@ -101,6 +105,7 @@ class Codec:
         for word, rank in ranks.items():
             self.words[rank] = word
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece_ids(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -112,11 +117,13 @@ class Codec:
         """Ids of one pre-token as little-endian unsigned 32-bit integers."""
         got = self.known.get(piece)
         if got is None:
-            ids = self.piece_ids(piece.encode())
-            got = pack(f"<{len(ids)}I", *ids)
+            got = self.older.get(piece)
+            if got is None:
+                ids = self.piece_ids(piece.encode())
+                got = pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:  # a long piece hardly comes twice
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[piece] = got
         return got
 
