@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec_of, share_ranks
+from .bpe import REMEMBERED, Codec, codec_of, share_ranks
 from .common import only, slices
 from .pii import with_spans
 
@@ -17,6 +17,22 @@ from .pii import with_spans
 LOOK_AHEAD = 2
 
 
+class Counts(dict):
+    """Token counts of pre-tokens a worker has met; long ones, which hardly come twice, are not kept."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, piece: str) -> int:
+        count = len(self.codec.packed(piece)) // 4
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = count
+        return count
+
+
 class CountTree:
     """Sums of characters and tokens over the pre-tokens of a text.
 
@@ -128,7 +144,7 @@ def count_edited(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks, pattern)
-        count = lambda piece: len(codec.packed(piece)) // 4
+        count = Counts(codec).__getitem__
         for batch in slices(batches):
             before, edits, after, recounted = [], [], [], []
             for text, changes in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist()):
@@ -142,7 +158,7 @@ def count_edited(
                     after.append(tree.total)
                     recounted.append(tree.recounted)
                 else:
-                    total = len(codec.encode(text or "")) // 4
+                    total = sum(map(count, codec.find(text or "")))
                     before.append(total)
                     after.append(total)
                     recounted.append(0)
