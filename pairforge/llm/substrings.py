@@ -16,11 +16,15 @@ from .hashing import Words, mix, shingles
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Values of MinHash in a band: a single frequent shingle does not fill a band's list.
+ROWS = 2
+#: Paragraphs that one task compares with each other.
+GROUP_UNITS = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def bands_for(similarity: float, recall: float, rows: int = 1) -> int:
+def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
     """Fewest bands of ``rows`` MinHash values by which a pair of that similarity collides with that probability."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -72,10 +76,19 @@ def paragraph_shingles(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndar
     return out
 
 
+def band_keys(held: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
+    """Keys, one row a band, of paragraphs whose shingle hashes stand in ``held``, so many each (one at least)."""
+    seeds = mix(np.arange(101, 101 + bands * ROWS, dtype=np.uint64)) | np.uint64(1)
+    least = np.minimum.reduceat(held * seeds[:, None], np.cumsum(counts) - counts, axis=1)
+    out = np.repeat(np.arange(bands, dtype=np.uint64)[:, None], len(counts), axis=1)
+    for k in range(ROWS):
+        out = mix(out * _STEP + least[k::ROWS])
+    return out
+
+
 def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
     """Write ``kind=0`` (paragraphs with their place) and ``kind=1`` (band keys); returns the path."""
     schema = "kind int, doc_id bigint, address bigint, unit bigint, place int, start bigint, end bigint, n_words int, key bigint"
-    seeds = mix(np.arange(101, 101 + bands, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
@@ -103,13 +116,11 @@ def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
                     continue
                 unit = paragraph_hashes(words, starts)[whole].view(np.int64)
                 held = paragraph_shingles(words, starts, n)
-                least = [
-                    np.minimum.reduceat(np.where(held == _MOST, _MOST, mix(held ^ s)), starts)[whole] ^ np.uint64(k) for k, s in enumerate(seeds)
-                ]
+                banded = band_keys(held[held != _MOST], (ends - starts - n + 1)[whole], bands)
                 for out, value in zip(found, (unit, whole, first[starts[whole]], last[ends[whole] - 1], (ends - starts)[whole])):
                     out.append(value)
                 rows.append(np.full(len(whole), row))
-                keys.extend(np.stack([k.view(np.int64), unit]) for k in least)
+                keys.extend(np.stack([k.view(np.int64), unit]) for k in banded)
             if not rows:
                 continue
             at = pa.array(np.concatenate(rows))
@@ -152,10 +163,85 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFr
     return fetched.mapInArrow(run, "unit bigint, words array<bigint>").dropDuplicates(["unit"])
 
 
+def linked_sets(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the sets (of distinct elements) whose Jaccard similarity is ``similarity`` or more.
+
+    All pairs are compared; of those alike a spanning forest is returned.
+    """
+    n = np.array(list(map(len, sets)))
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, word = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(word[-1]) + 1, 8192):  # columns in lots, so that the matrix stays small
+        part = slice(*np.searchsorted(word, [low, low + 8192]))
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[owner[part], word[part] - low] = 1
+        both += has @ has.T
+    same = np.rint(both).astype(np.int64)
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(same >= similarity * (n[:, None] + n[None, :] - same), 1))):
+        rx, ry = find(int(x)), find(int(y))
+        if rx != ry:
+            root[rx] = ry
+            out.append((ids[x], ids[y]))
+    return out
+
+
+def _alike(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between the paragraphs of each cluster; ``members`` has ``cluster, u``, ``contents`` ``unit, words``.
+
+    A cluster is dealt into blocks of bounded size, and each pair of blocks is compared
+    exactly in one task, so that no pair of a cluster is left out, whatever its size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        found: list[tuple[int, int]] = []
+
+        def ready() -> pa.RecordBatch:
+            sides = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+        for batch in slices(batches):
+            words = batch.column("words")
+            marks = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "unit")))
+            for row, (cluster, i, j, unit) in enumerate(marks):
+                if (cluster, i, j) != at:
+                    if len(ids) > 1:
+                        found.extend(linked_sets(ids, sets, similarity))
+                    at, ids, sets = (cluster, i, j), [], []
+                ids.append(unit)
+                sets.append(np.asarray(words[row].values))
+            yield ready()
+        if len(ids) > 1:
+            found.extend(linked_sets(ids, sets, similarity))
+        yield ready()
+
+    blocks = F.when(F.col("units") <= GROUP_UNITS, 1).otherwise(F.ceil(F.col("units") * 2 / GROUP_UNITS)).cast("int")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("units")).select(F.col("cluster").alias("c"), blocks.alias("blocks"))
+    dealt = members.join(sizes, F.col("cluster") == F.col("c")).join(contents, F.col("u") == F.col("unit"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "unit", "words")
+    ordered = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "unit")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
+
+
 def repeated_passages(
     docs: DataFrame,
     similarity: float = 0.8,
-    recall: float = 0.95,
+    recall: float = 0.99,
     shingle: int = 5,
     window: int = 24,
     least_words: int = 20,
@@ -167,9 +253,9 @@ def repeated_passages(
     1. Texts are cut into paragraphs by content (:func:`paragraph_starts`).
     2. Paragraphs of equal words are one; the others collide by MinHash bands, with as many
        bands as ``recall`` at ``similarity`` takes. Colliding paragraphs are joined to the
-       least of their list, one pair each.
-    3. The pairs' Jaccard similarity of ``shingle``-word shingles is computed exactly;
-       paragraphs of ``similarity`` or more are closed into classes by components.
+       least of their list, one pair each, and closed into clusters by components.
+    3. All paragraphs of a cluster are compared by the exact Jaccard similarity of their
+       ``shingle``-word shingles; those of ``similarity`` or more are closed into classes.
     4. A class that stands in two documents or more is repeated. Repeated paragraphs in a
        row are a passage if together they have ``least_words``: a passage of over 50 words
        holds about that many in whole paragraphs, short common lines do not.
@@ -186,19 +272,17 @@ def repeated_passages(
     schema = "doc_id bigint, address bigint, unit bigint, place int, start bigint, end bigint, n_words int, key bigint, kind int"
     parts = docs.sparkSession.read.schema(schema).parquet(path)
     places = parts.where("kind = 0").select("unit", "doc_id", "address", "place", "start", "end", "n_words")
-    least = F.min("unit").over(Window.partitionBy("key"))
     keys = parts.where("kind = 1").select("key", "unit").distinct()
-    pairs = keys.withColumn("least", least).where("unit != least").select(F.col("unit").alias("a"), F.col("least").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
+    least = keys.groupBy(F.col("key").alias("k")).agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least != most")
+    pairs = keys.join(least, F.col("key") == F.col("k")).where("unit != least").select(F.col("unit").alias("a"), F.col("least").alias("b"))
+    clusters = stored(components(pairs), "clusters")
+    members = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("u"))
+    members = members.union(clusters.select("root", F.col("root").alias("u")).distinct())
 
-    units = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
-    one = places.join(units, F.col("unit") == F.col("u")).groupBy("unit").agg(F.min(F.struct("address", "doc_id", "place")).alias("one"))
+    one = places.join(members.select("u"), F.col("unit") == F.col("u")).groupBy("unit").agg(F.min(F.struct("address", "doc_id", "place")).alias("one"))
     wanted = one.groupBy(F.col("one.address").alias("at"), F.col("one.doc_id").alias("id")).agg(F.collect_list("one.place").alias("places"))
     contents = stored(_contents(rows, stored(wanted, "wanted"), window, shingle), "contents")
-    sides = [contents.select(F.col("unit").alias(f"{x}u"), F.col("words").alias(f"{x}w")) for x in "ab"]
-    joined = pairs.join(sides[0], F.col("a") == F.col("au")).join(sides[1], F.col("b") == F.col("bu"))
-    same = F.size(F.array_intersect("aw", "bw"))
-    alike = joined.where(same >= similarity * (F.size("aw") + F.size("bw") - same)).select("a", "b")
+    alike = _alike(members, contents, similarity)
 
     roots = components(alike)
     classed = places.join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).drop("node", "root")

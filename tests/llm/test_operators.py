@@ -187,6 +187,39 @@ def test_repeated_passages(spark, edge):
     assert substrings.repeated_passages(edge).count() == 0
 
 
+def test_near_copies_behind_a_frequent_line(spark):
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(8))
+    rows = []
+    for k in range(150):  # pairs that differ in the last word: Jaccard 19 / 21
+        start = f"{line} " + " ".join(word() for _ in range(15))
+        rows += [(2 * k, f"{start} {word()}"), (2 * k + 1, f"{start} {word()}")]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    whole = {r.doc_id for r in out if r.start == 0 and r.n_words == 24}
+    assert sum(2 * k in whole and 2 * k + 1 in whole for k in range(150)) >= 149
+
+
+def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = {i: set(rng.choice(12, 6, replace=False).tolist()) for i in range(40)}
+    members = spark.createDataFrame([(0, i) for i in sets], "cluster bigint, u bigint")
+    contents = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "unit bigint, words array<bigint>")
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+
+    def parts(links):
+        root = {i: i for i in sets}
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = {i: new if r == old else r for i, r in root.items()}
+        return {frozenset(i for i in root if root[i] == r) for r in root.values()}
+
+    for most in (8, 1000):
+        monkeypatch.setattr(substrings, "GROUP_UNITS", most)
+        links = {tuple(r) for r in substrings._alike(members, contents, 0.7).collect()}
+        assert {tuple(sorted(x)) for x in links} <= near and parts(links) == parts(near)
+
+
 def test_host_rates_and_verdicts(spark, edge):
     good = " ".join(f"word{k}" for k in range(60))
     rows = [(k, good, "fine") for k in range(20)] + [(100 + k, "short", "poor") for k in range(80)]
