@@ -1,4 +1,4 @@
-"""Operator 5: passages that repeat across documents, by MinHash banding of content-cut paragraphs."""
+"""Operator 5: passages that repeat across documents, by equal short and near-equal long paragraphs, cut by content."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
@@ -18,6 +18,8 @@ _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Values of MinHash in a band: a single frequent shingle does not fill a band's list.
 ROWS = 2
+#: Paragraphs in a row of which one begins a long paragraph: those have some 50 words.
+LONG = 12
 #: Paragraphs that one task compares with each other.
 GROUP_UNITS = 1024
 _SPACE = np.zeros(256, bool)
@@ -59,6 +61,30 @@ def paragraph_starts(words: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate([[0], np.unique(np.concatenate(least)) + 1])
 
 
+def long_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which paragraphs begin a long one: those whose cut has the least hash of ``LONG`` cuts in a row."""
+    if len(starts) <= LONG:
+        return np.zeros(min(1, len(starts)), np.int64)
+    pair = mix(words[starts[1:] - 1] * _STEP + words[starts[1:]])
+    least = np.lib.stride_tricks.sliding_window_view(pair, LONG - 1).argmin(1)
+    return np.concatenate([[0], np.unique(least + np.arange(len(least))) + 1])
+
+
+def paragraph_units(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """What equal paragraphs share: the hash of their words.
+
+    One of fewer than ``n`` words takes its ``n`` last words and its length instead, words
+    before it included, so that common words alone do not make documents alike.
+    """
+    unit = paragraph_hashes(words, starts)
+    if len(words) < n:
+        return unit
+    ends = np.append(starts[1:], len(words))
+    short = (ends - starts < n) & (ends >= n)
+    unit[short] = mix(shingles(words, n)[ends[short] - n] + (ends - starts)[short].astype(np.uint64) * _STEP)
+    return unit
+
+
 def paragraph_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hash of each paragraph's word sequence."""
     ends = np.append(starts[1:], len(words))
@@ -87,7 +113,8 @@ def band_keys(held: np.ndarray, counts: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
-    """Write ``kind=0`` (paragraphs with their place) and ``kind=1`` (band keys); returns the path."""
+    """Write ``kind=0`` (paragraphs with their place), ``kind=1`` (band keys of long paragraphs) and ``kind=2``
+    (long paragraphs: their number as ``key``, their first and last paragraph as ``place, n_words``); returns the path."""
     schema = "kind int, doc_id bigint, address bigint, unit bigint, place int, start bigint, end bigint, n_words int, key bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +129,7 @@ def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
 
         for batch in slices(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(6)]
-            rows: list[np.ndarray] = []
+            wide: list[list[np.ndarray]] = [[] for _ in range(5)]
             keys: list[np.ndarray] = []
             for row, text in enumerate(texts(batch)):
                 words = hashed(text)
@@ -111,24 +138,29 @@ def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
                 starts = paragraph_starts(words, window)
                 first, last = word_places(text)
                 ends = np.append(starts[1:], len(words))
-                whole = np.flatnonzero(ends - starts >= n)
-                if not len(whole):
-                    continue
-                unit = paragraph_hashes(words, starts)[whole].view(np.int64)
-                held = paragraph_shingles(words, starts, n)
-                banded = band_keys(held[held != _MOST], (ends - starts - n + 1)[whole], bands)
-                for out, value in zip(found, (unit, whole, first[starts[whole]], last[ends[whole] - 1], (ends - starts)[whole])):
+                unit = paragraph_units(words, starts, n).view(np.int64)
+                for out, value in zip(found, (np.full(len(unit), row), unit, np.arange(len(unit)), first[starts], last[ends - 1], ends - starts)):
                     out.append(value)
-                rows.append(np.full(len(whole), row))
+
+                begin = long_starts(words, starts)
+                until = np.append(begin[1:], len(starts)) - 1
+                sizes = ends[until] - starts[begin]
+                whole = np.flatnonzero(sizes >= n)
+                unit = paragraph_hashes(words, starts[begin])[whole].view(np.int64)
+                for out, value in zip(wide, (np.full(len(whole), row), unit, begin[whole], until[whole], whole)):
+                    out.append(value)
+                held = paragraph_shingles(words, starts[begin], n)
+                banded = band_keys(held[held != _MOST], (sizes - n + 1)[whole], bands)
                 keys.extend(np.stack([k.view(np.int64), unit]) for k in banded)
-            if not rows:
+            if not keys:
                 continue
-            at = pa.array(np.concatenate(rows))
-            unit, place, start, end, words_in = (np.concatenate(x) for x in found[:5])
-            columns = {"unit": unit, "place": place.astype(np.int32), "start": start, "end": end, "n_words": words_in.astype(np.int32)}
-            ready = batch_of(0, columns)
-            own = [batch.column("doc_id").take(at), batch.column("address").take(at)]
-            yield pa.RecordBatch.from_arrays([ready.column(0), *own, *ready.columns[3:]], names)
+            row, *rest = map(np.concatenate, found)
+            columns = dict(zip(("unit", "place", "start", "end", "n_words"), rest))
+            row_wide, *rest = map(np.concatenate, wide)
+            for kind, rows, held in ((0, row, columns), (2, row_wide, dict(zip(("unit", "place", "n_words", "key"), rest)))):
+                ready, at = batch_of(kind, {c: v.astype(np.int32) if c in ("place", "n_words") else v for c, v in held.items()}), pa.array(rows)
+                own = [batch.column("doc_id").take(at), batch.column("address").take(at)]
+                yield pa.RecordBatch.from_arrays([ready.column(0), *own, *ready.columns[3:]], names)
             key = np.unique(np.concatenate(keys, axis=1), axis=1)
             yield batch_of(1, {"unit": key[1], "key": key[0]})
 
@@ -137,10 +169,17 @@ def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
     return path
 
 
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, address, text, places`` of the documents in ``wanted`` (``at, id, places``); few texts are shuffled."""
+    on = (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    met = sieve(docs, "address", wanted, "at")[0].join(wanted.hint("merge"), on)
+    return met.select("doc_id", "address", "text", "places")
+
+
 def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFrame:
-    """``unit, words``: the shingle hashes of wanted paragraphs, each read from one document.
+    """``unit, words``: the shingle hashes of wanted long paragraphs, each read from one document.
 
-    ``wanted`` has ``at, id`` (a document) and ``places`` in it.
+    ``wanted`` has ``at, id`` (a document) and ``places``: numbers of long paragraphs in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +189,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFr
             for text, places in zip(texts(batch), batch.column("places").to_pylist()):
                 words = hashed(text)
                 starts = paragraph_starts(words, window)
+                starts = starts[long_starts(words, starts)]
                 unit, held = paragraph_hashes(words, starts).view(np.int64), paragraph_shingles(words, starts, n)
                 ends = np.append(starts[1:], len(words))
                 for k in places:
@@ -158,9 +198,72 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFr
                     sets.append(np.unique(part[part != _MOST]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "words"])
 
-    on = (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    fetched = sieve(docs, "address", wanted, "at")[0].join(wanted.hint("merge"), on).select("text", "places")
-    return fetched.mapInArrow(run, "unit bigint, words array<bigint>").dropDuplicates(["unit"])
+    return _fetched(docs, wanted).mapInArrow(run, "unit bigint, words array<bigint>").dropDuplicates(["unit"])
+
+
+def _outwards(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """``doc_id, address, edge, words, points``: the words that go on from an edge of a paragraph, nearest first.
+
+    ``wanted`` has ``at, id`` and ``places``: edges, 2 * place for the words before a
+    paragraph and 2 * place + 1 for those behind it. ``points`` are the words' far ends in code points.
+    """
+    schema = "doc_id bigint, address bigint, edge int, words array<bigint>, points array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words()
+        for batch in slices(batches, 64):
+            rows, edges, near, points = [], [], [], []
+            for row, (text, places) in enumerate(zip(texts(batch), batch.column("places").to_pylist())):
+                words = hashed(text)
+                first, last = word_places(text)
+                cuts = np.append(paragraph_starts(words, window), len(words))
+                for edge in places:
+                    at = cuts[edge // 2 + edge % 2]
+                    on = np.arange(at, min(at + 2 * window, len(words))) if edge % 2 else np.arange(at - 1, max(at - 2 * window, 0) - 1, -1)
+                    rows.append(row)
+                    edges.append(edge)
+                    near.append(words[on].view(np.int64))
+                    points.append((last if edge % 2 else first)[on])
+            at = pa.array(rows, pa.int64())
+            arrays = [batch.column("doc_id").take(at), batch.column("address").take(at), pa.array(edges, pa.int32())]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (near, points)]
+            yield pa.RecordBatch.from_arrays([*arrays, *lists], ["doc_id", "address", "edge", "words", "points"])
+
+    return _fetched(docs, wanted).mapInArrow(run, schema).dropDuplicates(["doc_id", "address", "edge"])
+
+
+def _extended(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """``runs`` with both ends moved outwards, word by word, as far as the copy at ``before`` or ``behind`` goes on alike."""
+    ends = []
+    for side, place, copy in ((0, "low", "before"), (1, "high", "behind")):
+        own = F.struct("doc_id", "address", (F.col(place) * 2 + side).cast("int").alias("edge")).alias("own")
+        other = F.struct(f"{copy}.doc_id", f"{copy}.address", (F.col(f"{copy}.place") * 2 + side).cast("int").alias("edge")).alias("other")
+        ends.append(runs.where(F.col(copy).isNotNull()).select("doc_id", "address", "run", F.lit(side).alias("side"), own, other))
+    pairs = stored(ends[0].union(ends[1]), "ends")
+    edges = pairs.select("own.*").union(pairs.select("other.*")).distinct()
+    wanted = edges.groupBy(F.col("address").alias("at"), F.col("doc_id").alias("id")).agg(F.collect_list("edge").alias("places"))
+    read = stored(_outwards(docs, stored(wanted, "wanted"), window), "outwards")
+
+    def met(x: str) -> DataFrame:
+        return read.select(*(F.col(c).alias(f"{x}_{c}") for c in read.columns))
+
+    def on(x: str) -> Column:
+        return (
+            F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{x}_doc_id")) & (F.col(f"{x}.address") == F.col(f"{x}_address")) & (F.col(f"{x}.edge") == F.col(f"{x}_edge"))
+        )
+
+    both = pairs.join(met("own"), on("own")).join(met("other"), on("other"))
+    equal = F.zip_with("own_words", "other_words", lambda a, b: a.eqNullSafe(b))
+    until = F.array_position(equal, F.lit(False))
+    both = both.withColumn("more", F.when(until > 0, until - 1).otherwise(F.size("own_words")).cast("int")).where("more > 0")
+    point = F.element_at("own_points", F.col("more"))
+    moved = both.groupBy(F.col("doc_id").alias("d"), F.col("address").alias("at"), F.col("run").alias("r")).agg(
+        F.min(F.when(F.col("side") == 0, point)).alias("from"), F.max(F.when(F.col("side") == 1, point)).alias("to"), F.sum("more").alias("more")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("address") == F.col("at")) & (F.col("run") == F.col("r"))
+    return runs.join(moved, same, "left").withColumns(
+        {"start": F.coalesce("from", "start"), "end": F.coalesce("to", "end"), "n_words": F.col("n_words") + F.coalesce("more", F.lit(0))}
+    )
 
 
 def linked_sets(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -238,27 +341,38 @@ def _alike(members: DataFrame, contents: DataFrame, similarity: float) -> DataFr
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
+def _members(roots: DataFrame) -> DataFrame:
+    """``cluster, u`` of all nodes of components, roots included."""
+    roots = stored(roots, "members")
+    members = roots.select(F.col("root").alias("cluster"), F.col("node").alias("u"))
+    return members.union(roots.select("root", F.col("root").alias("u")).distinct())
+
+
 def repeated_passages(
     docs: DataFrame,
     similarity: float = 0.8,
     recall: float = 0.99,
     shingle: int = 5,
-    window: int = 24,
+    window: int = 15,
     least_words: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Passages that stand in several documents: ``doc_id, start, end, n_words, n_paragraphs, class_id, removed``.
 
-    1. Texts are cut into paragraphs by content (:func:`paragraph_starts`).
-    2. Paragraphs of equal words are one; the others collide by MinHash bands, with as many
-       bands as ``recall`` at ``similarity`` takes. Colliding paragraphs are joined to the
-       least of their list, one pair each, and closed into clusters by components.
-    3. All paragraphs of a cluster are compared by the exact Jaccard similarity of their
-       ``shingle``-word shingles; those of ``similarity`` or more are closed into classes.
+    1. Texts are cut into paragraphs by content (:func:`paragraph_starts`), and paragraphs
+       in a row are grouped to long ones of some 50 words, also by content.
+    2. Paragraphs of equal words are one class (:func:`paragraph_units`). A passage of
+       2 * ``window`` + ``least_words`` words or more, 50 here, holds ``least_words`` of them.
+    3. Long paragraphs collide by MinHash bands, with as many bands as ``recall`` at
+       ``similarity`` takes. Colliding ones are joined to the least of their list, one pair
+       each, and closed into clusters by components. All of a cluster are compared by the
+       exact Jaccard similarity of their ``shingle``-word shingles; those of ``similarity``
+       or more are closed into classes, which their paragraphs take if they have no other.
     4. A class that stands in two documents or more is repeated. Repeated paragraphs in a
-       row are a passage if together they have ``least_words``: a passage of over 50 words
-       holds about that many in whole paragraphs, short common lines do not.
+       row are a passage if together they have ``least_words``.
+    5. Both ends of a passage go on word by word, at most 2 * ``window``, as far as they
+       equal the first copy of the class at that end (the first copy itself: the last one).
 
     One row per passage in place: start and end in code points. ``class_id`` is the least
     class in it. ``removed`` is false where all its classes occur first (by id, text and
@@ -272,31 +386,55 @@ def repeated_passages(
     schema = "doc_id bigint, address bigint, unit bigint, place int, start bigint, end bigint, n_words int, key bigint, kind int"
     parts = docs.sparkSession.read.schema(schema).parquet(path)
     places = parts.where("kind = 0").select("unit", "doc_id", "address", "place", "start", "end", "n_words")
+    wide = parts.where("kind = 2").select("unit", "doc_id", "address", F.col("place").alias("low"), F.col("n_words").alias("high"), "key")
     keys = parts.where("kind = 1").select("key", "unit").distinct()
     least = keys.groupBy(F.col("key").alias("k")).agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least != most")
     pairs = keys.join(least, F.col("key") == F.col("k")).where("unit != least").select(F.col("unit").alias("a"), F.col("least").alias("b"))
-    clusters = stored(components(pairs), "clusters")
-    members = clusters.select(F.col("root").alias("cluster"), F.col("node").alias("u"))
-    members = members.union(clusters.select("root", F.col("root").alias("u")).distinct())
+    members = _members(components(pairs))
 
-    one = places.join(members.select("u"), F.col("unit") == F.col("u")).groupBy("unit").agg(F.min(F.struct("address", "doc_id", "place")).alias("one"))
-    wanted = one.groupBy(F.col("one.address").alias("at"), F.col("one.doc_id").alias("id")).agg(F.collect_list("one.place").alias("places"))
+    one = wide.join(members.select("u"), F.col("unit") == F.col("u")).groupBy("unit").agg(F.min(F.struct("address", "doc_id", "key")).alias("one"))
+    wanted = one.groupBy(F.col("one.address").alias("at"), F.col("one.doc_id").alias("id")).agg(
+        F.collect_list(F.col("one.key").cast("int")).alias("places")
+    )
     contents = stored(_contents(rows, stored(wanted, "wanted"), window, shingle), "contents")
-    alike = _alike(members, contents, similarity)
-
-    roots = components(alike)
-    classed = places.join(roots, F.col("unit") == F.col("node"), "left").withColumn("class", F.coalesce("root", "unit")).drop("node", "root")
-    document = F.struct("doc_id", "address")
-    classes = classed.groupBy(F.col("class").alias("c")).agg(
-        F.min(document).alias("low"), F.max(document).alias("high"), F.min(F.struct("doc_id", "address", "place")).alias("first")
+    near = _members(components(_alike(members, contents, similarity)))
+
+    def two_documents(rows: DataFrame, copy: Column) -> DataFrame:
+        ends = rows.groupBy(F.col("class").alias("c")).agg(F.min(copy).alias("first"), F.max(copy).alias("last"))
+        document = [F.struct(f"{x}.doc_id", f"{x}.address") for x in ("first", "last")]
+        return ends.where(~document[0].eqNullSafe(document[1]))
+
+    # equal paragraphs; places that no class can have are left before the shuffle
+    classes = stored(two_documents(places.withColumnRenamed("unit", "class"), F.struct("doc_id", "address", "place")), "classes")
+    met = sieve(places, "unit", classes, "c")[0].join(classes, F.col("unit") == F.col("c"))
+    own = F.struct("doc_id", "address", "place")
+    other = F.when(own.eqNullSafe(F.col("first")), F.col("last")).otherwise(F.col("first"))
+    columns = ["doc_id", "address", "place", "start", "end", "n_words", "class", "is_first", "before", "behind"]
+    equal = met.select(
+        F.lit(0).alias("kind"), *columns[:6], F.col("unit").alias("class"), own.eqNullSafe(F.col("first")).alias("is_first"), other.alias("before"), other.alias("behind")
     )
-    classes = classes.where(~F.col("low").eqNullSafe(F.col("high"))).select("c", "first")
-    repeated = classed.join(classes, F.col("class") == F.col("c")).dropDuplicates(["doc_id", "address", "place"])
-    repeated = repeated.withColumn("is_first", F.struct("doc_id", "address", "place").eqNullSafe(F.col("first")))
+    # paragraphs of long ones that are alike
+    classed = stored(wide.join(near, F.col("unit") == F.col("u")).select("doc_id", "address", "low", "high", F.col("cluster").alias("class")), "alike")
+    own = F.struct("doc_id", "address", "low", "high")
+    spans = classed.join(two_documents(classed, own), F.col("class") == F.col("c"))
+    other = F.when(own.eqNullSafe(F.col("first")), F.col("last")).otherwise(F.col("first"))
+    spans = spans.withColumn("other", other).withColumn("is_first", own.eqNullSafe(F.col("first"))).withColumn("at", F.explode(F.sequence("low", "high")))
+    sides = {
+        name: F.when(F.col("at") == F.col(side), F.struct(F.col("other.doc_id"), F.col("other.address"), F.col(f"other.{side}").alias("place")))
+        for name, side in (("before", "low"), ("behind", "high"))
+    }
+    spans = stored(
+        spans.select(F.col("doc_id").alias("d"), F.col("address").alias("a"), "at", "class", "is_first", *(v.alias(k) for k, v in sides.items())), "spans"
+    )
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("address") == F.col("a")) & (F.col("place") == F.col("at"))
+    alike = sieve(places, "address", spans, "a")[0].join(spans, on).select(F.lit(1).alias("kind"), *columns)
+
+    repeated = equal.union(alike).groupBy("doc_id", "address", "place").agg(F.min(F.struct("kind", *columns[3:])).alias("one"))
+    repeated = repeated.select("doc_id", "address", "place", "one.*")
     # paragraphs in a row: of one document, so a window never holds more than one text's
     order = Window.partitionBy("doc_id", "address").orderBy("place")
     run = F.col("place") - F.row_number().over(order)
-    return (
+    runs = (
         repeated.withColumn("run", run)
         .groupBy("doc_id", "address", "run")
         .agg(
@@ -306,7 +444,12 @@ def repeated_passages(
             F.count("*").alias("n_paragraphs"),
             F.min("class").alias("class_id"),
             (~F.bool_and("is_first")).alias("removed"),
+            F.min("place").alias("low"),
+            F.max("place").alias("high"),
+            F.min_by("before", "place").alias("before"),
+            F.max_by("behind", "place").alias("behind"),
         )
         .where(F.col("n_words") >= least_words)
-        .drop("address", "run")
     )
+    passages = _extended(rows, stored(runs, "runs"), window)
+    return passages.select("doc_id", "start", "end", "n_words", "n_paragraphs", "class_id", "removed")

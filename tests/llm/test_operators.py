@@ -187,6 +187,30 @@ def test_repeated_passages(spark, edge):
     assert substrings.repeated_passages(edge).count() == 0
 
 
+def test_passages_of_51_words_and_their_ends(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    own = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], [own(51) for _ in range(120)]
+    for k, passage in enumerate(passages):
+        rows += [(2 * k + side, f"{own(40)} {passage} {own(40)}") for side in (0, 1)]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in out}
+    assert [found.get(k) for k in range(240)] == [p for p in passages for _ in (0, 1)]
+    assert all(r.n_words == 51 and r.removed == (r.doc_id % 2 == 1) for r in out)
+
+
+def test_long_near_copies(spark):
+    random.seed(7)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    rows = []
+    for k in range(20):
+        words = [word() for _ in range(70)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:35], word(), *words[36:]]))]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum(r.n_words == 70 for r in out) >= 30
+
+
 def test_near_copies_behind_a_frequent_line(spark):
     random.seed(4)
     word = lambda: "".join(random.choices("abcdefghij", k=6))
