@@ -128,6 +128,7 @@ def nearest(
     spark = rows.sparkSession
     good = usable(only(rows, id=(id_col, "bigint"), vector=(vector_col, "array<double>")))
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    good = stored(good.distinct(), "vectors")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     longest = good.agg(F.max(length).alias("n")).first()["n"]
     if longest is None:
@@ -157,7 +158,7 @@ def nearest(
             leaf = pa.array(np.array([x for f in found for x in f], np.int32))
             yield pa.RecordBatch.from_arrays([leaf, batch.column("id").take(row), batch.column("vector").take(row)], ["leaf", "id", "vector"])
 
-    asked = good.where(F.col("id") % 20 == 0 if is_query is None else is_query).distinct()
+    asked = good.where(F.col("id") % 20 == 0 if is_query is None else is_query)
     routed = asked.mapInArrow(route, "leaf int, id bigint, vector array<double>")
     own = F.pmod(F.xxhash64("id"), block_of).cast("int")
     held = indexed.select("leaf", own.alias("block"), F.lit(False).alias("is_query"), "id", "vector")
@@ -166,7 +167,7 @@ def nearest(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
-        matrix, names = None, None
+        matrix, names, reach = None, None, 0.0
         for batch in slices(batches, 1024):
             leaf, block, kind = (np.asarray(batch.column(c)) for c in ("leaf", "block", "is_query"))
             own_ids, own_vectors = np.asarray(batch.column("id")), _vectors(batch)
@@ -184,12 +185,15 @@ def nearest(
                     continue
                 if matrix is None:
                     matrix, names = np.concatenate(vectors), np.concatenate(ids)
+                    reach = np.linalg.norm(matrix, axis=1).max()
                 scores = own_vectors[a:b] @ matrix.T
                 scores[own_ids[a:b, None] == names[None, :]] = -np.inf
-                # a few more than k by the fast product, so that its rounding cannot decide
-                n = min(2 * k, scores.shape[1])
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                for q, picked in enumerate(best):
+                # all that the rounding of the fast product may hold apart from the k-th best, ties included
+                n = min(k, scores.shape[1])
+                edge = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
+                slack = 4 * matrix.shape[1] * np.finfo(float).eps * np.linalg.norm(own_vectors[a:b], axis=1) * reach
+                for q, least in enumerate(edge - slack):
+                    picked = np.flatnonzero(scores[q] >= least)
                     picked = picked[names[picked] != own_ids[a + q]]
                     exact = (matrix[picked] * own_vectors[a + q]).sum(1)
                     keep = np.lexsort((names[picked], -exact))[:k]

@@ -244,6 +244,16 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
         assert {tuple(sorted(x)) for x in links} <= near and parts(links) == parts(near)
 
 
+def test_neighbours_with_many_ties_and_repeats(spark):
+    rng = np.random.default_rng(9)
+    rows = [(20, [1.0, 0.0, 0.0])] + [(k, [0.9, 0.1, 0.2]) for k in rng.permutation(np.arange(101, 301)).tolist() if k % 20]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert [r.vec_id for r in out.orderBy("rank").collect()] == sorted(i for i, _ in rows if i != 20)[:20]
+    rows = [(20, [1.0, 0.0, 0.0])] + [(1, [0.9, 0.1, 0.2])] * 100 + [(k, [0.5, 0.01 * k, 0.1]) for k in range(41, 60)]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert [r.vec_id for r in out.orderBy("rank").collect()] == [1, *range(41, 60)]
+
+
 def test_host_rates_and_verdicts(spark, edge):
     good = " ".join(f"word{k}" for k in range(60))
     rows = [(k, good, "fine") for k in range(20)] + [(100 + k, "short", "poor") for k in range(80)]
