@@ -15,6 +15,8 @@ from .common import only, slices, texts
 #: Hash slots of features: bounds the model, 8 MB of weights, whatever the corpus.
 SLOTS = 1 << 20
 _REMEMBERED = 1 << 19
+#: Longer words, such as whole texts of unspaced scripts, are not remembered.
+_LONGEST = 64
 # Neutral names of groups, by language; a term is swapped for others of its row.
 IDENTITIES = (
     "black white asian african european american latino arab indian chinese".split(),
@@ -43,9 +45,9 @@ def word_set(text: str) -> set[str]:
 
 def word_slots(word: str) -> list[int]:
     """Hash slots of a word: itself, and its runs of four and five characters with its ends marked."""
-    marked = f"^{word[:64]}$"
-    parts = {f"={word}", *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))}
-    return [crc32(p.encode("utf-8", "replace")) % SLOTS for p in sorted(parts)]
+    marked = f"^{word}$"
+    parts = dict.fromkeys([f"={word}", *(marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1))])
+    return [crc32(p.encode("utf-8", "replace")) % SLOTS for p in parts]
 
 
 def swapped(words: set[str]) -> set[str] | None:
@@ -67,9 +69,10 @@ class Scorer:
         if got is None:
             stripped = word.strip(_EDGES)
             got = float(self.weights[word_slots(stripped)].sum()) if stripped else 0.0
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            self.known[word] = got
+            if len(word) <= _LONGEST:
+                if len(self.known) >= _REMEMBERED:
+                    self.known.clear()
+                self.known[word] = got
         return got
 
     def __call__(self, text: str) -> float:

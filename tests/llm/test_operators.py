@@ -254,6 +254,16 @@ def test_neighbours_with_many_ties_and_repeats(spark):
     assert [r.vec_id for r in out.orderBy("rank").collect()] == [1, *range(41, 60)]
 
 
+def test_runs_of_long_words_move_the_score():
+    weights = np.zeros(toxicity.SLOTS)
+    weights[toxicity.word_slots("zorgblat")] = 1.0
+    scorer = toxicity.Scorer(weights, -3.0)
+    for sign in ("", ".", "/"):
+        plain = sign.join(f"{k}ab" for k in range(1000, 1100))
+        assert scorer(f"{plain}{sign}zorgblat{sign}{plain}") > 0.5 > scorer(plain)
+    assert all(len(w) <= 64 for w in scorer.known)
+
+
 def test_host_rates_and_verdicts(spark, edge):
     good = " ".join(f"word{k}" for k in range(60))
     rows = [(k, good, "fine") for k in range(20)] + [(100 + k, "short", "poor") for k in range(80)]
