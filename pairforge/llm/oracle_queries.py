@@ -77,7 +77,29 @@ select doc_id, size, source_size, target,
 from placed
 """
 
+_NEGATIVES = """
+with vectors as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from vectors a join vectors b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+  from positives join scored using (anchor_id)
+  where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from ranked where rank <= 10
+"""
+
 ORACLES = {
+    "op13_hard_negatives": _NEGATIVES,
     "op7_source_mix": _MIX,
     "op9_quality_rules": _QUALITY,
 }
