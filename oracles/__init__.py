@@ -11,7 +11,7 @@ from .parts import P, WS, cleaned, corrupt_sentence, corrupt_word, lit, pieces_o
 from .scores import (
     agreement_sql, beam_sql, bleu_sql, chrf_sql, edits_sql, gleu_sql, nll_sql, rouge_sql,
 )
-from .subwords import merges_sql, segments_sql, vocab_sql, word_counts_sql
+from .subwords import word_counts_sql
 
 ORACLES: dict[str, str] = {}
 
@@ -138,9 +138,6 @@ add(
     "target_vocab",
     held=_held_sentences,
 )
-ORACLES["subword_merges"] = merges_sql()
-ORACLES["subword_vocab"] = vocab_sql()
-ORACLES["subword_segments"] = segments_sql()
 ORACLES["subword_word_counts"] = word_counts_sql()
 
 # --- encoding and batching ---

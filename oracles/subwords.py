@@ -1,9 +1,8 @@
-"""Check SQL for subword training: one common table per merge."""
+"""Check SQL for the words that subword training counts."""
 
 from __future__ import annotations
 
 from pairforge.functions.text import WORD_OR_PUNCT
-from pairforge.plans.datasets import DEMO_MERGES
 
 from .parts import lit, with_tables, words
 
@@ -16,46 +15,3 @@ _COUNTS = (
 
 def word_counts_sql() -> str:
     return with_tables(f"SELECT word, n FROM ({_COUNTS})", "sentences")
-
-
-def _rounds(merges: int) -> dict[str, str]:
-    tables = {
-        "w0": f"SELECT word, n, regexp_replace(word, '(?s)(.)', ' \\1 ', 'g') AS s FROM ({_COUNTS})",
-        "alphabet": "SELECT c, row_number() OVER (ORDER BY unicode(c)) + 3 AS id FROM "
-        "(SELECT DISTINCT unnest(string_split(trim(s), '  ')) AS c FROM w0)",
-        "ids0": "SELECT c AS token, id FROM alphabet",
-    }
-    for i in range(merges):
-        tables[f"p{i}"] = (
-            "SELECT l, r, sum(n)::BIGINT AS n FROM (SELECT unnest(list_zip(x[:-2], x[2:])) AS q, q[1] AS l, q[2] AS r, n FROM "
-            f"(SELECT string_split(trim(s), '  ') AS x, n FROM w{i})) GROUP BY l, r"
-        )
-        tables[f"m{i}"] = (
-            f"SELECT l, r, n FROM p{i} JOIN ids{i} a ON a.token = l JOIN ids{i} b ON b.token = r ORDER BY n DESC, a.id, b.id LIMIT 1"
-        )
-        tables[f"w{i + 1}"] = (
-            f"SELECT word, w.n, replace(s, ' ' || l || '  ' || r || ' ', ' ' || l || r || ' ') AS s FROM w{i} w, m{i}"
-        )
-        tables[f"ids{i + 1}"] = (
-            f"SELECT * FROM ids{i} UNION ALL SELECT l || r, (SELECT max(id) + 1 FROM ids{i}) FROM m{i} "
-            f"WHERE l || r NOT IN (SELECT token FROM ids{i})"
-        )
-    return tables
-
-
-def merges_sql(merges: int = DEMO_MERGES) -> str:
-    final = " UNION ALL ".join(
-        f'SELECT {i} AS rank, l AS "left", r AS "right", l || r AS merged, n FROM m{i}' for i in range(merges)
-    )
-    return with_tables(final, "sentences", extra=_rounds(merges))
-
-
-def vocab_sql(merges: int = DEMO_MERGES) -> str:
-    markers = "SELECT * FROM (VALUES ('<sos>', 0), ('<eos>', 1), ('<pad>', 2), ('<unk>', 3)) v(token, id)"
-    return with_tables(f"{markers} UNION ALL SELECT token, id FROM ids{merges}", "sentences", extra=_rounds(merges))
-
-
-def segments_sql(merges: int = DEMO_MERGES) -> str:
-    return with_tables(
-        f"SELECT word, replace(trim(s), '  ', ' ') AS pieces FROM w{merges}", "sentences", extra=_rounds(merges)
-    )

@@ -1,50 +1,36 @@
-"""Byte-pair-encoding vocabularies trained by Spark jobs over the distinct words.
-
-A word is held as its symbols, each wrapped in single spaces: ``" t  h  e "``. Words have
-no inner whitespace, so merging a pair is one literal ``replace`` of ``" t  h "`` by
-``" th "``: leftmost first, non-overlapping, inside generated code.
-"""
+"""Byte-pair-encoding vocabularies: word counts, encoding and decoding. Training is in ``bpe_training``."""
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_or_punct, words_of
 from ..session import stored
+from .bpe_training import MARKERS, MERGE_SCHEMA, VOCAB_SIZE, train
 from .joins import lookup
 
-# Trainer vocabulary size and marker tokens, which take the first ids.
-VOCAB_SIZE = 40_000
-MARKERS = ("<sos>", "<eos>", "<pad>", "<unk>")
-
-MERGE_SCHEMA = T.StructType(
-    [
-        T.StructField("rank", T.IntegerType(), False),
-        T.StructField("left", T.StringType(), False),
-        T.StructField("right", T.StringType(), False),
-        T.StructField("merged", T.StringType(), False),
-        T.StructField("n", T.LongType(), False),
-    ]
-)
-
-_FRONTIER = 512
-_STORE_EVERY = 64
+__all__ = ["MARKERS", "MERGE_SCHEMA", "VOCAB_SIZE", "decode", "decode_words", "encode", "merge_list", "train", "word_counts", "word_pieces"]
 
 
 @F.pandas_udf(T.StringType())
 def nfkc(words: pd.Series) -> pd.Series:
     """Unicode NFKC form."""
-    return words.map(lambda w: unicodedata.normalize("NFKC", w))
+    return words.map(lambda w: unicodedata.normalize("NFKC", w), na_action="ignore")
 
 
 def normalise(text: Column) -> Column:
-    """NFKC where needed; plain ASCII text never leaves the JVM."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfkc(text))
+    """NFKC where needed; of plain ASCII text only a null goes to Python."""
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.coalesce(F.when(plain, text), nfkc(F.when(~plain, text)))
 
 
 def word_counts(sentences: DataFrame) -> DataFrame:
@@ -53,181 +39,104 @@ def word_counts(sentences: DataFrame) -> DataFrame:
     Whitespace words are counted first, so NFKC sees each distinct word once.
     """
     raw = sentences.select(F.explode(words_of(F.col("sentence"))).alias("raw")).groupBy("raw").agg(F.count("*").alias("c"))
-    ascii_words = raw.where(F.col("raw").rlike(r"^\p{ASCII}*$"))
-    others = raw.where(~F.col("raw").rlike(r"^\p{ASCII}*$")).withColumn("raw", nfkc("raw"))
-    return (
-        ascii_words.unionByName(others)
-        .select(F.explode(word_or_punct(F.col("raw"))).alias("word"), "c")
-        .groupBy("word")
-        .agg(F.sum("c").alias("n"))
-    )
-
-
-def as_symbols(word: Column) -> Column:
-    return F.regexp_replace(word, r"(?s)(.)", r" $1 ")
-
-
-def apply_merge(symbols: Column, left: str, right: str) -> Column:
-    return F.replace(symbols, F.lit(f" {left}  {right} "), F.lit(f" {left}{right} "))
+    words = raw.select(F.explode(word_or_punct(normalise(F.col("raw")))).alias("word"), "c")
+    return words.groupBy("word").agg(F.sum("c").alias("n"))
 
 
-def symbol_array(symbols: Column) -> Column:
-    return F.split(F.trim(symbols), "  ")
-
-
-def pair_counts(words: DataFrame) -> DataFrame:
-    """``left, right, n`` over adjacent symbols; overlapping repeats count each time."""
-    parts = words.select(symbol_array(F.col("symbols")).alias("s"), "n").where(F.size("s") > 1)
-    pairs = parts.select(
-        F.explode(
-            F.zip_with(
-                F.slice("s", F.lit(1), F.size("s") - 1),
-                F.slice("s", F.lit(2), F.size("s") - 1),
-                lambda a, b: F.struct(a.alias("left"), b.alias("right")),
-            )
-        ).alias("p"),
-        "n",
-    )
-    return pairs.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("n").alias("n"))
+def merge_list(merges: DataFrame) -> list[tuple[str, str]]:
+    """All merges in rank order: as many as the vocabulary was trained for."""
+    return [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
 
 
-def safe_prefix(frontier: list[tuple[str, str, int]], ids: dict[str, int], complete: bool) -> list[tuple[str, str, int]]:
-    """The leading pairs that one-by-one training would merge next, in order.
+class Segmenter:
+    """Cuts words into pieces: joins the lowest-ranked pair, leftmost first, while there is one.
 
-    Pairs come by count, ties by symbol ids. A merge of (a, b) only changes pairs that
-    touch a or b, and a pair it creates is at most as frequent as the old (x, a) or
-    (b, y) it came from; for a doubled symbol that includes (a, a) itself. So the next pair
-    is certain while it shares no symbol with the merges before it and is strictly more
-    frequent than anything those can create. If the merged string is a symbol already, its
-    present pairs gain counts that are not known here, so nothing after it is certain.
-    """
-    ranked = sorted(frontier, key=lambda p: (-p[2], ids[p[0]], ids[p[1]]))
-    floor = 0 if complete else ranked[-1][2]
-    ranked = [p for p in ranked if complete or p[2] > floor] or ranked[:1]
-    chosen: list[tuple[str, str, int]] = []
-    touched: set[str] = set()
-    ceiling = -1
-    for left, right, n in ranked:
-        if chosen and (left in touched or right in touched or n <= ceiling):
-            break
-        chosen.append((left, right, n))
-        touched |= {left, right}
-        if left + right in ids:
-            break
-        near = [c for a, b, c in frontier if ((a, b) != (left, right) or left == right) and (b == left or a == right)]
-        ceiling = max([ceiling, floor, *near])
-    return chosen
-
-
-def _frontier(pairs: DataFrame, order: list[Column]) -> list[tuple[str, str, int]]:
-    return [(r["left"], r["right"], r["n"]) for r in pairs.orderBy(*order).limit(_FRONTIER).collect()]
-
-
-def _by_ids(pairs: DataFrame, ids: dict[str, int]) -> tuple[DataFrame, list[Column]]:
-    """Pairs with their symbol ids (the vocabulary so far, broadcast) and that order."""
-    known = pairs.sparkSession.createDataFrame(list(ids.items()), "s string, i int")
-    for side in ("left", "right"):
-        named = known.select(F.col("s").alias(side), F.col("i").alias(f"{side}_id"))
-        pairs = pairs.join(F.broadcast(named), side)
-    return pairs, [F.desc("n"), F.col("left_id"), F.col("right_id")]
-
-
-def train(counts: DataFrame, vocab_size: int = VOCAB_SIZE, max_merges: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Exact training: returns ``merges(rank, left, right, merged, n)`` and ``vocab(token, id)``.
-
-    The state is one row per distinct word. Each round counts pairs with a map-side
-    combined ``groupBy`` and brings at most 512 frequent pairs to the driver, which picks
-    the merges that are certain. The alphabet and the merges are bounded by the
-    vocabulary size. The state is written to the shared folder now and then, so plans
-    stay short and a lost executor costs one stage.
+    Symbols form a linked list; a heap has the ranked pairs by (rank, place). A join looks at
+    its two neighbours alone, so a word of n characters costs O(n log n).
     """
-    spark = counts.sparkSession
-    words = stored(counts.select("word", "n", as_symbols(F.col("word")).alias("symbols")), "bpe")
-    letters = words.select(F.explode(symbol_array(F.col("symbols"))).alias("c")).distinct()
-    alphabet = sorted(r["c"] for r in letters.collect())  # single characters: bounded by Unicode
-    ids = {token: i for i, token in enumerate([*MARKERS, *alphabet])}
-    merges: list[tuple[int, str, str, str, int]] = []
-    budget = vocab_size - len(ids) if max_merges is None else max_merges
-    pending = 0
-    while len(merges) < budget and len(ids) < vocab_size:
-        frontier = _frontier(pair_counts(words), [F.desc("n"), F.col("left"), F.col("right")])
-        if not frontier:
-            break
-        if len(frontier) == _FRONTIER and frontier[0][2] == frontier[-1][2]:
-            # ties fill the list: only the order by symbol ids says which pairs belong in it
-            frontier = _frontier(*_by_ids(pair_counts(words), ids))
-        for left, right, n in safe_prefix(frontier, ids, len(frontier) < _FRONTIER):
-            if len(merges) == budget or len(ids) >= vocab_size:
-                break
-            merged = left + right
-            ids.setdefault(merged, len(ids))
-            merges.append((len(merges), left, right, merged, n))
-            words = words.withColumn("symbols", apply_merge(F.col("symbols"), left, right))
-            pending += 1
-        if pending >= _STORE_EVERY:
-            words, pending = stored(words, "bpe"), 0
-    vocab = spark.createDataFrame(list(ids.items()), "token string, id int")
-    return spark.createDataFrame(merges, MERGE_SCHEMA), vocab
 
+    def __init__(self, merges: list[tuple[str, str]]) -> None:
+        self.ranks = {pair: i for i, pair in enumerate(merges)}
+
+    def pieces(self, word: str) -> list[str]:
+        parts: list[str | None] = list(word)
+        n, get = len(parts), self.ranks.get
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(rank, i) for i in range(n - 1) if (rank := get((parts[i], parts[i + 1]))) is not None]
+        heapify(queue)
+        while queue:
+            rank, i = heappop(queue)
+            j = right[i]
+            if parts[i] is None or j == n or get((parts[i], parts[j])) != rank:
+                continue
+            parts[i] += parts[j]
+            parts[j] = None
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+                if (new := get((parts[i], parts[after]))) is not None:
+                    heappush(queue, (new, i))
+            before = left[i]
+            if before >= 0 and (new := get((parts[before], parts[i]))) is not None:
+                heappush(queue, (new, before))
+        return [p for p in parts if p is not None]
+
+
+@lru_cache(maxsize=2)
+def _segmenter(merges: Broadcast) -> Segmenter:
+    """Built once per Python worker."""
+    return Segmenter(merges.value)
 
-def merge_list(merges: DataFrame) -> list[tuple[str, str]]:
-    """All merges in rank order: as many as the vocabulary was trained for."""
-    return [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
 
-
-def segmenter(merges: list[tuple[str, str]]):
-    """Arrow UDF word -> subword pieces, always joining the lowest-ranked adjacent pair."""
-    ranks = {pair: i for i, pair in enumerate(merges)}
-
-    def pieces(word: str) -> list[str]:
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
-            if best not in ranks:
-                break
-            out: list[str] = []
-            for part in parts:
-                # a just-joined piece equals no single side of the pair, so it is not joined again
-                if out and out[-1] == best[0] and part == best[1]:
-                    out[-1] = best[0] + best[1]
-                else:
-                    out.append(part)
-            parts = out
-        return parts
+def word_pieces(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """``word, pieces`` for a column of distinct words."""
+    shared = words.sparkSession.sparkContext.broadcast(merges)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def segment(words: pd.Series) -> pd.Series:
-        return words.map(pieces)
+    def segment(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = _segmenter(shared).pieces
+        for part in series:
+            yield part.map(pieces)
 
-    return segment
+    return words.select("word", segment("word").alias("pieces"))
 
 
-def word_pieces(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``word, pieces`` for a column of distinct words."""
-    return words.select("word", segmenter(merges)(F.col("word")).alias("pieces"))
+def _coder(merges: Broadcast, ids: Broadcast, unknown: int | None):
+    """Arrow UDF: the parts of a word to the ids of their pieces."""
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def code(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces, known = _segmenter(merges).pieces, ids.value
+        for part in series:
+            found = part.map(lambda words: [known.get(p, unknown) for w in words for p in pieces(w)])
+            yield found.map(lambda x: [i for i in x if i is not None])
 
-def encode(rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unknown: int | None = None) -> DataFrame:
+    return code
+
+
+def encode(
+    rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unknown: int | None = None, keep_words: bool = False
+) -> DataFrame:
     """``ex_id, ids`` of ``rows(ex_id, text)``.
 
-    Every distinct word is segmented once and its ids are looked up once; occurrences only
-    join the result. Characters outside the alphabet are dropped, or become ``unknown``.
-    A row without words keeps its place, with no ids.
+    Every distinct word is segmented once; occurrences only join its ids. Merges and
+    vocabulary, bounded by the vocabulary size, are shipped to each worker once. Characters
+    outside the alphabet are dropped, or become ``unknown``. A row without words keeps its
+    place, with no ids. ``keep_words`` adds ``word_lengths``, the number of ids of each
+    whitespace word, which :func:`decode_words` needs.
     """
+    context = rows.sparkSession.sparkContext
+    ids = context.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").collect()})
+    code = _coder(context.broadcast(merges), ids, unknown)
     tokens = rows.select("ex_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "raw"))
-    distinct = tokens.where(F.col("raw").isNotNull()).select("raw").distinct().withColumn("norm", normalise(F.col("raw")))
-    parts = distinct.select("raw", F.posexplode(word_or_punct(F.col("norm"))).alias("k", "word"))
-    pieces = parts.select("raw", "k", F.posexplode(segmenter(merges)(F.col("word"))).alias("j", "token"))
-    known = lookup(pieces, vocab.select("token", "id"), ["token"])
-    value = F.col("id") if unknown is None else F.coalesce(F.col("id"), F.lit(unknown))
-    placed = F.when(value.isNotNull(), F.struct("k", "j", value.alias("id")))
-    by_word = known.groupBy("raw").agg(
-        F.transform(F.array_sort(F.collect_list(placed)), lambda x: x["id"]).alias("word_ids")
-    )
-    joined = lookup(tokens, by_word, ["raw"])
+    distinct = tokens.where(F.col("raw").isNotNull()).select("raw").distinct()
+    parts = distinct.select("raw", word_or_punct(normalise(F.col("raw"))).alias("parts"))
+    by_word = stored(parts.select("raw", code("parts").alias("word_ids")), "word-ids")
     held = F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("v"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), held)))
-    return joined.groupBy("ex_id").agg(F.flatten(F.transform(ordered, lambda x: x["v"])).alias("ids"))
+    grouped = lookup(tokens, by_word, ["raw"]).groupBy("ex_id").agg(F.transform(ordered, lambda x: x["v"]).alias("v"))
+    lengths = [F.transform("v", F.size).alias("word_lengths")] if keep_words else []
+    return grouped.select("ex_id", F.flatten("v").alias("ids"), *lengths)
 
 
 def decode(encoded: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
@@ -236,3 +145,20 @@ def decode(encoded: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
     words = lookup(tokens, vocab.select("id", "token"), ["id"])
     ordered = F.array_sort(F.collect_list(F.when(~F.col("token").isin(*MARKERS), F.struct("pos", "token"))))
     return words.groupBy("ex_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"))
+
+
+def decode_words(encoded: DataFrame, ids: str, lengths: str, vocab: DataFrame) -> DataFrame:
+    """``ex_id, text`` with the pieces of a word joined: the normalised words, single spaces between.
+
+    ``lengths`` is the column ``word_lengths`` of :func:`encode`, before markers are added. A
+    word of which no piece is left gives no word.
+    """
+    # the word of every id: as many times its number as it has ids
+    owners = F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
+    tokens = encoded.select("ex_id", F.posexplode_outer(F.arrays_zip(F.col(ids).alias("id"), owners.alias("word"))).alias("pos", "t"))
+    tokens = tokens.select("ex_id", "pos", F.col("t.id").alias("id"), F.col("t.word").alias("word"))
+    named = lookup(tokens, vocab.select("id", "token"), ["id"])
+    ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "word", "token"))))
+    grouped = named.groupBy("ex_id").agg(ordered.alias("o"))
+    spaced = F.transform("o", lambda x, i: F.when((i > 0) & (x["word"] != F.get("o", i - 1)["word"]), F.concat(F.lit(" "), x["token"])).otherwise(x["token"]))
+    return grouped.select("ex_id", F.array_join(spaced, "").alias("text"))

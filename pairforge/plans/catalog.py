@@ -237,9 +237,8 @@ def oov_rate(spark, d):
 
 @query
 def subword_merges(spark, d):
-    path = scratch_path(spark, "merges")
-    tables.write_merges(D.subword_model(spark, d)[0], path)
-    return spark.read.parquet(path)
+    """The merges of a vocabulary of 40,000, or of all pairs of a smaller corpus."""
+    return D.subword_model(spark, d)[0]
 
 
 @query
@@ -251,7 +250,7 @@ def subword_vocab(spark, d):
 def subword_segments(spark, d):
     """Every distinct word cut into pieces by the learned merges."""
     counts = stored(bpe.word_counts(D.sentence_rows(spark, d)), "words")
-    merges, _ = bpe.train(counts, max_merges=D.DEMO_MERGES)
+    merges, _ = D.subword_model(spark, d)
     return bpe.word_pieces(counts, bpe.merge_list(merges)).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batching, bpe, corpus, encode, epochs, indexing, pairs, scans, trials, vocab
-from ..session import scratch_path, spread, stored
+from ..session import scratch_path, shared_dir, spread, stored
+from ..sources import committed
 from ..sources import corpus as corpus_source
 from ..sources import logs
 
@@ -133,11 +134,21 @@ def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- subwords --------------------------------------------------------------------------
 
-DEMO_MERGES = 24
 
+def subword_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Merges and vocabulary of all sentences, trained once to the full size.
 
-def subword_model(spark: SparkSession, sf_dir: str, merges: int = DEMO_MERGES) -> tuple[DataFrame, DataFrame]:
-    return bpe.train(bpe.word_counts(sentence_rows(spark, sf_dir)), max_merges=merges)
+    Stored in the shared folder under everything that shapes it, the files of the corpus
+    included, so that all queries of a corpus share one model.
+    """
+    key = {"model": "subwords", "size": bpe.VOCAB_SIZE, "files": committed.fingerprint(table(spark, sf_dir, "documents"))}
+
+    def build() -> dict[str, DataFrame]:
+        merges, words = bpe.train(bpe.word_counts(sentence_rows(spark, sf_dir)))
+        return {"merges": merges, "vocab": words}
+
+    found = committed.read_or_build(spark, os.path.join(shared_dir(spark), "models"), key, build)
+    return found["merges"], found["vocab"]
 
 
 # --- scores ----------------------------------------------------------------------------

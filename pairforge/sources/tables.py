@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import warnings
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAIR_KEYS = ("n", "rep", "p", "mode")
+from . import committed
+
 PAIRS_SCHEMA = "source string, target string, doc_id bigint, sent_pos int, variant int, is_identity boolean"
 
 
@@ -27,41 +27,28 @@ def read_vocab(spark: SparkSession, path: str, side: str, tokenizer: str = "word
     return rows.where((F.col("side") == side) & (F.col("tokenizer") == tokenizer)).drop("tokenizer")
 
 
-def pairs_path(root: str, n: int, rep: int, p: float, mode: str) -> str:
-    return os.path.join(root, f"n={n}", f"rep={rep}", f"p={p}", f"mode={mode}")
-
-
-def write_pairs(pairs: DataFrame, root: str, n: int, rep: int, p: float, mode: str) -> None:
-    """Write one parameter set as its own partition of the pair table."""
-    pairs.write.mode("overwrite").parquet(pairs_path(root, n, rep, p, mode))
+def pairs_key(n: int, rep: int, p: float, mode: str) -> dict[str, object]:
+    return {"table": "pairs", "n": n, "rep": rep, "p": p, "mode": mode}
 
 
 def read_pairs(spark: SparkSession, root: str, n: int, rep: int, p: float, mode: str) -> DataFrame | None:
-    """The stored pairs of a parameter set; None if they were never built."""
-    try:
-        return spark.read.parquet(pairs_path(root, n, rep, p, mode))
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    """The stored pairs of a parameter set; None if they were never built to the end."""
+    found = committed.committed(spark, committed.key_path(root, pairs_key(n, rep, p, mode)))
+    return None if found is None else found["pairs"]
 
 
 def pairs_or_empty(spark: SparkSession, root: str, n: int, rep: int, p: float, mode: str) -> DataFrame:
-    found = read_pairs(spark, root, n, rep, p, mode)
-    return found if found is not None else spark.createDataFrame([], PAIRS_SCHEMA)
-
-
-def read_or_build(spark: SparkSession, root: str, n: int, rep: int, p: float, mode: str, build) -> DataFrame:
-    """Reuse the partition of exactly these parameters, or build and store it."""
+    """The stored pairs, or an empty table and a warning."""
     found = read_pairs(spark, root, n, rep, p, mode)
     if found is None:
-        write_pairs(build(), root, n, rep, p, mode)
-        found = read_pairs(spark, root, n, rep, p, mode)
+        warnings.warn(f"no pairs are stored for n={n}, rep={rep}, p={p}, mode={mode}", stacklevel=2)
+        return spark.createDataFrame([], PAIRS_SCHEMA)
     return found
 
 
-def write_merges(merges: DataFrame, path: str) -> None:
-    merges.write.mode("overwrite").parquet(path)
+def read_or_build(spark: SparkSession, root: str, n: int, rep: int, p: float, mode: str, build) -> DataFrame:
+    """Reuse the pairs of exactly these parameters, or build and store them."""
+    return committed.read_or_build(spark, root, pairs_key(n, rep, p, mode), lambda: {"pairs": build()})["pairs"]
 
 
 def append_scalars(rows: DataFrame, path: str) -> None:

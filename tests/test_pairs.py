@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -5,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import noise
 from pairforge.functions.rng import key_of
-from pairforge.operators import batching, bpe, encode, indexing, joins, pairs, splits, vocab
+from pairforge.operators import batching, bpe, bpe_training, corpus, encode, indexing, joins, pairs, splits, vocab
+from pairforge.session import stored
 
 
 def sents(spark, texts):
@@ -130,18 +132,51 @@ def test_bpe_equals_library(spark):
     assert decoded == tok.decode(got)
 
 
-def test_bpe_with_ties_beyond_the_frontier(spark, monkeypatch):
+@pytest.mark.parametrize("frontier", [1, 2, 7])
+def test_bpe_with_ties_beyond_the_frontier(spark, monkeypatch, frontier):
     counts = bpe.word_counts(sents(spark, CORPUS))
     merges, words = bpe.train(counts, vocab_size=50)
-    monkeypatch.setattr(bpe, "_FRONTIER", 2)
+    monkeypatch.setattr(bpe_training, "FIRST_PAIRS", frontier)
+    monkeypatch.setattr(bpe_training, "MOST_PAIRS", frontier)
     few, same = bpe.train(counts, vocab_size=50)
     assert sorted(few.collect()) == sorted(merges.collect()) and sorted(same.collect()) == sorted(words.collect())
 
 
-def test_safe_prefix_stops_at_shared_symbols():
-    ids = {c: i for i, c in enumerate("abcdef")}
-    frontier = [("a", "b", 9), ("c", "d", 8), ("b", "c", 7), ("e", "f", 5)]
-    assert bpe.safe_prefix(frontier, ids, True) == [("a", "b", 9), ("c", "d", 8)]
+def test_a_real_vocabulary_equals_library(spark, sf_dir, monkeypatch):
+    """Some 3,000 merges of a whole corpus, by rounds with few and with many fragments."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, trainers
+
+    lines = corpus.sentences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    tok = Tokenizer(models.BPE())
+    tok.normalizer = normalizers.NFKC()
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    texts = [r["sentence"] for r in lines.select("sentence").collect()]
+    tok.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=3_000, special_tokens=list(bpe.MARKERS), show_progress=False))
+    counts = stored(bpe.word_counts(lines), "counts")
+    merges, words = bpe.train(counts, vocab_size=3_000)
+    assert {r["token"]: r["id"] for r in words.collect()} == tok.get_vocab()
+    pieces = bpe.merge_list(merges)
+    assert [list(p) for p in pieces] == json.loads(tok.to_str())["model"]["merges"]
+    cut = {r["word"]: r["pieces"] for r in bpe.word_pieces(counts, pieces).collect()}
+    assert all(parts == tok.encode(word).tokens for word, parts in cut.items())
+    monkeypatch.setattr(bpe_training, "MOST_FRAGMENTS", 300)
+    again, _ = bpe.train(counts, max_merges=400)
+    assert bpe.merge_list(again) == pieces[:400]
+
+
+def test_words_are_put_together_again(spark):
+    counts = bpe.word_counts(sents(spark, CORPUS))
+    merges, words = bpe.train(counts, vocab_size=60)
+    rows = spark.createDataFrame([(1, "these newest, theses"), (2, ""), (3, None), (4, "\u00e9 low")], "ex_id bigint, text string")
+    ids = bpe.encode(rows, bpe.merge_list(merges), words, keep_words=True)
+    got = {r.ex_id: r.text for r in bpe.decode_words(ids, "ids", "word_lengths", words).collect()}
+    assert got == {1: "these newest, theses", 2: "", 3: "", 4: "low"}
+
+
+def test_normal_form(spark):
+    rows = spark.createDataFrame([("\ufb01ne \u2460",), ("plain",), (None,), ("e\u0301",)], "t string")
+    got = [r[0] for r in rows.select(bpe.normalise(F.col("t"))).collect()]
+    assert got == ["fine 1", "plain", None, "\u00e9"]
 
 
 def one_by_one(words, n):
@@ -180,9 +215,45 @@ def test_training_equals_one_merge_at_a_time(spark, seed):
 
 
 def test_a_known_merged_symbol_ends_the_round():
-    ids = {s: i for i, s in enumerate(["ab", "c", "d", "e", "abc", "x"])}
-    frontier = [("ab", "c", 300), ("d", "e", 200), ("abc", "x", 150), ("c", "x", 100)]
-    assert bpe.safe_prefix(frontier, ids, True) == [("ab", "c", 300)]
+    known = bpe_training.Vocabulary(["a", "b", "abc", "ab", "c", "x"])
+    a, b, abc, ab, c, x = range(4, 10)
+    counted = [([ab, c], 300), ([a, b], 200), ([abc, x], 150)]
+    made = bpe_training.merge_fragments(counted, known, None, 9, 99)
+    assert made == [(ab, c, abc, 300)]
+
+
+def test_random_rounds_equal_one_merge_at_a_time():
+    for seed in range(300):
+        rng = random.Random(seed)
+        words = {"".join(rng.choices("ab" if seed % 2 else "abcd", k=rng.randint(2, 9))): rng.randint(1, 9) for _ in range(6)}
+        want = one_by_one(words, 12)
+        known = bpe_training.Vocabulary(sorted({c for w in words for c in w}))
+        state = {w: [known.ids[c] for c in w] for w in words}
+        got = []
+        while len(got) < 12:
+            counts = {}
+            for w, parts in state.items():
+                for x, y in zip(parts, parts[1:]):
+                    counts[x << 32 | y] = counts.get(x << 32 | y, 0) + words[w]
+            lead = sorted((-n, k) for k, n in counts.items())[: 1 + seed % 4]
+            cut = lead[-1] if lead and len(lead) == 1 + seed % 4 else None
+            held = {k for _, k in lead}
+            runs = []
+            for w, parts in state.items():
+                run = parts[:1]
+                for x, y in zip(parts, parts[1:]):
+                    if x << 32 | y in held:
+                        run.append(y)
+                    else:
+                        runs, run = [*runs, (run, words[w])], [y]
+                runs.append((run, words[w]))
+            made = bpe_training.merge_fragments([r for r in runs if len(r[0]) > 1], known, cut, 12 - len(got), 999)
+            if not made:
+                break
+            for x, y, m, _ in made:
+                got.append((known.tokens[x], known.tokens[y]))
+                state = {w: bpe_training.merge_symbols(parts, x, y, m) for w, parts in state.items()}
+        assert got == want
 
 
 def test_rows_without_words_stay(spark):
