@@ -300,15 +300,27 @@ add(
 )
 add("reports_until_stop", "SELECT * FROM reports WHERE epoch <= 3", "reports")
 add("best_per_trial", "SELECT * FROM best", "best")
+# one recursion step per trial: it joins the finished ones unless it is pruned
+_pruning = {
+    "told": "SELECT run_id AS trial_id, epoch AS step, chrf AS value, max(chrf) OVER (PARTITION BY run_id ORDER BY epoch) AS best FROM reports",
+    "turns": "SELECT trial_id, row_number() OVER (ORDER BY trial_id) AS k FROM (SELECT DISTINCT trial_id FROM told)",
+    "replay": "SELECT 0::BIGINT AS k, NULL::BIGINT AS trial_id, []::BIGINT[] AS done, []::BIGINT[] AS earlier UNION ALL "
+    "SELECT s.k + 1, t.trial_id, CASE WHEN len(s.done) >= 3 AND EXISTS (SELECT 1 FROM told o JOIN (SELECT e.step, quantile_cont(e.value, 0.5) AS m "
+    "FROM told e WHERE list_contains(s.done, e.trial_id) GROUP BY e.step) f ON o.step = f.step WHERE o.trial_id = t.trial_id AND o.step > 1 AND o.best < f.m) "
+    "THEN s.done ELSE list_append(s.done, t.trial_id) END, s.done FROM replay s JOIN turns t ON t.k = s.k + 1",
+    "finished": "SELECT trial_id, unnest(earlier) AS other FROM replay",
+    "medians": "SELECT f.trial_id, e.step, quantile_cont(e.value, 0.5) AS median FROM finished f JOIN told e ON e.trial_id = f.other GROUP BY f.trial_id, e.step",
+    "hits": "SELECT o.trial_id, min(o.step) AS step FROM told o JOIN medians m USING (trial_id, step) JOIN replay r USING (trial_id) "
+    "WHERE len(r.earlier) >= 3 AND o.step > 1 AND o.best < m.median GROUP BY o.trial_id",
+}
 add(
     "median_pruning",
-    "SELECT trial_id, step, round(value, 6) AS value, round(best, 6) AS best, round(median, 6) AS median, n_earlier, "
-    "coalesce(n_earlier >= 3 AND step > 1 AND best < median, false) AS pruned FROM (SELECT run_id AS trial_id, epoch AS step, "
-    "chrf AS value, max(chrf) OVER (PARTITION BY run_id ORDER BY epoch) AS best, "
-    "quantile_cont(chrf, 0.5) OVER e AS median, count(*) OVER e AS n_earlier FROM reports WINDOW e AS "
-    "(PARTITION BY epoch ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
-    "reports",
+    "SELECT o.trial_id, o.step, round(value, 6) AS value, round(best, 6) AS best, round(median, 6) AS median, len(r.earlier)::BIGINT AS n_earlier, "
+    "coalesce(o.step = h.step, false) AS pruned, coalesce(o.step > h.step, false) AS ended FROM told o JOIN replay r USING (trial_id) "
+    "LEFT JOIN medians m ON m.trial_id = o.trial_id AND m.step = o.step LEFT JOIN hits h ON h.trial_id = o.trial_id",
+    "reports", **_pruning,
 )
+ORACLES["median_pruning"] = ORACLES["median_pruning"].replace("WITH ", "WITH RECURSIVE ", 1).replace("replay AS MATERIALIZED", "replay AS", 1)
 _ranked = "SELECT *, row_number() OVER (ORDER BY best_chrf DESC, run_id) AS rank FROM best"
 add("top_trials", f"SELECT * FROM ({_ranked}) WHERE rank <= 3", "best")
 add(

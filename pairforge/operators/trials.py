@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rng import SEED, digest, uniform
+from ..session import stored
+from .indexing import dense_index
 from .scans import running
 
 # Search space (kind, low, high) in the order it is drawn.
@@ -109,41 +112,134 @@ def best_per_trial(reports: DataFrame) -> DataFrame:
     return reports.groupBy("run_id").agg(F.greatest(F.lit(0.0), F.max("chrf")).alias("best_chrf"))
 
 
-def _earlier_medians(step: pd.DataFrame) -> pd.DataFrame:
-    """Running median of the values of earlier trials, from a list kept sorted."""
-    step = step.sort_values("trial_id")
-    seen: list[float] = []
-    medians: list[float | None] = []
-    for value in step["value"]:
-        half = len(seen) // 2
-        medians.append((seen[half] + seen[~half]) / 2 if seen else None)
-        insort(seen, value)
-    return step.assign(median=pd.Series(medians, index=step.index, dtype="float64"), n_earlier=range(len(step)))
+class _Middle:
+    """The middle of the values of finished trials at one step, and how many lie below and in all.
 
+    Holds as many values on both sides of the middle as trials may still be added, so the
+    median stays exact while the others are only counted.
+    """
 
-def median_pruning(
-    reports: DataFrame, startup: int = STARTUP_TRIALS, warmup: int = WARMUP_STEPS
-) -> DataFrame:
-    """``pruned``: best value so far below the median of earlier trials at the same step.
+    def __init__(self) -> None:
+        self.values: list[float] = []
+        self.below = self.total = self.above = 0
+
+    def load(self, values: list[float], below: int, total: int) -> None:
+        self.values, self.below, self.total = sorted(values), below, total
+        self.above = total - below - len(values)
+
+    def add(self, value: float) -> None:
+        self.total += 1
+        if self.below and value < self.values[0]:
+            self.below += 1
+        elif self.above and value > self.values[-1]:
+            self.above += 1
+        else:
+            insort(self.values, value)
+
+    def median(self) -> float | None:
+        if not self.total:
+            return None
+        low, high = (self.total - 1) // 2 - self.below, self.total // 2 - self.below
+        return (self.values[low] + self.values[high]) / 2
+
+
+def _replay(startup: int, warmup: int, past_warmup: bool):
+    """Runs the trials of a chunk in order against the finished ones."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        middles: dict[int, _Middle] = {}
+        for step, part in rows[rows["kind"] == 0].groupby("step"):
+            middles.setdefault(step, _Middle()).load(part["value"].tolist(), int(part["below"].iloc[0]), int(part["total"].iloc[0]))
+        n_finished = int(rows["finished"].max())
+        own = rows[rows["kind"] == 1].sort_values(["place", "step"], kind="stable")
+        medians, counts, pruned, ended, completed = [], [], [], [], []
+        for _, trial in own.groupby("place", sort=True):
+            over = False
+            for step, best in zip(trial["step"], trial["best"]):
+                middle = middles.get(step)
+                median = middle.median() if middle else None
+                late = step > warmup if past_warmup else step >= warmup
+                hit = not over and late and n_finished >= startup and median is not None and best < median
+                medians.append(median)
+                counts.append(n_finished)
+                pruned.append(hit)
+                ended.append(over)
+                over = over or hit
+            completed += [not over] * len(trial)
+            if not over:
+                n_finished += 1
+                for step, value in zip(trial["step"], trial["value"]):
+                    if not pd.isna(value):
+                        middles.setdefault(step, _Middle()).add(value)
+        out = own.drop(columns=["kind", "below", "total", "finished"])
+        return out.assign(median=pd.Series(medians, index=out.index, dtype="float64"), n_earlier=counts, pruned=pruned, ended=ended, completed=completed)
+
+    return run
+
+
+def _middles(done: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Per search and step: the values up to ``reach`` ranks from the middle, ranked by range partitions."""
+    ranked = stored(dense_index(done.where(F.col("value").isNotNull()), [*keys, "step", "value", "place"], "_rank"), "finished")
+    sizes = ranked.groupBy(*keys, "step").agg(F.min("_rank").alias("_first"), F.count("*").alias("total"))
+    placed = ranked.join(sizes, [*keys, "step"]).withColumn("_rank", F.col("_rank") - F.col("_first"))
+    near = placed.where(F.abs(F.col("_rank") - F.floor(F.col("total") / 2)) <= reach)
+    below = F.greatest(F.lit(0), F.floor(F.col("total") / 2) - reach).cast("bigint")
+    return near.select(*keys, "step", "value", below.alias("below"), "total")
 
-    This replays whole logs: every earlier trial counts at every step it reported, also
-    one that a pruner would have ended before.
 
-    Needs ``trial_id, step, value``, unique on (trial, step). A trial is compared once
-    ``startup`` earlier trials reported the step and the step is past ``warmup``. A step
-    has one number per trial and the trials of a search are counted in advance, which
-    bounds the groups; a window percentile would sort each frame anew.
+def median_pruning(
+    reports: DataFrame, startup: int = STARTUP_TRIALS, warmup: int = WARMUP_STEPS, keys: list[str] = (),
+    past_warmup: bool = True, cells: int = 1 << 18,
+) -> DataFrame:
+    """Adds ``best, median, n_earlier, pruned, ended`` to ``trial_id, step, value`` (unique on trial and step).
+
+    Replays a search whose trials run one after the other. A trial is ``pruned`` at its first
+    step whose best value so far is below the median of what earlier *finished* trials
+    reported there; it has not finished then, and counts in no later median. Rows after that
+    step are ``ended``. Nothing is pruned before ``startup`` trials have finished, nor up to
+    step ``warmup`` (before it, if not ``past_warmup``). ``n_earlier`` counts the finished
+    trials. Null values are passed over. ``keys`` name the search a row belongs to.
+
+    Whether a trial finishes depends on all before it, so trials go in rounds of some
+    ``cells`` reported values a search. Only a round's own values and those near the middle
+    of the finished ones, as many as may still be added, meet in one task; the finished
+    ones are ranked by range partitions, whatever their number at a step.
     """
-    chunked = reports.withColumn("_chunk", F.floor(F.col("step") / STEPS_PER_CHUNK))
-    best = running(chunked, ["trial_id"], "_chunk", ["step"], {"best": ("max", F.col("value"), True)})
-    rows = best.select("trial_id", "step", "value", "best")
-    schema = f"{rows.schema.simpleString()[7:-1].replace(':', ' ')}, median double, n_earlier bigint"
-    pruned = (
-        (F.col("n_earlier") >= startup)
-        & (F.col("step") > warmup)
-        & F.coalesce(F.col("best") < F.col("median"), F.lit(False))
-    )
-    return rows.groupBy("step").applyInPandas(_earlier_medians, schema).withColumn("pruned", pruned)
+    keys = list(keys)
+    chunked = reports.select(*keys, "trial_id", "step", F.col("value").cast("double").alias("value")).withColumn("_chunk", F.floor(F.col("step") / STEPS_PER_CHUNK))
+    best = running(chunked, [*keys, "trial_id"], "_chunk", ["step"], {"best": ("max", F.col("value"), True)})
+    rows = stored(best.select(*keys, "trial_id", "step", "value", "best"), "reports")
+    order = dense_index(rows.select(*keys, "trial_id").distinct(), [*keys, "trial_id"], "place")
+    if keys:
+        first = order.groupBy(*keys).agg(F.min("place").alias("_first"))
+        order = order.join(first, keys).withColumn("place", F.col("place") - F.col("_first")).drop("_first")
+    most = rows.groupBy(*keys, "trial_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    size = max(1, cells // most)
+    rows = stored(rows.join(order, [*keys, "trial_id"]).withColumn("_round", F.floor(F.col("place") / size)), "trials")
+    rounds = rows.agg(F.max("_round").alias("n")).first()["n"]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.drop("_round").dtypes)
+    schema = f"{kinds}, median double, n_earlier bigint, pruned boolean, ended boolean, completed boolean"
+    columns = rows.drop("_round").columns
+    parts: list[DataFrame] = []
+    for k in range(0 if rounds is None else rounds + 1):
+        now = rows.where(F.col("_round") == k).drop("_round").withColumns({"kind": F.lit(1), "below": F.lit(0).cast("bigint"), "total": F.lit(0).cast("bigint")})
+        if parts:
+            done = reduce(DataFrame.unionByName, parts).where("completed").select(*keys, "place", "step", "value")
+            near = _middles(done, keys, size + 1).withColumn("kind", F.lit(0))
+            finished = done.select(*keys, "place").distinct().groupBy(*keys).agg(F.count("*").alias("finished"))
+            now = now.unionByName(near, allowMissingColumns=True)
+            if keys:
+                now = now.join(finished, keys, "left")
+            else:
+                now = now.withColumn("finished", F.lit(finished.first()["finished"]))
+            now = now.withColumn("finished", F.coalesce("finished", F.lit(0)).cast("bigint"))
+        else:
+            now = now.withColumn("finished", F.lit(0).cast("bigint"))
+        parts.append(stored(now.groupBy(*keys).applyInPandas(_replay(startup, warmup, past_warmup), schema).select(*columns, "median", "n_earlier", "pruned", "ended", "completed"), "pruning"))
+    if not parts:
+        empty = rows.drop("_round", "place")
+        return empty.withColumns({"median": F.lit(None).cast("double"), "n_earlier": F.lit(None).cast("bigint"), "pruned": F.lit(None).cast("boolean"), "ended": F.lit(None).cast("boolean")})
+    return reduce(DataFrame.unionByName, parts).drop("place", "completed")
 
 
 def top_trials(results: DataFrame, k: int = TOP, score: str = "best_chrf", key: str = "run_id") -> DataFrame:
@@ -172,8 +268,6 @@ def leaderboard(results: DataFrame, configs: DataFrame, limit: int | None = None
     joined = results.join(configs, "run_id").where(F.col("best_chrf").isNotNull())
     if limit is not None:
         return top_trials(joined, limit)
-    from .indexing import dense_index
-
     keyed = joined.withColumn("_cost", -F.col("best_chrf"))
     ranked = dense_index(keyed, ["_cost", "run_id"], "rank")
     return ranked.withColumn("rank", F.col("rank") + 1).drop("_cost")

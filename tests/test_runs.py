@@ -1,5 +1,7 @@
 import json
 import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,10 +76,40 @@ def test_log_files(spark, tmp_path):
 def test_median_pruning(spark):
     rows = spark.createDataFrame([(t, s, float(v)) for t, s, v in [(1, 2, 5), (2, 2, 6), (3, 2, 7), (4, 2, 1), (5, 2, 9), (4, 1, 1)]], "trial_id int, step int, value double")
     got = {(r["trial_id"], r["step"]): (r["median"], r["pruned"]) for r in trials.median_pruning(rows).collect()}
-    assert got[(4, 2)] == (6.0, True) and got[(5, 2)] == (5.5, False) and got[(3, 2)] == (5.5, False)
+    assert got[(4, 2)] == (6.0, True) and got[(5, 2)] == (6.0, False) and got[(3, 2)] == (5.5, False)
     assert got[(4, 1)] == (None, False)
 
 
+def replayed(rows, startup=3, warmup=1):
+    """Median pruning trial by trial, in plain Python."""
+    out, finished = {}, []
+    for trial in sorted({t for t, _, _ in rows}):
+        own, best, over = sorted((s, v) for t, s, v in rows if t == trial), None, False
+        for step, value in own:
+            best = value if best is None else best if value is None else max(best, value)
+            seen = [v for f in finished for s, v in f if s == step and v is not None]
+            median = statistics.median(seen) if seen else None
+            hit = not over and step > warmup and len(finished) >= startup and median is not None and best is not None and best < median
+            out[trial, step] = (median, len(finished), hit, over)
+            over = over or hit
+        if not over:
+            finished.append(own)
+    return out
+
+
+@pytest.mark.parametrize("cells", [40, 1 << 18])
+def test_pruned_trials_leave_later_medians(spark, cells):
+    rng = random.Random(5)
+    many = {q: [(t, s, rng.choice([None, 1.0, 2.0, *[float(rng.randint(0, 30)) for _ in range(9)]])) for t in range(25) for s in range(1, 7) if rng.random() < 0.8] for q in "ab"}
+    rows = spark.createDataFrame([(q, *r) for q in "ab" for r in many[q]], "search string, trial_id int, step int, value double")
+    got = trials.median_pruning(rows, keys=["search"], cells=cells).collect()
+    for q in "ab":
+        assert {(r["trial_id"], r["step"]): (r["median"], r["n_earlier"], r["pruned"], r["ended"]) for r in got if r["search"] == q} == replayed(many[q])
+    alone = trials.median_pruning(rows.where("search = 'a'").drop("search"), cells=cells).collect()
+    assert {(r["trial_id"], r["step"]): (r["median"], r["n_earlier"], r["pruned"], r["ended"]) for r in alone} == replayed(many["a"])
+    assert trials.median_pruning(rows.limit(0).drop("search")).count() == 0
+
+
 def test_configs_tolerate_bad_entries(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"run_id": 1, "hidden_dim": 700, "device": "cpu"}\n{broken\n{"hidden_dim": 5}\n')
     got = tables.read_configs(spark, str(tmp_path)).collect()
