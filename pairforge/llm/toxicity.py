@@ -15,6 +15,8 @@ from .common import only, slices, texts
 #: Hash slots of features: bounds the model, 8 MB of weights, whatever the corpus.
 SLOTS = 1 << 20
 _REMEMBERED = 1 << 19
+#: While a model is fitted, whose arrays need the memory.
+_FIT_REMEMBERED = 1 << 17
 #: Longer words, such as whole texts of unspaced scripts, are not remembered.
 _LONGEST = 64
 # Neutral names of groups, by language; a term is swapped for others of its row.
@@ -80,8 +82,28 @@ class Scorer:
         return 1.0 / (1.0 + float(np.exp(-min(max(total, -60.0), 60.0))))
 
 
+class _Slots:
+    """Hash slots of words as small arrays; remembers the words it has met."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+
+    def __call__(self, words: set[str]) -> np.ndarray:
+        out = [np.zeros(0, np.int32)]
+        for word in sorted(words):
+            got = self.known.get(word)
+            if got is None:
+                got = np.array(word_slots(word), np.int32)
+                if len(word) <= _LONGEST:
+                    if len(self.known) >= _FIT_REMEMBERED:
+                        self.known.clear()
+                    self.known[word] = got
+            out.append(got)
+        return np.concatenate(out)
+
+
 def fit(
-    docs: list[set[str]],
+    docs: list[str],
     labels: np.ndarray,
     prior: float,
     min_docs: int = 3,
@@ -90,40 +112,48 @@ def fit(
     counterfactual: float = 1.0,
     steps: int = 300,
 ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and bias of a logistic model.
+    """Slots, weights and bias of a logistic model of texts.
 
     Loss: mean log-loss + ridge + ``counterfactual`` times the mean squared change of the
     logit when a text's identity terms are swapped. Only slots in at least ``min_docs``
     texts whose counts differ between the classes (chi-squared) get a weight. The bias is
     set to ``prior``, the share of positives among all labelled rows.
-    """
-
-    def rows_of(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        slots = [np.array([s for w in sorted(x) for s in word_slots(w)], np.int64) for x in sets]
-        return np.repeat(np.arange(len(sets)), list(map(len, slots))), np.concatenate(slots) if slots else np.zeros(0, np.int64)
 
-    row, slot = rows_of(docs)
+    Texts stay texts: a first pass counts slots by class, text by text, and a second one
+    keeps the columns that get a weight.
+    """
     positive = labels.sum()
     negative = len(labels) - positive
     if not positive or not negative:
         return np.zeros(0, np.int64), np.zeros(0), float(np.log((positive + 0.5) / (negative + 0.5)))
-    once = np.unique(row * SLOTS + slot)
-    with_label = labels[once // SLOTS].astype(bool)
-    a = np.bincount(once[with_label] % SLOTS, minlength=SLOTS).astype(float)
-    b = np.bincount(once[~with_label] % SLOTS, minlength=SLOTS).astype(float)
+    slots_of = _Slots()
+    counts = np.zeros((2, SLOTS), np.int32)
+    for text, label in zip(docs, labels.tolist()):
+        counts[int(label), np.unique(slots_of(word_set(text)))] += 1
+    a, b = counts[1].astype(float), counts[0].astype(float)
     c, d = positive - a, negative - b
     score = (a * d - b * c) ** 2 * len(labels) / np.maximum((a + b) * (c + d) * positive * negative, 1e-9)
     used = np.flatnonzero((a + b >= min_docs) & (score >= chi))
-    index = np.full(SLOTS, -1)
+    index = np.full(SLOTS, -1, np.int32)
     index[used] = np.arange(len(used))
 
-    def kept(row: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        column = index[slot]
-        return row[column >= 0], column[column >= 0]
-
-    row, column = kept(row, slot)
-    pairs = [(x, y) for x in docs if (y := swapped(x)) is not None]
-    left, right = (kept(*rows_of(list(side))) for side in (zip(*pairs) if pairs else ([], [])))
+    def kept(slots: np.ndarray) -> np.ndarray:
+        columns = index[slots]
+        return columns[columns >= 0]
+
+    def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(parts), dtype=np.int32), list(map(len, parts))), np.concatenate([np.zeros(0, np.int32), *parts])
+
+    columns, left, right = [], [], []
+    for text in docs:
+        words = word_set(text)
+        columns.append(kept(slots_of(words)))
+        if (other := swapped(words)) is not None:  # what both have cancels out
+            left.append(kept(slots_of(words - other)))
+            right.append(kept(slots_of(other - words)))
+    pairs = len(left)
+    (row, column), left, right = joined(columns), joined(left), joined(right)
+    del columns
     weight, bias = np.zeros(len(used)), float(np.log(positive / negative))
     share = 0.5 / np.where(labels > 0, positive, negative)  # both classes count alike
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -132,8 +162,8 @@ def fit(
         error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * share
         gradient = np.bincount(column, error[row], len(used)) + ridge * weight
         if pairs:
-            change = np.bincount(left[0], weight[left[1]], len(pairs)) - np.bincount(right[0], weight[right[1]], len(pairs))
-            change *= 2 * counterfactual / len(pairs)
+            change = np.bincount(left[0], weight[left[1]], pairs) - np.bincount(right[0], weight[right[1]], pairs)
+            change *= 2 * counterfactual / pairs
             gradient += np.bincount(left[1], change[left[0]], len(used)) - np.bincount(right[1], change[right[0]], len(used))
         full = np.append(gradient, error.sum())
         m1 = 0.9 * m1 + 0.1 * full
@@ -151,21 +181,22 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: s
     ``docs`` has ``doc_id, text``, ``labels`` has ``doc_id, label`` (0 or 1). The rows are
     the least by a hash of their id, so reruns agree. The sample is fitted in one task,
     since its size is fixed by the parameter and not by the corpus; the shares of the
-    classes are counted over all labels.
+    classes are counted over all labels. Of an id with several texts the least is learnt.
     """
     counted = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("positive")).first()
     prior = (counted["positive"] + 0.5) / (counted["n"] + 1)
     order = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     one = [labels.where(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # at most 2 * per_class rows of two numbers
-    sample = docs.join(F.broadcast(one[0].union(one[1])), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    met = docs.join(F.broadcast(one[0].union(one[1])), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    # an id that stands on many rows is learnt from once
+    sample = met.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, set[str], int]] = []
+        rows: list[tuple[int, str, int]] = []
         for batch in batches:
-            words = map(word_set, texts(batch))
-            rows.extend(zip(batch.column("doc_id").to_pylist(), words, batch.column("label").to_pylist()))
-        rows.sort(key=lambda r: (r[0], sorted(r[1])))
+            rows.extend(zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("label").to_pylist()))
+        rows.sort()
         slots, weights, bias = fit([r[1] for r in rows], np.array([r[2] for r in rows], float), prior)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(slots, -1), pa.int64()), pa.array(np.append(weights, bias), pa.float64())], ["slot", "weight"]
