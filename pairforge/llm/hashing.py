@@ -21,8 +21,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of the words of a text; remembers words it has met."""
 
-    def __init__(self) -> None:
+    def __init__(self, remembered: int = _REMEMBERED) -> None:
         self.known: dict[bytes, int] = {}
+        self.remembered = remembered
 
     def __call__(self, text: str) -> np.ndarray:
         # bytes.lower() changes A-Z only, bytes.split() splits at the ASCII white space
@@ -31,7 +32,7 @@ class Words:
         try:
             return np.array([known[w] for w in words], np.uint64)
         except KeyError:
-            if len(known) > _REMEMBERED:
+            if len(known) > self.remembered:
                 known.clear()
             for w in words:
                 if w not in known:

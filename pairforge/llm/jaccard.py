@@ -21,7 +21,9 @@ RANGE = 1.25
 #: A block of one shingle is no evidence; so many of them are spared by as many more blocks.
 SPARE = 2
 #: Postings of a task that are combined at a time: bounds its memory, not what it finds.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
+#: Words whose hashes a task remembers; only speed depends on it.
+REMEMBERED = 1 << 16
 #: Most sets, and shingles in them, that are compared with each other in one go.
 GROUP_SETS, GROUP_SHINGLES = 256, 1 << 19
 
@@ -164,7 +166,7 @@ def _shared(docs: DataFrame, n_words: int) -> np.ndarray:
     places = SHARED_BITS - log_ranges
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
+        hashed = Words(REMEMBERED)
         found: list[np.ndarray] = []
         held = 0
 
@@ -191,6 +193,7 @@ def _shared(docs: DataFrame, n_words: int) -> np.ndarray:
                     held = 0
         if found:
             yield combined()
+        pa.default_memory_pool().release_unused()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, marks = None, []
@@ -245,7 +248,7 @@ def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
     shared = None if by_block(p, q) else docs.sparkSession.sparkContext.broadcast(_shared(docs, n_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sign = Words(), Signatures(p, q, shared and shared.value)
+        hashed, sign = Words(REMEMBERED), Signatures(p, q, shared and shared.value)
         names = ["kind", "doc_id", "address", "n", "set_id", "other"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         keys: list[np.ndarray] = []
@@ -290,6 +293,7 @@ def _postings(docs: DataFrame, n_words: int, p: int, q: int) -> str:
                 yield from combined()
                 held = 0
         yield from combined()
+        pa.default_memory_pool().release_unused()
 
     path = scratch_path(docs.sparkSession, "postings")
     docs.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
@@ -350,7 +354,7 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
+        hashed = Words(REMEMBERED)
         at, ids, sets = None, [], []
         left: list[int] = []
         right: list[int] = []
@@ -378,6 +382,7 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
             yield ready()
         close()
         yield ready()
+        pa.default_memory_pool().release_unused()
 
     ordered = groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_id")
     return ordered.mapInArrow(run, "a bigint, b bigint")
