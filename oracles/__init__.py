@@ -43,7 +43,10 @@ add(
     "wiki",
     **_steps,
 )
-add("utf16_corpus", "SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM documents")
+add(
+    "utf16_corpus",
+    "SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM (SELECT doc_id, replace(text, chr(30), ' ') AS text FROM documents)",
+)
 
 # --- sentences and tokens ---
 add("sentences", "SELECT * FROM sentences", "sentences")
@@ -287,6 +290,12 @@ add(
     f"UNION ALL SELECT run_id, 2 * epoch + 1, {' || '.join(_parts)} FROM epochs",
     "epochs",
 )
+add(
+    "growing_log_lines",
+    f"SELECT run_id, 'Epoch ' || epoch || ' finished, average loss: ' || {_loss} || ', Accuracy: ' || {_value} || '%' AS value FROM epochs "
+    f"UNION ALL SELECT run_id, {' || '.join(_parts)} FROM epochs",
+    "epochs",
+)
 add("validation_reports", "SELECT * FROM reports", "reports")
 _fractions = ("Accuracy", "Precision", "Recall", "F₀.₅", "F₁", "CER", "WER", "SER")
 add(
@@ -328,6 +337,18 @@ add(
     "SELECT rank, run_id, round(best_chrf, 6) AS best_chrf, learning_rate, hidden_dim FROM ranked JOIN configs USING (run_id)",
     "best", configs=_configs, ranked=_ranked,
 )
+_folders = (
+    "SELECT run_id, best_chrf, learning_rate, hidden_dim, CASE WHEN run_id % 5 = 0 AND run_id % 7 = 0 THEN 'none' WHEN run_id % 5 = 0 THEN 'no score file' "
+    "WHEN run_id % 7 = 0 THEN 'no configuration' WHEN run_id % 11 = 0 THEN 'broken score file' WHEN run_id % 13 = 0 THEN 'broken configuration' END AS problem "
+    "FROM best JOIN configs USING (run_id)"
+)
+add(
+    "folder_leaderboard",
+    "SELECT row_number() OVER (ORDER BY best_chrf DESC, run_id) AS rank, run_id, round(best_chrf, 6) AS best_chrf, round(learning_rate, 6) AS learning_rate, "
+    "hidden_dim::DOUBLE AS hidden_dim FROM folders WHERE problem IS NULL",
+    "best", configs=_configs, folders=_folders,
+)
+add("bad_run_folders", "SELECT run_id, problem FROM folders WHERE problem <> 'none'", "best", configs=_configs, folders=_folders)
 add(
     "leaderboard_top5",
     "SELECT rank, run_id, best_chrf, batchSize FROM ranked JOIN configs USING (run_id) WHERE rank <= 5",

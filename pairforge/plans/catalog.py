@@ -16,7 +16,7 @@ from ..operators import (
 )
 from ..session import scratch_path, stored
 from ..sources import corpus as corpus_source
-from ..sources import tables
+from ..sources import growing, tables
 from ..streaming import inflight, monitor
 from ..streaming.runner import run_to_table
 from . import datasets as D
@@ -90,9 +90,13 @@ def markup_rule_effects(spark, d):
 
 @query
 def utf16_corpus(spark, d):
-    docs = D.documents(spark, d)
-    coded = docs.select("doc_id", F.encode("text", "UTF-16").alias("content"))
-    return coded.select("doc_id", F.decode("content", "UTF-16").alias("text")).select(
+    """Documents as records of a UTF-16 corpus, scanned by byte ranges."""
+    path, mark = scratch_path(spark, "utf16"), "\x1e"
+    lines = D.documents(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace("text", F.lit(mark), F.lit(" "))).alias("text"))
+    corpus_source.write_utf16(lines, path, sep=mark)
+    parts = F.split(F.col("text"), "\t", 2)
+    read = corpus_source.read_utf16(spark, path, sep=mark).where("text <> ''")
+    return read.select(parts[0].cast("bigint").alias("doc_id"), parts[1].alias("text")).select(
         "doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("n_chars")
     )
 
@@ -578,8 +582,8 @@ def metric_log(spark, d):
     """Scalars appended to the metric table, then one column per tag."""
     path = scratch_path(spark, "scalars")
     steps = epochs.global_steps(D.telemetry(spark, d), "hour", ["ts", "event_id"])
-    tables.append_scalars(epochs.scalar_rows(steps), path)
-    wide = tables.wide_scalars(spark.read.parquet(path), ["Accuracy/train", "Loss/train"])
+    tables.append_scalars_once(epochs.scalar_rows(steps), 0, path)
+    wide = tables.wide_scalars(tables.read_scalars(spark, path), ["Accuracy/train", "Loss/train"])
     return rounded(wide.select("run_id", "step", F.col("Accuracy/train").alias("accuracy"), F.col("Loss/train").alias("loss")))
 
 
@@ -668,6 +672,46 @@ def leaderboard(spark, d):
     return rounded(trials.leaderboard(*_board(spark, d)).select("rank", "run_id", "best_chrf", "learning_rate", "hidden_dim"))
 
 
+def _run_folders(spark, d):
+    """A folder a run with its score and configuration; every seventh or so lacks one or holds a broken one."""
+    results, configs = trials.best_per_trial(D.reports(spark, d)), D.run_configs(spark, d)
+    rows = results.join(configs, "run_id")
+    run = F.col("run_id")
+    names = ("learning_rate", "p_dropout", "hidden_dim", "batchSize")
+    yaml = F.concat(F.lit("# configuration\n"), *[F.concat(F.lit(f"{n}: "), F.col(n).cast("string"), F.lit("\n")) for n in names])
+    yaml = F.when(run % 13 == 0, F.lit("learning_rate 0.1\n  - what")).otherwise(yaml)
+    score = F.to_json(F.struct(F.col("best_chrf").alias(tables.SCORE_KEY), F.lit("checkpoint").alias("kind")), {"pretty": "true"})
+    score = F.when(run % 11 == 0, F.lit("{broken")).otherwise(score)
+    both = F.array(
+        F.when(run % 7 != 0, F.struct(F.lit("config.yaml").alias("file"), yaml.alias("value"))),
+        F.when(run % 5 != 0, F.struct(F.lit(tables.SCORE_FILE).alias("file"), score.alias("value"))),
+    )
+    path = scratch_path(spark, "runs")
+    files = rows.select(run.alias("run"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("f")).select("run", "f.file", "f.value")
+    files.repartition("run").write.partitionBy("run", "file").text(path)
+    return tables.read_run_folders(spark, path)
+
+
+def _run_number():
+    return F.regexp_extract("run", r"(\d+)$", 1).cast("bigint").alias("run_id")
+
+
+@query
+def folder_leaderboard(spark, d):
+    """Rank of every run whose folder holds a score and a configuration."""
+    runs, _ = _run_folders(spark, d)
+    runs = stored(runs.select(_run_number(), "best_chrf", "config"), "runs")
+    board = trials.leaderboard(runs.select("run_id", "best_chrf"), runs.select("run_id", "config"))
+    numbers = [F.col("config")[n].cast("double").alias(n) for n in ("learning_rate", "hidden_dim")]
+    return rounded(board.select("rank", "run_id", "best_chrf", *numbers))
+
+
+@query
+def bad_run_folders(spark, d):
+    _, bad = _run_folders(spark, d)
+    return bad.select(_run_number(), "problem")
+
+
 @query
 def leaderboard_top5(spark, d):
     return trials.leaderboard(*_board(spark, d), limit=5).select("rank", "run_id", "best_chrf", "batchSize")
@@ -692,7 +736,18 @@ def stream_monitor(spark, d):
     from ..sources.logs import parse_tagged
 
     lines = parse_tagged(spark.readStream.text(D.shipped_logs(spark, d)))
-    return rounded(run_to_table(monitor.monitor(lines), "monitor"))
+    return rounded(run_to_table(monitor.ordered_monitor(lines, first_line=2), "monitor"))
+
+
+@query
+def growing_log_lines(spark, d):
+    """Training logs, a folder a run, followed while they grow: the first runs of the stream meet half of the files."""
+    lines, path, keep = stored(D.log_lines(spark, d), "lines"), scratch_path(spark, "logs"), scratch_path(spark, "growing")
+    for half in (0, 1):
+        part = lines.where(F.floor(F.col("line_no") / 2) % 2 == half).select(F.col("run_id").alias("run"), "value")
+        part.repartition("run").write.mode("append").partitionBy("run").text(path)
+        table = run_to_table(growing.growing_logs(spark, path, by_folder=True), "growing", keep=keep)
+    return table.select(F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint").alias("run_id"), "value")
 
 
 @query

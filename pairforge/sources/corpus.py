@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import article_body, clean_markup, is_redirect
+from ..operators.scans import running
 
 PAGE_END = "</page>"
 
@@ -60,7 +61,41 @@ def write_dump(articles: DataFrame, path: str) -> None:
     articles.select(page.alias("value")).write.option("lineSep", PAGE_END).text(path)
 
 
-def read_utf16(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text``: UTF-16 text files, one row per file (each must fit in a task)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-16").alias("text"))
+def write_utf16(rows: DataFrame, path: str, sep: str = "\n", encoding: str = "UTF-16LE") -> None:
+    """Write column ``text`` as UTF-16 files, each row followed by ``sep``; texts must not hold it."""
+    coded = rows.select(F.encode("text", encoding).cast("string").alias("value"))
+    coded.write.option("encoding", encoding).option("lineSep", sep).text(path)
+
+
+def read_utf16(spark: SparkSession, path: str, sep: str = "\n", encoding: str = "UTF-16LE") -> DataFrame:
+    """``path, chunk, line_no, text``: the pieces of UTF-16 files between separators, in file order by the three.
+
+    The text source cuts a file into byte ranges at the separator's two bytes, so one file is
+    read by many tasks. For whole corpora cut into sentences, ``sep`` may be a sentence
+    delimiter: lines then do not matter. A byte-order mark at the start is dropped, and the
+    carriage return of a line; ``encoding`` names the order of bytes.
+
+    The two bytes may also straddle two characters. The pieces beside such a false cut have an
+    odd number of bytes; if the corpus has any, pieces are put together again by the running
+    number of odd ones before them.
+    """
+    raw = spark.read.option("encoding", encoding).option("lineSep", sep).text(path)
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("chunk"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").cast("binary").alias("bytes"),
+    )
+    odd = F.length("bytes") % 2
+    if not rows.where(odd == 1).limit(1).isEmpty():
+        before = running(rows, ["path"], "chunk", ["line_no"], {"before": ("sum", odd, False)})
+        whole = (F.col("before") % 2 == 0) & (odd == 0)
+        cut = before.where(~whole).groupBy("path", F.floor(F.col("before") / 2).alias("pair")).agg(
+            F.array_sort(F.collect_list(F.struct("chunk", "line_no", "bytes"))).alias("parts")
+        )
+        glue = F.encode(F.lit(sep), encoding)
+        rest = F.slice("parts", F.lit(2), F.size("parts"))
+        joined = F.aggregate(rest, F.col("parts")[0]["bytes"], lambda got, part: F.concat(got, glue, part["bytes"]))
+        mended = cut.select("path", F.col("parts")[0]["chunk"].alias("chunk"), F.col("parts")[0]["line_no"].alias("line_no"), joined.alias("bytes"))
+        rows = before.where(whole).select("path", "chunk", "line_no", "bytes").unionByName(mended)
+    text = F.decode("bytes", encoding)
+    text = F.when(F.col("chunk") == 0, F.regexp_replace(text, "^\uFEFF", "")).otherwise(text)
+    return rows.select("path", "chunk", "line_no", (F.regexp_replace(text, "\r$", "") if sep == "\n" else text).alias("text"))

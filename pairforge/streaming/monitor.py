@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,3 +48,61 @@ def monitor(lines: DataFrame) -> DataFrame:
     return marks.groupBy("run_id").applyInPandasWithState(
         _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+ORDERED_STATE = "epoch int, best double, next bigint, held string"
+
+
+def _in_order(first_line: int, wait_ms: int | None):
+    """Releases the lines of a run by number: a line waits until all before it are there, or its wait is over."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        epoch, best, next_line, packed = state.get if state.exists else (0, 0.0, first_line, "[]")
+        held = {line: (mark, chrf) for line, mark, chrf in json.loads(packed)}
+        out = []
+        if not state.hasTimedOut:
+            for batch in batches:
+                for line, mark, chrf in zip(batch["line_no"].tolist(), batch["mark"].tolist(), batch["chrf"].tolist()):
+                    mark, chrf = (None if pd.isna(x) else x for x in (mark, chrf))
+                    if line >= next_line:
+                        held.setdefault(line, (mark, chrf))
+                    elif chrf is not None:  # its place has been passed
+                        best = max(best, chrf)
+                        out.append((key[0], line, None, chrf, best, False, True))
+        for line in sorted(held):
+            if line != next_line and not state.hasTimedOut:
+                break
+            mark, chrf = held.pop(line)
+            next_line = line + 1
+            if mark is not None:
+                epoch = int(mark)
+            if chrf is not None:
+                best = max(best, chrf)
+                out.append((key[0], line, epoch, chrf, best, epoch >= STOP_EPOCH, False))
+        state.update((epoch, best, next_line, json.dumps([(line, *held[line]) for line in sorted(held)])))
+        if held and wait_ms is not None:
+            state.setTimeoutDuration(wait_ms)
+        rows = pd.DataFrame(out, columns=["run_id", "line_no", "epoch", "chrf", "best_chrf", "stop", "late"])
+        yield rows.astype({"run_id": "int64", "line_no": "int64", "epoch": "Int32", "chrf": "float64", "best_chrf": "float64", "stop": "bool", "late": "bool"})
+
+    return run
+
+
+def ordered_monitor(lines: DataFrame, first_line: int = 1, wait_ms: int | None = None) -> DataFrame:
+    """Like :func:`monitor`, but the same whatever order the lines come in.
+
+    The lines of a run are numbered without gaps from ``first_line``. A line that comes
+    before an earlier one is held in the state, without its text, and released when the gap
+    closes; so micro-batches in any order give what one batch gives. Lines that come twice
+    count once.
+
+    With ``wait_ms``, for streams that run on, a gap counts as lost after that time without a
+    line of the run: all held lines are released in order, and lines that fill it later are
+    ``late``, as in :func:`monitor`. A stream that only takes what is available must not be
+    given it, since waiting runs would keep it alive.
+    """
+    marks = lines.select("run_id", "line_no", epoch_of(F.col("value")).alias("mark"), chrf_of(F.col("value")).alias("chrf"))
+    return marks.groupBy("run_id").applyInPandasWithState(
+        _in_order(first_line, wait_ms), OUTPUT, ORDERED_STATE, "append",
+        GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
+    )

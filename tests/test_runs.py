@@ -3,6 +3,7 @@ import os
 import random
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,53 @@ def test_monitor_flags_late_lines(spark, tmp_path):
     assert [(r["line_no"], r["late"], r["stop"]) for r in got.where("epoch is null").collect()] == [(2, True, False)]
 
 
+def test_lines_in_any_order_equal_the_batch(spark, tmp_path):
+    def numbered(part):
+        return [f"{run}\t{i}\t{LINES[i]}" for run, i in part]
+
+    every = [(run, i) for run in (7, 8) for i in range(7)]
+    want = {(run, i) for run, i in every}
+    results = []
+    for k, batches in enumerate([[every], [[(7, 3), (7, 4), (7, 6), (8, 0)], [(7, 1), (8, 6), (8, 5)], [(7, 0), (7, 2), (8, 1), (8, 2), (8, 2)], [(7, 5), (8, 3), (8, 4)]]]):
+        source = tmp_path / f"in{k}"
+        source.mkdir()
+        for n, part in enumerate(batches):
+            (source / f"{n}.txt").write_text("\n".join(numbered(part)))
+            lines = logs.parse_tagged(spark.readStream.text(str(source)))
+            got = run_to_table(monitor.ordered_monitor(lines, first_line=0), "monitor", keep=str(tmp_path / f"out{k}"))
+        results.append(sorted(tuple(r) for r in got.collect()))
+    assert results[0] == results[1] and len(results[0]) == 8 and {r[:2] for r in results[0]} <= want
+    batch = trials.validations(spark.createDataFrame([(7, 0, i, t) for i, t in enumerate(LINES)], "run_id bigint, chunk int, line_no bigint, value string"))
+    assert [(r["line_no"], r["epoch"], r["chrf"]) for r in batch.orderBy("line_no").collect()] == [r[1:4] for r in results[0] if r[0] == 7]
+    assert all(r[2] is not None and not r[6] for r in results[0])
+
+
+class Clock:
+    """State of one run, outside a stream."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.wait = None, False, False, None
+
+    def update(self, value):
+        self.get, self.exists, self.wait = value, True, None
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_a_lost_line_ends_the_wait():
+    step, state = monitor._in_order(1, 500), Clock()
+    lines = lambda *rows: [pd.DataFrame(rows, columns=["line_no", "mark", "chrf"])]
+    assert len(next(step((7,), lines((3, 2.0, None), (4, None, 70.0)), state))) == 0 and state.wait == 500
+    state.hasTimedOut = True
+    got = next(step((7,), [], state))
+    assert got[["line_no", "epoch", "late"]].values.tolist() == [[4, 2, False]] and state.wait is None
+    state.hasTimedOut = False
+    got = next(step((7,), lines((2, None, 90.0), (5, None, 60.0)), state))
+    assert [(r.line_no, r.late, r.best_chrf) for r in got.itertuples()] == [(2, True, 90.0), (5, False, 90.0)]
+    assert got["epoch"].isna().tolist() == [True, False]
+
+
 def test_stream_equals_batch(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents*.parquet")
