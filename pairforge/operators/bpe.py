@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rng import SEED
 from ..functions.text import word_or_punct, words_of
 from ..session import stored
 from .bpe_training import MARKERS, MERGE_SCHEMA, VOCAB_SIZE, train
+from .encode import renoise
 from .joins import lookup
+from .pairs import ON_THE_FLY
 
-__all__ = ["MARKERS", "MERGE_SCHEMA", "VOCAB_SIZE", "decode", "decode_words", "encode", "merge_list", "train", "word_counts", "word_pieces"]
+__all__ = ["MARKERS", "MERGE_SCHEMA", "VOCAB_SIZE", "decode", "decode_words", "encode", "merge_list", "noisy_again", "train", "word_counts", "word_pieces"]
 
 
 @F.pandas_udf(T.StringType())
@@ -147,6 +150,27 @@ def decode(encoded: DataFrame, ids: str, vocab: DataFrame) -> DataFrame:
     return words.groupBy("ex_id").agg(F.array_join(F.transform(ordered, lambda x: x["token"]), " ").alias("text"))
 
 
+def noisy_again(
+    encoded: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, epoch: int, p: float = ON_THE_FLY,
+    corrupt_target: bool = False, start: bool = True, seed: int = SEED,
+) -> DataFrame:
+    """``ex_id, source_ids, target_ids`` with fresh noise on the sources, to be padded by batch.
+
+    The ids lose their markers, are decoded, corrupted and encoded again, between the start
+    marker (unless ``start`` is false) and the end marker. Targets stay as they are;
+    ``corrupt_target`` gives them noise of their own, too.
+    """
+    markers = {r["token"]: r["id"] for r in vocab.where(F.col("token").isin(*MARKERS)).collect()}
+    first = [F.array(F.lit(markers["<sos>"]))] if start else []
+
+    def again(side: str, noise: int) -> DataFrame:
+        text = renoise(decode(encoded, side, vocab), epoch, p, noise)
+        return encode(text, merges, vocab).select("ex_id", F.concat(*first, F.col("ids"), F.array(F.lit(markers["<eos>"]))).alias(side))
+
+    rows = again("source_ids", seed)
+    return rows.join(again("target_ids", seed + 1) if corrupt_target else encoded.select("ex_id", "target_ids"), "ex_id")
+
+
 def decode_words(encoded: DataFrame, ids: str, lengths: str, vocab: DataFrame) -> DataFrame:
     """``ex_id, text`` with the pieces of a word joined: the normalised words, single spaces between.
 

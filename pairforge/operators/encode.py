@@ -37,9 +37,10 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, markers: dict[str, int]) ->
 
     Unknown source words become ``unk``; a pair with an unknown target word is dropped.
     ``markers`` gives the ids ``unk``, ``eos`` (source side) and ``sos`` (target side).
-    One look-up join and one regrouping by ex_id, whose groups are single sentences.
+    Sentences are dealt by ex_id before they are cut into words, so with a dictionary that
+    is broadcast the words need no shuffle of their own to be put together again.
     """
-    ids = lookup(pair_tokens(pairs), vocab.select("side", "token", F.col("id").cast("int").alias("id")), ["side", "token"])
+    ids = lookup(pair_tokens(pairs.repartition("ex_id")), vocab.select("side", "token", F.col("id").cast("int").alias("id")), ["side", "token"])
     on_source = F.col("side") == "source"
     grouped = ids.groupBy("ex_id").agg(
         _ordered(on_source, F.coalesce(F.col("id"), F.lit(markers["unk"]))).alias("src"),

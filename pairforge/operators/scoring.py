@@ -49,23 +49,40 @@ def _counts(name: str, order: int) -> list[Column]:
 # --- per-pair counts -------------------------------------------------------------------
 
 
+def _overlap(pred: DataFrame, name: str, helper, hyp: Column, ref: Column, orders: list[int]) -> DataFrame:  # noqa: ANN001
+    """Adds the counts ``name``. Only pairs that differ go to the helper: those of equal ones follow from the length.
+
+    ``orders`` has the n of every number of the flat array, 1 for a subsequence's length.
+    """
+    rows = pred.withColumns({"_h": hyp, "_r": ref})
+    differ = F.col("_h") != F.col("_r")
+    size = F.char_length("_h") if rows.schema["_h"].dataType.typeName() == "string" else F.size("_h")
+    equal = F.array(*[F.greatest(size - (n - 1), F.lit(0)) for n in orders])
+    counts = helper(F.when(differ, F.col("_h")), F.when(differ, F.col("_r")))
+    return rows.withColumn(name, F.coalesce(counts, equal)).drop("_h", "_r")
+
+
+def _thrice(order: int) -> list[int]:
+    return [n for n in range(1, order + 1) for _ in range(3)]
+
+
 def with_bleu_counts(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("bleu", O.word_overlap(T.bleu_tokens(F.col("hyp")), T.bleu_tokens(F.col("ref"))))
+    return _overlap(pred, "bleu", O.word_overlap, T.bleu_tokens(F.col("hyp")), T.bleu_tokens(F.col("ref")), _thrice(O.WORD_ORDER))
 
 
 def with_chrf_counts(pred: DataFrame) -> DataFrame:
     squash = lambda c: F.regexp_replace(F.col(c), T.WHITESPACE, "")
-    return pred.withColumn("chrf", O.char_overlap(squash("hyp"), squash("ref")))
+    return _overlap(pred, "chrf", O.char_overlap, squash("hyp"), squash("ref"), _thrice(O.CHAR_ORDER))
 
 
 def with_word_counts(pred: DataFrame) -> DataFrame:
     """Whitespace-word n-grams (sentence GLEU)."""
-    return pred.withColumn("gram", O.word_overlap(T.split_words(F.col("hyp")), T.split_words(F.col("ref"))))
+    return _overlap(pred, "gram", O.word_overlap, T.split_words(F.col("hyp")), T.split_words(F.col("ref")), _thrice(O.WORD_ORDER))
 
 
 def with_rouge_counts(pred: DataFrame, stemmed: bool = True) -> DataFrame:
-    overlap = O.stem_overlap if stemmed else O.plain_overlap
-    return pred.withColumn("rouge", overlap(T.rouge_tokens(F.col("hyp")), T.rouge_tokens(F.col("ref"))))
+    helper = O.stem_overlap if stemmed else O.plain_overlap
+    return _overlap(pred, "rouge", helper, T.rouge_tokens(F.col("hyp")), T.rouge_tokens(F.col("ref")), [*_thrice(2), 1])
 
 
 # --- corpus formulas over summed counts ------------------------------------------------
@@ -283,13 +300,8 @@ def _fold(pred: DataFrame, by: list[str], parts: list[DataFrame]) -> DataFrame:
     return joined if by else joined.drop("_one")
 
 
-def text_report(pred: DataFrame, by: list[str] = (), aligned: str = "prefix") -> DataFrame:
-    """All text scores, one row per slice: a single pass sums every count.
-
-    ``aligned`` picks the precision family: ``prefix`` for word mode, ``blocks`` for
-    subword mode.
-    """
-    by = list(by)
+def _text_counts(pred: DataFrame, aligned: str) -> DataFrame:
+    """Every count of every pair, that all text scores are made of."""
     hyp, ref = T.split_words(F.col("hyp")), T.split_words(F.col("ref"))
     counted = with_edit_counts(sentence_rouge(sentence_gleu(with_chrf_counts(with_bleu_counts(pred)))))
     if aligned == "blocks":
@@ -306,33 +318,53 @@ def text_report(pred: DataFrame, by: list[str] = (), aligned: str = "prefix") ->
             )
         ]),
     )
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
-    summed = counted.groupBy(*by).agg(
-        *_counts("bleu", O.WORD_ORDER),
-        *_counts("chrf", O.CHAR_ORDER),
-        *_counts("agree", 1),
-        mean("rouge1"), mean("rouge2"), mean("rougeL"), mean("gleu"),
-        ratio(_sum(F.col("char_edits")), _sum(F.col("ref_chars"))).alias("cer"),
-        ratio(_sum(F.col("word_edits")), _sum(F.col("ref_words"))).alias("wer"),
-        F.coalesce(F.avg((F.col("hyp") != F.col("ref")).cast("int")), F.lit(0.0)).alias("ser"),
-    )
+    return counted
+
+
+def _text_sums() -> list[Column]:
+    """Mergeable sums of what :func:`_text_counts` has of every pair."""
+    differ = (F.col("hyp") != F.col("ref")).cast("int")
+    named = {c: F.col(c) for c in ("rouge1", "rouge2", "rougeL", "gleu", "char_edits", "ref_chars", "word_edits", "ref_words")}
+    return [
+        *_counts("bleu", O.WORD_ORDER), *_counts("chrf", O.CHAR_ORDER), *_counts("agree", 1),
+        *[_sum(c).alias(f"sum_{n}") for n, c in {**named, "differ": differ}.items()], F.count("*").alias("n_pairs"),
+    ]
+
+
+def _text_scores(summed: DataFrame, by: list[str], aligned: str, *more: str) -> DataFrame:
+    """The scores of summed counts, one row for each row of sums."""
+    mean = lambda c: ratio(F.col(f"sum_{c}"), F.col("n_pairs"))
     b = lambda part: [F.col(f"bleu_{part}{n}") for n in range(1, O.WORD_ORDER + 1)]
     c = lambda part: [F.col(f"chrf_{part}{n}") for n in range(1, O.CHAR_ORDER + 1)]
     p, r = ratio(F.col("agree_m1"), F.col("agree_h1")), ratio(F.col("agree_m1"), F.col("agree_r1"))
     guard = EPSILON if aligned == "blocks" else 0.0
     return summed.select(
         *by,
+        *more,
         bleu_score(b("m"), b("h"), F.col("bleu_r1")).alias("bleu"),
         chrf_score(c("m"), c("h"), c("r")).alias("chrf"),
-        "rouge1", "rouge2", "rougeL",
+        *[mean(n).alias(n) for n in ("rouge1", "rouge2", "rougeL")],
         p.alias("precision"),
         r.alias("recall"),
         F.when(p + r > 0, 2 * p * r / (p + r + guard)).otherwise(0.0).alias("f1"),
         F.when(p + r > 0, f_half(p, r)).otherwise(0.0).alias("f05"),
-        "cer", "wer", "ser", "gleu",
+        ratio(F.col("sum_char_edits"), F.col("sum_ref_chars")).alias("cer"),
+        ratio(F.col("sum_word_edits"), F.col("sum_ref_words")).alias("wer"),
+        mean("differ").alias("ser"),
+        mean("gleu").alias("gleu"),
     )
 
 
+def text_report(pred: DataFrame, by: list[str] = (), aligned: str = "prefix") -> DataFrame:
+    """All text scores, one row per slice: a single pass sums every count.
+
+    ``aligned`` picks the precision family: ``prefix`` for word mode, ``blocks`` for
+    subword mode.
+    """
+    by = list(by)
+    return _text_scores(_text_counts(pred, aligned).groupBy(*by).agg(*_text_sums()), by, aligned)
+
+
 def full_report(pred: DataFrame, scores: DataFrame, pad: int, by: list[str] = (), aligned: str = "prefix") -> DataFrame:
     """The fifteen named values: text scores, token accuracy and perplexity."""
     by = list(by)
@@ -348,3 +380,38 @@ def slice_report(pred: DataFrame, dims: list[str]) -> DataFrame:
         F.avg((F.col("hyp") != F.col("ref")).cast("int")).alias("ser"),
         F.grouping_id().cast("int").alias("level"),
     )
+
+
+def slice_scores(
+    pred: DataFrame, dims: list[str], aligned: str = "prefix", scores: DataFrame | None = None, pad: int = 0
+) -> DataFrame:
+    """All scores over every combination of ``dims``: the columns of :func:`full_report`, ``n_pairs`` and ``level``.
+
+    Every pair is counted once, for its finest slice; the cube only adds up the slices'
+    counts. ``token_accuracy`` needs the columns ``hyp_ids`` and ``ref_ids``, ``perplexity``
+    token scores that carry ``dims``; what is not given is left out.
+    """
+    sums, more = _text_sums(), []
+    counted = _text_counts(pred, aligned)
+    if {"hyp_ids", "ref_ids"} <= set(pred.columns):
+        if aligned == "blocks":
+            hits = [O.block_matches(F.col("ref_ids"), F.col("hyp_ids")), F.size("ref_ids")]
+        else:
+            tail = lambda c: F.slice(F.col(c), 2, F.greatest(F.size(c) - 1, F.lit(0)))
+            hits = [f(tail("hyp_ids"), tail("ref_ids")) for f in (S.positional_hits, S.common_length)]
+        counted = counted.withColumns({"id_hits": hits[0], "id_total": hits[1]})
+        sums += [_sum(F.col(c)).alias(c) for c in ("id_hits", "id_total")]
+        more.append("token_accuracy")
+    finest = counted.groupBy(*dims).agg(*sums)
+    if scores is not None:
+        nll = with_nll(scores, pad).groupBy(*dims).agg(F.sum("nll").alias("nll_sum"), F.count("nll").alias("n_tokens"))
+        same = reduce(lambda x, y: x & y, [finest[d].eqNullSafe(nll[d]) for d in dims])
+        finest = finest.join(nll, same, "left").drop(*[nll[d] for d in dims])
+        more.append("perplexity")
+    names = [c for c in finest.columns if c not in dims]
+    cube = finest.cube(*dims).agg(*[_sum(F.col(c)).alias(c) for c in names], F.grouping_id().cast("int").alias("level"))
+    if "token_accuracy" in more:
+        cube = cube.withColumn("token_accuracy", ratio(F.col("id_hits"), F.col("id_total")))
+    if "perplexity" in more:
+        cube = cube.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(F.col("nll_sum") / F.col("n_tokens"))).otherwise(float("inf")))
+    return _text_scores(cube, dims, aligned, "level", "n_pairs", *more)

@@ -294,6 +294,30 @@ def subword_renoised(spark, d):
     return marked.select("ex_id", F.size("source_ids").alias("n_ids"), joined("source_ids").alias("ids"))
 
 
+@query
+def subword_noisy_batches(spark, d):
+    """Conversations as batches of turns: sources and targets with noise of their own, padded to the batch's longest."""
+    merges, words = D.subword_model(spark, d)
+    pieces = bpe.merge_list(merges)
+    ids = stored(bpe.encode(_conversation_lines(spark, d), pieces, words), "ids")
+    both = ids.select("ex_id", F.col("ids").alias("source_ids"), F.col("ids").alias("target_ids"))
+    noisy = bpe.noisy_again(both, pieces, words, epoch=1, corrupt_target=True)
+    place = lambda k: F.element_at(F.split("ex_id", r"\|"), k)
+    keyed = noisy.select(place(1).cast("bigint").alias("batch_id"), place(2).cast("int").alias("slot"), "source_ids", "target_ids")
+    padded = batching.pad_batches(keyed, pad_source=2, pad_target=2)
+    return padded.select("batch_id", "slot", joined("source_ids").alias("source_ids"), joined("target_ids").alias("target_ids"))
+
+
+@query
+def subword_pairs(spark, d):
+    """Pairs in subword ids, both sides short enough to train on."""
+    merges, words = D.subword_model(spark, d)
+    pieces, rows = bpe.merge_list(merges), stored(D.numbered_pairs(spark, d), "pairs")
+    side = lambda c: bpe.encode(rows.select("ex_id", F.col(c).alias("text")), pieces, words).withColumnRenamed("ids", f"{c}_ids")
+    short = encode.keep_short(side("source").join(side("target"), "ex_id"))
+    return short.select("ex_id", joined("source_ids").alias("source_ids"), joined("target_ids").alias("target_ids"))
+
+
 # --- encoding and batching -------------------------------------------------------------
 
 
@@ -520,6 +544,12 @@ def slice_report(spark, d):
     return rounded(scoring.slice_report(D.labelled_predictions(spark, d), ["lang", "origin"]))
 
 
+@query
+def slice_scores(spark, d):
+    """Every text score of every language, origin, pair of them, and of all."""
+    return rounded(scoring.slice_scores(D.labelled_predictions(spark, d), ["lang", "origin"]))
+
+
 # --- hypotheses ------------------------------------------------------------------------
 
 

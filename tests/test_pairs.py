@@ -173,6 +173,21 @@ def test_words_are_put_together_again(spark):
     assert got == {1: "these newest, theses", 2: "", 3: "", 4: "low"}
 
 
+def test_noise_on_subword_sides(spark):
+    merges, words = bpe.train(bpe.word_counts(sents(spark, CORPUS)), vocab_size=60)
+    pieces = bpe.merge_list(merges)
+    rows = spark.createDataFrame([(str(i), " ".join(CORPUS[i % 3].split()[:4])) for i in range(12)] + [("e", "")], "ex_id string, text string")
+    ids = bpe.encode(rows, pieces, words)
+    both = ids.select("ex_id", F.concat(F.array(F.lit(0)), "ids").alias("source_ids"), F.concat("ids", F.array(F.lit(1), F.lit(2))).alias("target_ids"))
+    calm = {r.ex_id: r for r in bpe.noisy_again(both, pieces, words, 1, p=0.0).collect()}
+    plain = {r.ex_id: (r.source_ids, r.target_ids) for r in both.collect()}
+    # pieces stand apart once decoded, as without a decoder of the library
+    assert calm["e"].source_ids == [0, 1] and all(r.source_ids[0] == 0 and r.source_ids[-1] == 1 for r in calm.values())
+    assert {k: r.target_ids for k, r in calm.items()} == {k: v[1] for k, v in plain.items()}
+    wild = {r.ex_id: r for r in bpe.noisy_again(both, pieces, words, 1, p=1.0, corrupt_target=True, start=False).collect()}
+    assert any(r.source_ids != r.target_ids for r in wild.values()) and all(r.target_ids[-1] == 1 and r.source_ids[:1] != [0] for r in wild.values())
+
+
 def test_normal_form(spark):
     rows = spark.createDataFrame([("\ufb01ne \u2460",), ("plain",), (None,), ("e\u0301",)], "t string")
     got = [r[0] for r in rows.select(bpe.normalise(F.col("t"))).collect()]

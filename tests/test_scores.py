@@ -129,3 +129,21 @@ def test_beam_step(spark):
     assert [(r["beam"], r["token"], r["flat"]) for r in top] == [(0, 2, 2), (1, 0, 3)]
     first = nbest.select_top(nbest.expand(states, 2, first_step=True), 2).orderBy("rank").collect()
     assert [r["token"] for r in first] == [2, 1]
+
+
+def test_slices_are_sums_of_finest_slices(spark):
+    rows = [("a b c d e", "a b c d f", "en", "w"), ("one two", "one two", "en", "v"), ("x y z", "x z y", None, "w"), ("running dogs", "run dog", "de", "w"), ("", "q", "de", "v")]
+    ids = [([0, 1, 2], [0, 1, 3]), ([0, 5], [0, 5]), ([0, 1, 1], [0, 2, 1]), ([0], [0, 4]), ([0, 9, 9], [0, 9, 9])]
+    pred = spark.createDataFrame([(*r, *i) for r, i in zip(rows, ids)], "hyp string, ref string, lang string, origin string, hyp_ids array<int>, ref_ids array<int>")
+    tokens = spark.createDataFrame([("en", "w", [0.1, 2.0], 1), ("en", "v", [0.3, 0.2], 0), ("de", "w", [1.0, 0.0], 1)], "lang string, origin string, logits array<double>, target int")
+    got = scoring.slice_scores(pred, ["lang", "origin"], scores=tokens, pad=9).collect()
+    assert len(got) == 1 + 3 + 2 + 5
+    whole = [r for r in got if r["level"] == 3][0].asDict()
+    want = scoring.full_report(pred, tokens, pad=9).first().asDict()
+    assert {k: whole[k] for k in want} == pytest.approx(want)
+    by_lang = {r["lang"]: r.asDict() for r in got if r["level"] == 1}
+    for row in scoring.text_report(pred, ["lang"]).collect():
+        for name, value in row.asDict().items():
+            assert by_lang[row["lang"]][name] == (value if isinstance(value, str) or value is None else pytest.approx(value))
+    assert by_lang["de"]["perplexity"] == pytest.approx(scoring.perplexity(tokens.where("lang = 'de'"), 9).first()["perplexity"])
+    assert by_lang[None]["perplexity"] == float("inf") and by_lang[None]["n_pairs"] == 1
