@@ -25,7 +25,7 @@ FLUSH = 1 << 19
 #: Words whose hashes a task remembers; only speed depends on it.
 REMEMBERED = 1 << 16
 #: Most sets, and shingles in them, that are compared with each other in one go.
-GROUP_SETS, GROUP_SHINGLES = 256, 1 << 19
+GROUP_SETS, GROUP_SHINGLES = 512, 1 << 20
 
 
 #: Bits (log2) of the broadcast filter of shared shingles: 32 MB, whatever the input.
@@ -324,7 +324,11 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
     def forest(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         n = np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(len(sets)), n)
-        _, word = np.unique(np.concatenate(sets), return_inverse=True)
+        _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = times[word] > 1  # what one set alone has is in no intersection
+        if not several.any():
+            return [], []
+        owner, word = owner[several], (np.cumsum(times > 1) - 1)[word[several]]
         root = list(range(len(sets)))
 
         def find(x: int) -> int:
@@ -398,8 +402,9 @@ def similar_sets(
     2. Sets get the keys of :class:`Signatures`; sets that share a key are joined to a
        cluster by one pair each, never all pairs, and clusters are closed by components.
     3. Linked sets are now in one cluster. Only sets of clusters of two or more fetch their
-       text. A cluster is dealt into blocks of bounded size and each pair of blocks is
-       compared exactly, so a very large cluster is many tasks and no link is lost.
+       text. A cluster is cut by size, since sets of very different sizes cannot link, and
+       dealt into blocks of bounded size; each pair of blocks is compared exactly, so a very
+       large cluster is many tasks and no link is lost.
     4. Components of the links.
     """
     rows = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"))
@@ -415,16 +420,24 @@ def similar_sets(
     members = sets.join(grouped.union(roots), F.col("set_id") == F.col("node")).select(
         F.col("root").alias("cluster"), "set_id", "n", F.col("one.address").alias("at"), F.col("one.doc_id").alias("id")
     )
-    members = stored(members, "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    # sizes of linked sets differ by the ratio q/p at most, so by one range of a ratio just above it
+    size_range = F.floor(F.log("n") / log(1.001 * q / p)).cast("int")
+    members = stored(members.withColumn("range", size_range), "members")
+    placed = members.select("cluster", "set_id", "n", "range", F.explode(F.array(F.col("range"), F.col("range") + 1)).alias("g"))
+    sizes = placed.groupBy("cluster", "g").agg(
+        F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.count_if(F.col("range") == F.col("g")).alias("own")
+    )
     blocks = F.ceil(F.greatest(F.col("sets") * 2 / GROUP_SETS, F.col("shingles") * 2 / GROUP_SHINGLES))
     blocks = F.when((F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES), 1).otherwise(blocks)
-    sizes = sizes.select(F.col("cluster").alias("c"), blocks.cast("int").alias("blocks"))
+    sizes = sizes.where("own > 0 and sets > 1").select("cluster", "g", blocks.cast("int").alias("blocks"))
+    targets = placed.select("cluster", "set_id", "g").join(sizes.hint("merge"), ["cluster", "g"])
+    targets = targets.groupBy("set_id").agg(F.collect_list(F.struct(F.xxhash64("cluster", "g").alias("cluster"), "blocks")).alias("targets"))
+    wanted = stored(members.select("set_id", "at", "id").join(targets.hint("merge"), "set_id"), "wanted")
     # the same kind of join at every size: with the filter before it, few texts move
-    fetched = sieve(rows, "address", members, "at")[0].join(
-        members.hint("merge"), (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    ).select("cluster", "set_id", "text")
-    dealt = fetched.join(sizes, F.col("cluster") == F.col("c")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    fetched = sieve(rows, "address", wanted, "at")[0].join(
+        wanted.hint("merge"), (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    ).select("set_id", "text", F.explode("targets").alias("t"))
+    dealt = fetched.select("set_id", "text", "t.cluster", "t.blocks").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "set_id", "text")
     return held, components(_linked(dealt, n_words, p, q))
