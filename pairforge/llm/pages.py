@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,40 +37,78 @@ OUTSIDE = frozenset(
     legend map menu nav noembed noframes noscript object optgroup option script select style svg template textarea title
     video""".split()
 )
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disclaimer|disqus|"
-    r"footer|form|gdpr|header|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|"
-    r"popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags?|toolbar|"
-    r"widget)(?:$|[\s_-]|\d)",
-    re.I,
+# Last words of names that mark parts outside the text, of names that only speak against it, words that
+# say how a part is laid out, and words that make a name a property of the whole.
+STRONG = re.compile(
+    r"ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|respond|sidebar|sponsor\w*|subscribe|toolbar"
 )
+WEAK = re.compile(r"byline|copyright|disclaimer|form|header|hidden|share|sharing|skip|social|tags?|widget")
+LAYOUT = frozenset(
+    """area bar block body bottom box button column container content group holder inner item items left line link links list main
+    outer panel right row section slot text thread top unit wrap wrapper zone""".split()
+)
+WHOLE = frozenset("has no with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
 
+CONTAINERS = frozenset("article body center details div main section table td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Place(NamedTuple):
+    """What holds for the text at a place of the page."""
+
+    outside: bool = False  # in a part that never holds article text
+    weak: bool = False  # in a part whose name speaks against it
+    article: bool = False  # in an article or main element
+    link: bool = False
+    heading: bool = False
+    container: int = 0
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    place: Place
+
+
+@lru_cache(4096)
+def _name_mark(name: str) -> int:
+    """2 for a name of a part outside the text, 1 for one that speaks against it, else 0.
+
+    The last word that does not tell the layout decides: ``comment-list`` is a list of
+    comments, ``hidden-gem`` is a gem, and ``has-sidebar`` is said of a whole page.
+    """
+    words = [w for w in re.split(r"[\W_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    if not words or words[0] in WHOLE:
+        return 0
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return 2 if STRONG.fullmatch(words[-1]) else 1 if WEAK.fullmatch(words[-1]) else 0
+
+
 class Blocks(HTMLParser):
-    """Cuts a page into blocks: text, characters in links, whether in a marked part, whether in the article."""
+    """Cuts a page into blocks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, marked, article, link
+        self.open: list[tuple[str, Place]] = []
         self.counts: dict[str, int] = {}
-        self.found: list[tuple[str, int, bool, bool]] = []
+        self.found: list[Block] = []
         self.text: list[str] = []
-        self.linked = 0
-        self.state = (False, False, False)
+        self.linked = self.containers = 0
+        self.place = Place()
 
     def flush(self) -> None:
         if self.text:
             joined = " ".join("".join(self.text).split())
             if joined:
-                self.found.append((joined, self.linked, self.state[0], self.state[1]))
+                self.found.append(Block(joined, self.linked, self.place))
             self.text.clear()
         self.linked = 0
 
-    def _set(self) -> None:
-        self.state = self.open[-1][1:] if self.open else (False, False, False)
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in OUTSIDE:
             self.flush()
@@ -79,24 +119,36 @@ class Blocks(HTMLParser):
         for other in _CLOSES.get(tag, ()):
             if self.open and self.open[-1][0] == other:
                 self._pop()
-        marked, article, link = self.state
-        named = dict(attrs)
-        names = f"{named.get('class') or ''} {named.get('id') or ''}"
-        flagged = bool(names.strip() and MARKED.search(names)) or (named.get("role") or "").lower() in ROLES or "hidden" in named
-        if tag in ("article", "main") and not flagged:
-            # an article inside a part left open by mistake is an article still
-            marked, article = marked and self._inside("aside", "footer", "form", "nav"), True
-        marked = marked or flagged or tag in OUTSIDE or (tag == "header" and not article)
-        self.open.append((tag, marked, article, link or tag == "a"))
+        self.open.append((tag, self._entered(tag, dict(attrs))))
         self.counts[tag] = self.counts.get(tag, 0) + 1
-        self._set()
+        self.place = self.open[-1][1]
 
-    def _inside(self, *tags: str) -> bool:
-        return any(self.counts.get(t) for t in tags)
+    def _entered(self, tag: str, named: dict[str, str | None]) -> Place:
+        outside, weak, article, link, heading, container = self.place
+        mark = 0
+        if tag not in ("html", "body"):
+            names = f"{named.get('class') or ''} {named.get('id') or ''}".split()
+            mark = max(map(_name_mark, names), default=0)
+            if (named.get("role") or "").lower() in ROLES or "hidden" in named:
+                mark = 2
+        if tag in ("article", "main") and mark == 0:
+            # an article inside a part left open by mistake is an article still
+            outside, article = outside and any(self.counts.get(t) for t in ("aside", "footer", "form", "nav")), True
+        if tag in CONTAINERS:
+            self.containers += 1
+            container = self.containers
+        return Place(
+            outside or mark == 2 or tag in OUTSIDE or (tag == "header" and not article),
+            weak or mark == 1,
+            article,
+            link or tag == "a",
+            tag in HEADINGS or (heading and tag not in BLOCKS),
+            container,
+        )
 
     def _pop(self) -> None:
         self.counts[self.open.pop()[0]] -= 1
-        self._set()
+        self.place = self.open[-1][1] if self.open else Place()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in OUTSIDE:
@@ -108,84 +160,111 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-        if self.state[2]:
+        if self.place.link:
             self.linked += len(data.strip())
 
 
-def _first_pass(
-    text: str, linked: int, in_article: bool, short: int, long: int, link_share: float, low: float, high: float
-) -> str:
-    """``good``, ``bad``, or the undecided ``near`` (some prose) and ``short``."""
-    if linked > link_share * len(text):
+class Rules(NamedTuple):
+    """Lengths in code points, link density as a share of them, stop-word density as a share of the words."""
+
+    short: int = 40
+    long: int = 120
+    link_share: float = 0.33
+    low: float = 0.1
+    high: float = 0.25
+
+
+def first_pass(block: Block, has_article: bool, rules: Rules = Rules()) -> str:
+    """``good``, ``bad``, or undecided: ``near`` (some prose), ``poor`` (hardly any), ``short`` and ``heading``.
+
+    An article element is a prior: inside it half the length and half the density do;
+    outside, on a page that has one, it takes twice the length, and what is near is poor.
+    """
+    text, linked, place = block
+    if place.outside or linked > rules.link_share * len(text):
         return "bad"
-    if len(text) < short:
-        return "bad" if linked and not in_article else "short"
+    if len(text) < rules.short:
+        return "bad" if place.weak or (linked and not place.article) else "heading" if place.heading else "short"
+    prior = 0.5 if place.article else 1.0
     words = text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if in_article:  # the page itself says what this is; density needs no proof
-        density += high
-    if density >= high:
-        return "good" if len(text) > long or in_article else "near"
-    return "near" if density >= low else "bad"
+    density = sum(_BARE.sub("", w) in STOP_WORDS for w in words) / len(words)
+    if density >= rules.high * prior and len(text) > rules.long * (2 if has_article and not place.article else prior):
+        return "good"
+    if place.weak:
+        return "bad"
+    if place.heading:
+        return "heading"
+    return "near" if density >= rules.low * prior and (place.article or not has_article) else "poor"
+
 
+_BARE = re.compile(r"^\W+|\W+$")
+DECIDED = ("good", "bad")
 
-def _second_pass(labels: list[str]) -> list[bool]:
-    """Undecided blocks take the label of the nearest decided neighbours.
 
-    Where those differ, ``near`` is good, and ``short`` follows the closer one,
-    on a tie the one behind it, as headings do.
-    Without a decided neighbour on a side, that side is bad.
+def second_pass(labels: list[str], containers: list[int]) -> list[bool]:
+    """Undecided blocks take the label of their nearest decided neighbours.
+
+    Neighbours in the same container come first; where it has none, those of the page, whose
+    ends count as bad. ``near`` is good if one of both sides is, ``poor`` if all are; ``short`` follows
+    the closer one, on a tie the one behind it; a ``heading`` follows the one behind, if there is one.
     """
     n = len(labels)
-    before: list[tuple[bool, int]] = []
-    last = (False, n + 1)
-    for label in labels:
-        last = (label == "good", 1) if label in ("good", "bad") else (last[0], last[1] + 1)
-        before.append(last)
-    after: list[tuple[bool, int]] = []
-    last = (False, n + 1)
-    for label in reversed(labels):
-        last = (label == "good", 1) if label in ("good", "bad") else (last[0], last[1] + 1)
-        after.append(last)
-    after.reverse()
+
+    def sweep(order: range, end: int) -> tuple[list[int], list[int | None]]:
+        last, own = end, {}
+        page, same = [end] * n, [None] * n
+        for i in order:
+            page[i], same[i] = last, own.get(containers[i])
+            if labels[i] in DECIDED:
+                last = own[containers[i]] = i
+        return page, same
+
+    before, own_before = sweep(range(n), -1)
+    after, own_after = sweep(range(n - 1, -1, -1), n)
+    good = [label == "good" for label in labels] + [False]  # both ends, -1 and n, are bad
     out = []
-    for label, (left, to_left), (right, to_right) in zip(labels, before, after):
-        if label in ("good", "bad"):
-            out.append(label == "good")
-        elif left == right or label == "near":
-            out.append(left or right)
+    for i, label in enumerate(labels):
+        if label in DECIDED:
+            out.append(good[i])
+            continue
+        sides = [s for s in (own_before[i], own_after[i]) if s is not None] or [before[i], after[i]]
+        if label == "near":
+            out.append(any(good[s] for s in sides))
+        elif label == "poor":
+            out.append(all(good[s] for s in sides))
+        elif label == "heading":
+            out.append(good[sides[-1]])
         else:
-            out.append(left if to_left < to_right else right)
+            out.append(good[min(sides, key=lambda s: (abs(s - i), s < i))])
     return out
 
 
-def main_text(
-    html: str, short: int = 40, long: int = 120, link_share: float = 0.33, low: float = 0.1, high: float = 0.25
-) -> str:
+def main_text(html: str, rules: Rules = Rules()) -> str:
     """Main text of one page; see :func:`extract`."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
     blocks = parser.found
-    has_article = any(article and not marked for _, _, marked, article in blocks)
-    labels = [
-        "bad" if marked or (has_article and not article) else _first_pass(text, linked, article, short, long, link_share, low, high)
-        for text, linked, marked, article in blocks
-    ]
-    if has_article:  # a heading between the page's parts and the article belongs to the article
-        labels = ["good" if a and not m and label == "short" else label for label, (_, _, m, a) in zip(labels, blocks)]
-    return " ".join(text for (text, *_), good in zip(blocks, _second_pass(labels)) if good)
+    has_article = any(b.place.article and not b.place.outside for b in blocks)
+    labels = [first_pass(b, has_article, rules) for b in blocks]
+    if "good" not in labels:  # nothing to inherit from: a page of short or strange text is its undecided blocks
+        chosen = [label not in DECIDED and (b.place.article or not has_article) for b, label in zip(blocks, labels)]
+    else:
+        chosen = second_pass(labels, [b.place.container for b in blocks])
+    return " ".join(b.text for b, good in zip(blocks, chosen) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``: main text of every page, from the whole html.
 
-    First pass: blocks in marked parts (menus, footers, forms, adverts, comments and so
-    on) and blocks made of links are bad; the others are judged by stop-word density,
-    length and link density, and long enough prose is good. If the page names its article,
-    blocks outside it are bad and those inside need no density. Second pass: blocks too
-    short or too mixed to tell take the label of their nearest decided neighbours.
+    First pass: blocks in parts that hold no article text (menus, footers, forms, adverts,
+    comments and so on, by element, role or name) and blocks made of links are bad; all others
+    are judged by stop-word density, length and link density. An article element only moves
+    these bounds, and a name like ``share`` or ``tags`` only asks for proof by them. Second
+    pass: blocks too short or too mixed to tell take the label of their nearest decided
+    neighbours. On a page where the first pass finds no good block, the undecided ones are
+    the text, those in an article element if it has one.
 
     One row per input row, without a shuffle: repeated rows and repeated or null ids stay,
     null and empty pages give an empty text, extra columns are dropped, an empty table

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from html import unescape
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -311,6 +313,64 @@ def test_pages():
     assert len(pages.main_text("<article>" + "<div>" * 5000 + "text" + "<p>x" * 5000)) > 5000
 
 
+def test_an_article_element_is_only_a_prior():
+    prose = "It was the best of times and it was the worst of times, as all of us know from the book that we have read. " * 3
+    body = " ".join(prose.split())
+    page = f"<body><nav>Home</nav><div class=body><h1>Head</h1><p>{prose}</p><p>Short end</p></div><article>Other story</article><footer>x</footer></body>"
+    assert pages.main_text(page) == f"Head {body} Short end"
+    assert pages.main_text("<p>Der Artikel 5 &lt; 6</p>") == "Der Artikel 5 < 6"
+    assert pages.main_text("<nav>Home</nav><article><p>Kurz</p></article><div>elsewhere</div><footer>x</footer>") == "Kurz"
+    for name in ('class="hidden-gem"', 'id="share-price"', 'class="tags"', 'class="has-sidebar"', 'class="article-body"'):
+        assert pages.main_text(f"<article><p>{prose}</p><p {name}>{prose}</p></article>") == f"{body} {body}"
+    for name in ('class="ad"', 'id="ad-slot-3"', 'class="post commentList"', 'class="cookie-notice"', 'role="banner"', "hidden"):
+        assert pages.main_text(f"<article><p>{prose}</p><div {name}><p>{prose}</p></div></article>") == body
+    assert pages.main_text(f'<div><p>{prose}</p><p class="tags">one two</p></div>') == body
+    assert len(pages.main_text(f"<div><p>{prose}" * 3000)) > 3000 * len(body)
+
+
+def test_pages_without_article_elements(sf_dir):
+    html = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    for page in html:
+        inner = re.search(r"<article>(.*?)(</article>|<footer>)", page, re.S)[1]
+        whole = " ".join(unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+        assert pages.main_text(page) == whole
+        assert pages.main_text(re.sub(r"(</?)article\b", r"\1div", page)) == whole
+
+
+def brute_labels(labels, containers):
+    n, out = len(labels), []
+    for i, label in enumerate(labels):
+        decided = [j for j in range(n) if labels[j] in ("good", "bad")]
+        own = [j for j in decided if containers[j] == containers[i]]
+        sides = []
+        for pool, ends in ((own, []), (decided, [-1, n])):
+            left = [j for j in [*pool, *ends] if j < i]
+            right = [j for j in [*pool, *ends] if j > i]
+            sides = sorted(left)[-1:] + sorted(right)[:1]
+            if sides:
+                break
+        good = [0 <= j < n and labels[j] == "good" for j in sides]
+        near = min(sides, key=lambda j: abs(j - i) - 0.5 * (j > i))
+        rule = {"good": True, "bad": False, "near": any(good), "poor": all(good), "heading": good[-1], "short": good[sides.index(near)]}
+        out.append(rule[label])
+    return out
+
+
+def test_labels_of_undecided_blocks_equal_brute_force():
+    random.seed(11)
+    for _ in range(3000):
+        n = random.randint(0, 12)
+        labels = random.choices(["good", "bad", "near", "poor", "heading", "short"], k=n)
+        containers = [random.randint(0, 2) for _ in range(n)]
+        assert pages.second_pass(labels, containers) == brute_labels(labels, containers)
+
+
+def test_empty_page_tables_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>a", "t", 3)], "page_id bigint, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in pages.extract(rows).collect()] == [(1, "u", "a", 1)]
+    assert pages.extract(rows.limit(0)).count() == 0
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None, 1), (1, "u", "", 1), (None, None, "<article><p>text</p></article>", 2)]
     got = pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()
