@@ -424,6 +424,51 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_the_index_meets_fewer_rows_of_clustered_vectors():
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (2000, 20000):
+        vectors = rng.normal(size=(200, 32))[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 32))
+        forest = neighbours.Forest(vectors, np.linalg.norm(vectors, axis=1).max(), 4, neighbours.depth_for(n, n, 256), 7)
+        places, reach = forest.places(vectors), forest.calibrated(vectors, 20, 0.95)
+        counts = np.stack([np.bincount(places[:, t], minlength=forest.leaves) for t in range(4)])
+        assert (counts.sum(1) == n).all()
+        met_share, hits = [], []
+        for q in range(100):
+            visited = forest.search(vectors[q], counts, reach, 80)
+            key = forest.keys(vectors[q : q + 1])[0]
+            assert visited[key <= reach].all()
+            met = np.any([visited[t][places[:, t]] for t in range(4)], axis=0)
+            scores = vectors @ vectors[q]
+            scores[q] = -np.inf
+            met_share.append(met.mean())
+            hits.append(met[np.argsort(-scores)[:20]].mean())
+        assert np.mean(hits) > 0.9
+        shares.append(np.mean(met_share))
+    assert shares[1] < 0.3 and shares[1] < 0.6 * shares[0]
+
+
+def test_large_leaves_are_cut_and_small_ones_grouped(spark):
+    rows, tree_of = neighbours.blocks_of(np.array([[3, 4, 20, 1], [0, 0, 28, 0]]), 8)
+    assert rows == [(0, 0, 0, 1), (0, 1, 0, 1), (0, 2, 1, 3), (0, 3, 2, 1), (1, 0, 3, 1), (1, 1, 3, 1), (1, 2, 4, 4), (1, 3, 5, 1)]
+    assert tree_of == [0, 0, 0, 1, 1, 1]
+    rng = np.random.default_rng(2)
+    # a third of the rows holds one vector; extra columns carry the operator's own names
+    vectors = [[1.0, 2.0, 0.5] if k % 3 == 0 else rng.normal(size=3).tolist() for k in range(1, 1501)]
+    data = [(k, v, 7, "b", None) for k, v in enumerate(vectors, 1)]
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, id int, block string, leaves array<int>")
+    got = neighbours.nearest(frame, recall=1.0, block_rows=100).toPandas()
+    matrix = np.array(vectors)
+    assert set(got["query_id"]) == set(range(20, 1501, 20))
+    for query, group in got.groupby("query_id"):
+        score = (matrix * matrix[query - 1]).sum(1)
+        score[query - 1] = -np.inf
+        order = np.lexsort((np.arange(1, 1501), -score))[:20] + 1
+        if query % 3 == 0:
+            assert group.sort_values("rank")["vec_id"].tolist() == order.tolist()
+        assert len(group) == 20 and (group["score"].to_numpy() <= score.max()).all()
+
+
 def test_empty_tables(spark, edge):
     none = edge.limit(0)
     frames = (
