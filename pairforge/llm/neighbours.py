@@ -15,6 +15,10 @@ from ..session import stored
 from .common import only, slices
 
 
+#: Queries whose worst hit a task remembers; beyond, it begins anew and gives more hits than needed.
+KNOWN_QUERIES = 1 << 20
+
+
 class Forest:
     """Binary trees that halve a sample by random directions, one direction to a level of a tree.
 
@@ -162,7 +166,7 @@ def nearest(
     leaf_rows: int = 256,
     recall: float = 0.95,
     sample_rows: int = 20_000,
-    block_rows: int = 4096,
+    block_bytes: int = 16 << 20,
     seed: int = 7,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -174,10 +178,10 @@ def nearest(
     has 16 rows to a leaf. How far a search goes is measured on the sample (``recall``,
     :meth:`Forest.calibrated`), so it follows the data: it visits few leaves where rows are
     clustered, most where they are spread alike in all directions. Queries are sent to
-    blocks of about ``block_rows`` vectors of neighbouring leaves, with the leaves they visit; a
+    blocks of about ``block_bytes`` of vectors of neighbouring leaves, with the leaves they visit; a
     row met in several trees is compared in the first of them only, so that no query makes
-    more comparisons than there are rows. Each block gives a query's best ``k``, and the best of all blocks
-    are its answer. Scores are exact, in double precision.
+    more comparisons than there are rows. Each block gives those of a query's best ``k`` that
+    the blocks before it in the task do not rule out, and the best of all blocks are its answer. Scores are exact, in double precision.
 
     ``is_query`` is a column over ``id`` (default: divisible by 20). Nearest first, ties to
     the smaller id. A row is never its own neighbour; repeated rows of an id count once for
@@ -210,7 +214,7 @@ def nearest(
     counts = np.zeros((trees, built.leaves), int)
     for t, leaf, n in in_trees.groupBy("tree", "leaf").count().collect():  # a row per leaf
         counts[t, leaf] = n
-    grouping, tree_of = blocks_of(counts, block_rows)
+    grouping, tree_of = blocks_of(counts, max(leaf_rows, block_bytes // (8 * points.shape[1])))
     group_of = np.zeros((trees, built.leaves), np.int32)
     blocks = np.ones(len(tree_of), np.int32)
     for t, leaf, group, n in grouping:
@@ -245,6 +249,7 @@ def nearest(
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, matrix = None, [], None
+        worst: dict[int, float] = {}  # of the k best of a query in one of this task's blocks; what is below is ruled out
         for batch in slices(batches, 1024):
             group, block, kind = (np.asarray(batch.column(c)) for c in ("group", "block", "is_query"))
             own_ids, own_vectors = np.asarray(batch.column("id")), _vectors(batch)
@@ -280,7 +285,16 @@ def nearest(
                     edge = np.partition(scores, len(met) - n)[-n] - slack * np.linalg.norm(vector)
                     picked = met[scores >= edge]
                     exact = (matrix[picked] * vector).sum(1)
-                    keep = np.lexsort((names[picked], -exact))[:k]
+                    keep = np.lexsort((names[picked], -exact))
+                    # several vectors of an id with one score take one rank
+                    new = (exact[keep][1:] != exact[keep][:-1]) | (names[picked][keep][1:] != names[picked][keep][:-1])
+                    keep = keep[np.r_[True, new]][:k]
+                    floor = worst.get(own_ids[q], -np.inf)
+                    if len(keep) == k and exact[keep[-1]] > floor:
+                        if len(worst) >= KNOWN_QUERIES:
+                            worst.clear()
+                        worst[own_ids[q]] = exact[keep[-1]]
+                    keep = keep[exact[keep] >= floor]
                     out[0].append(np.full(len(keep), own_ids[q]))
                     out[1].append(names[picked][keep])
                     out[2].append(exact[keep])

@@ -457,7 +457,7 @@ def test_large_leaves_are_cut_and_small_ones_grouped(spark):
     vectors = [[1.0, 2.0, 0.5] if k % 3 == 0 else rng.normal(size=3).tolist() for k in range(1, 1501)]
     data = [(k, v, 7, "b", None) for k, v in enumerate(vectors, 1)]
     frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, id int, block string, leaves array<int>")
-    got = neighbours.nearest(frame, recall=1.0, block_rows=100).toPandas()
+    got = neighbours.nearest(frame, recall=1.0, leaf_rows=64, block_bytes=100 * 3 * 8).toPandas()
     matrix = np.array(vectors)
     assert set(got["query_id"]) == set(range(20, 1501, 20))
     for query, group in got.groupby("query_id"):
