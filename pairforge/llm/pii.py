@@ -125,64 +125,72 @@ def row_digest(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\u0000", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
 
 
-def contexts(based: DataFrame, text: str, base: str, digest: str, reach: int) -> DataFrame:
-    """``digest, text_key, entity, term, start, end``: the whole words of four letters or more within ``reach`` of a base span."""
-    span = F.col("span")
+def contexts(based: DataFrame, text: str, base: str, digest: str) -> DataFrame:
+    """``digest, text_key, entities, words`` of every text with base spans.
+
+    ``words`` are all words of four letters or more of the whole text that no base span
+    touches: ``term, start, end``. ``entities`` are the distinct values of its base spans.
+    """
     rows = based.where(F.size(base) > 0).select(
-        F.col(digest).alias("digest"), F.col(f"`{text}`").alias("text"), F.col(base).alias("base"), F.explode(base).alias("span")
-    )
-    begin = F.greatest(span["start"] - reach, F.lit(0))
-    rows = rows.withColumn("begin", begin).withColumn(
-        "near", F.substring(F.col("text"), (F.col("begin") + 1).cast("int"), (span["end"] - F.col("begin") + reach).cast("int"))
+        F.col(digest).alias("digest"), F.col(f"`{text}`").alias("text"), F.col(base).alias("base")
     )
-    rows = with_spans(rows, F.col("near"), TERM, "words").withColumn("at_end", F.col("begin") + F.length("near") >= F.length("text"))
-    word = F.col("word")
-    entity = F.concat_ws(":", span["kind_no"].cast("string"), F.when(span["kind_no"] == 0, F.lower(span["hit"])).otherwise(_digits(span["hit"])))
-    clear = lambda w: ~F.exists("base", lambda b: (b["start"] < F.col("begin") + w["end"]) & (F.col("begin") + w["start"] < b["end"]))
-    whole = lambda w: ((w["start"] > 0) | (F.col("begin") == 0)) & ((w["end"] < F.length("near")) | F.col("at_end"))
-    rows = rows.withColumn("words", F.filter("words", lambda w: whole(w) & clear(w)))
-    return rows.select("digest", F.unhex(F.md5("text")).alias("text_key"), entity.alias("entity"), "begin", F.explode("words").alias("word")).select(
-        "digest", "text_key", "entity", F.lower(word["hit"]).alias("term"), (F.col("begin") + word["start"]).alias("start"), (F.col("begin") + word["end"]).alias("end")
+    rows = with_spans(rows, F.col("text"), TERM, "words")
+    value = lambda s: F.when(s["kind_no"] == 0, F.lower(s["hit"])).otherwise(_digits(s["hit"]))
+    entity = lambda s: F.concat_ws(":", s["kind_no"].cast("string"), value(s))
+    clear = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    word = lambda w: F.struct(F.lower(w["hit"]).alias("term"), w["start"].alias("start"), w["end"].alias("end"))
+    return rows.select(
+        "digest",
+        F.unhex(F.md5("text")).alias("text_key"),
+        F.array_distinct(F.transform("base", entity)).alias("entities"),
+        F.transform(F.filter("words", clear), word).alias("words"),
     )
 
 
 def disclosing_terms(near: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
-    """``entity, term, disclosure`` of the pairs at or over ``threshold``.
-
-    With n documents, n(t) holding the term, n(e) the entity near some word, n(t, e) the
-    term near the entity: pointwise mutual information log(n n(t, e) / n(t) n(e)) over the
-    entity's information log(n / n(e)). At 1 the term is found nowhere without the entity.
-    A pair needs two different texts, else each rare word beside a number would count.
-    All counts are over all documents and combined before their shuffles.
+    """``digest, term`` of the terms that disclose an entity of their text at or over ``threshold``.
+
+    With n documents, n(t) holding the term, n(e) the entity, n(t, e) both: pointwise mutual
+    information log(n n(t, e) / n(t) n(e)) over the entity's information log(n / n(e)). At 1
+    the term is found nowhere without the entity. A pair needs two different texts, else
+    each rare word beside a number would count. All counts are over all documents and
+    combined before their shuffles. As n(t, e) is at most n(e), a term meets only entities
+    with log(n / n(t)) >= threshold log(n / n(e)): no other pair can reach the threshold.
     """
-    pairs = near.groupBy("term", "entity").agg(
-        F.count_distinct("digest").alias("n_pair"), F.min("text_key").alias("a"), F.max("text_key").alias("b")
-    )
-    pairs = pairs.where("a < b").drop("a", "b")
-    entities = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = near.select("digest", "text_key", F.explode("entities").alias("entity")).distinct()
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    entities = held.join(entities.where("a < b").drop("a", "b"), "entity")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(TERM), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    shown = near.select("digest", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
     total = docs.agg(F.count("*").alias("n")).select("n").scalar()
-    score = F.log(F.col("n_pair") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
-    scored = pairs.join(entities, "entity").join(terms, "term").withColumn("disclosure", score)
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    can = F.log(total / F.col("n_term")) >= threshold * F.log(total / F.col("n_entity")) - 1e-9
+    met = entities.join(shown.join(terms, "term"), "digest").where(can)
+    counted = met.groupBy("term", "entity", "n_term", "n_entity").agg(
+        F.count("*").alias("n_pair"), F.min("text_key").alias("a"), F.max("text_key").alias("b")
+    )
+    shared = F.log(F.col("n_pair") * total / (F.col("n_term") * F.col("n_entity")))
+    scored = counted.where("a < b").withColumn("disclosure", F.try_divide(shared, F.log(total / F.col("n_entity"))))
+    strong = scored.where(F.col("disclosure") >= threshold).select("entity", "term")
+    return met.join(strong, ["entity", "term"]).select("digest", "term").distinct()
 
 
-def term_spans(docs: DataFrame, based: DataFrame, text: str, base: str, digest: str, reach: int, threshold: float) -> DataFrame:
+def term_spans(docs: DataFrame, based: DataFrame, text: str, base: str, digest: str, threshold: float) -> DataFrame:
     """``term_digest, terms``: spans of disclosing terms, one row for each row digest that has some."""
-    near = stored(contexts(based, text, base, digest, reach), "contexts")
-    found = near.join(disclosing_terms(near, docs, text, threshold), ["entity", "term"])
+    near = stored(contexts(based, text, base, digest), "contexts")
+    places = near.select("digest", F.explode("words").alias("w")).select("digest", "w.*")
+    found = places.join(disclosing_terms(near, docs, text, threshold), ["digest", "term"])
     span = F.struct("start", F.lit(4).alias("kind_no"), "end", F.col("term").alias("hit"))
     return found.groupBy(F.col("digest").alias("term_digest")).agg(F.array_sort(F.collect_set(span)).alias("terms"))
 
 
 def find_pii(
-    docs: DataFrame, reach: int = 64, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term`` of every whole text.
 
-    Base spans come from the patterns; terms within ``reach`` code points of one that
-    disclose it (:func:`disclosing_terms`) are added as spans of kind ``term``. One row per
+    Base spans come from the patterns; terms anywhere in a text that disclose one of its
+    base spans (:func:`disclosing_terms`) are added as spans of kind ``term``. One row per
     input row: repeated rows and repeated or null ids stay, null and empty texts have no
     spans, extra columns are dropped, an empty table gives an empty table.
     """
@@ -190,7 +198,7 @@ def find_pii(
     rows = rows.withColumn("digest", row_digest(F.col("doc_id"), F.col("text")))
     based = base_spans(rows)
     held = stored(based.where(F.size("base") > 0), "held")
-    terms = term_spans(rows, held, "text", "base", "digest", reach, threshold)
+    terms = term_spans(rows, held, "text", "base", "digest", threshold)
     none = F.expr("cast(array() as array<struct<start:bigint,kind_no:int,end:bigint,hit:string>>)")
     with_terms = (
         held.select("digest", "base")
@@ -229,7 +237,7 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def remove_pii(
-    docs: DataFrame, reach: int = 64, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
+    docs: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
 ) -> DataFrame:
     """``docs``, with personal data and the terms that disclose it generalised to their kind.
 
@@ -239,7 +247,7 @@ def remove_pii(
     marked = docs.withColumn(mark, row_digest(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     based = base_spans(marked, text_col, base)
     held = stored(based.where(F.size(base) > 0), "held")
-    terms = term_spans(marked, held, text_col, base, mark, reach, threshold)
+    terms = term_spans(marked, held, text_col, base, mark, threshold)
     names = {c: fresh(docs, f"pii_{c}") for c in terms.columns}
     terms = terms.select(*(F.col(c).alias(a) for c, a in names.items()))
     found = held.join(terms, F.col(mark) == F.col(names["term_digest"]), "left")

@@ -117,6 +117,16 @@ def test_a_disclosing_term_is_added_and_removed(spark):
     assert "plain" in clean[1][0] and clean[20][0] == dict(rows)[20]
 
 
+def test_a_disclosing_term_is_found_anywhere_in_its_text(spark):
+    far = "filler words of no weight " * 40
+    other = [(k, f"filler words number {k} of no weight about people") for k in range(10, 40)]
+    rows = [(1, f"Zorblax {far} ann@x.org"), (2, f"ann@x.org and then {far} Zorblax again"), *other]
+    found = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = rows[1][1].index("Zorblax")
+    assert found[1].startswith("term:0:7,") and f"term:{at}:{at + 7}" in found[2]
+    assert not any(found[k] for k in range(10, 40))
+
+
 def brute_groups(rows, n, p):
     sets, root = {}, {}
     for i, t in rows:
