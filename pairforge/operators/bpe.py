@@ -8,6 +8,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..functions.rng import SEED
 from ..functions.text import word_or_punct, words_of
 from ..session import stored
 from .bpe_training import MARKERS, MERGE_SCHEMA, VOCAB_SIZE, train
-from .encode import renoise
+from .encode import by_block, dictionary_of, id_lists, renoise
 from .joins import lookup
 from .pairs import ON_THE_FLY
 
@@ -117,8 +118,15 @@ def _coder(merges: Broadcast, ids: Broadcast, unknown: int | None):
     return code
 
 
+def _pieces_of_block(rows: pa.Table, words: pa.Table) -> pa.Table:
+    known = dictionary_of(words, "word_ids")
+    ids = [[i for w in t.split(" ") if w for i in known.get(w, ())] for t in rows.column("text").to_pylist()]
+    return pa.Table.from_arrays([rows.column("ex_id"), id_lists(ids)], ["ex_id", "ids"])
+
+
 def encode(
-    rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unknown: int | None = None, keep_words: bool = False
+    rows: DataFrame, merges: list[tuple[str, str]], vocab: DataFrame, unknown: int | None = None, keep_words: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """``ex_id, ids`` of ``rows(ex_id, text)``.
 
@@ -126,7 +134,8 @@ def encode(
     vocabulary, bounded by the vocabulary size, are shipped to each worker once. Characters
     outside the alphabet are dropped, or become ``unknown``. A row without words keeps its
     place, with no ids. ``keep_words`` adds ``word_lengths``, the number of ids of each
-    whitespace word, which :func:`decode_words` needs.
+    whitespace word, which :func:`decode_words` needs. ``numbered`` says that ``ex_id`` is a
+    dense number: rows are then put together block by block, whatever the number of words.
     """
     context = rows.sparkSession.sparkContext
     ids = context.broadcast({r["token"]: r["id"] for r in vocab.select("token", "id").collect()})
@@ -135,6 +144,9 @@ def encode(
     distinct = tokens.where(F.col("raw").isNotNull()).select("raw").distinct()
     parts = distinct.select("raw", word_or_punct(normalise(F.col("raw"))).alias("parts"))
     by_word = stored(parts.select("raw", code("parts").alias("word_ids")), "word-ids")
+    if numbered:
+        known = by_word.select(F.col("raw").alias("item"), "word_ids")
+        return by_block(rows.select("ex_id", "text"), words_of(F.col("text")), known, _pieces_of_block, "ex_id bigint, ids array<int>")
     held = F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("v"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), held)))
     grouped = lookup(tokens, by_word, ["raw"]).groupBy("ex_id").agg(F.transform(ordered, lambda x: x["v"]).alias("v"))

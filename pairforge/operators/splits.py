@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import SEED, digest
+from ..session import stored
 from .indexing import hash_cutoff
 
 VALIDATION_SHARE = 0.01
@@ -19,9 +20,10 @@ def _mark(df: DataFrame, cutoff: DataFrame) -> DataFrame:
 def split_pairs(pairs: DataFrame, share: float = VALIDATION_SHARE, seed: int = SEED) -> DataFrame:
     """Exactly ``int(share * n)`` pairs become validation: those with the smallest digests.
 
-    The cutoff digest is one scalar, so marking the rows is a projection: no join.
+    The cutoff digest is one scalar, so marking the rows is a projection: no join. The
+    pairs are written once, as finding the cutoff and marking read them three times.
     """
-    hashed = pairs.withColumn("_h", digest(seed, F.col("source")))
+    hashed = stored(pairs.withColumn("_h", digest(seed, F.col("source"))), "hashed")
     return _mark(hashed, hash_cutoff(hashed, "_h", F.floor(F.col("n") * F.lit(share))))
 
 

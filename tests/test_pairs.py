@@ -283,3 +283,53 @@ def test_rows_without_words_stay(spark):
     known = spark.createDataFrame([("ab", 7)], "token string, id int")
     some = spark.createDataFrame([(1, "ab"), (2, "")], "ex_id bigint, text string")
     assert {r.ex_id: r.ids for r in bpe.encode(some, merges, known).collect()} == {1: [7], 2: []}
+
+
+def test_forms_hold_a_sentence_once_and_give_the_pairs_of_its_variants(spark):
+    texts = [f"word{i % 7} alpha beta gamma 42 <unk> x" for i in range(40)] + ["same words", "same words", ""]
+    rows = sents(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")))
+    forms = pairs.noisy_forms(rows, times=3, p=0.4)
+    variants = pairs.variants(rows, times=3, p=0.4)
+    kept = forms.select(F.sum(F.size(F.array_compact("sources"))).alias("n")).first()["n"]
+    assert 0 < kept == variants.where("source <> target").count() < variants.count() == 3 * len(texts)
+    order = ["source", "target", "doc_id", "sent_pos", "variant", "is_identity"]
+    got, want = (x.select(*order).orderBy("source").collect() for x in (pairs.unique_forms(forms), pairs.unique_pairs(variants)))
+    assert got == want
+    placed = lambda x: sorted((r.token, r.id) for r in x.collect())
+    if rows.where("doc_id is null").count() < 2:
+        assert placed(vocab.vocab_of(vocab.shown_forms(forms), "s")) == placed(vocab.build_vocab(vocab.source_tokens(variants), "s"))
+
+
+def test_shown_words_are_numbered_by_first_place(spark):
+    rows = sents(spark, ["b a b", "c a", "", "d b"])
+    forms = pairs.noisy_forms(rows, times=2, p=0.9)
+    variants = pairs.variants(rows, times=2, p=0.9)
+    numbers = lambda x: sorted((r.token, r.id) for r in x.collect())
+    want = numbers(vocab.build_vocab(vocab.source_tokens(variants), "source"))
+    assert numbers(vocab.vocab_of(vocab.shown_forms(forms.repartition(3)), "source")) == want
+    assert numbers(vocab.vocab_of(vocab.shown_originals(rows), "target")) == [("a", 1), ("b", 0), ("c", 2), ("d", 3)]
+
+
+def test_blocks_of_numbered_rows_give_the_ids_of_the_plain_join(spark):
+    rows = [(i, f"w{i % 50} b w{i % 13}", "x q" if i % 9 == 0 else f"w{i % 50} b") for i in range(300)]
+    rows += [(9000 + i, "b", "b") for i in range(5)] + [(9100, "", ""), (20000, "new", "b")]
+    frame = spark.createDataFrame(rows, "ex_id bigint, source string, target string")
+    words = [(s, f"w{i}", i) for s in ("source", "target") for i in range(45)] + [("source", "b", 60), ("target", "b", 61), ("target", "x", 62)]
+    table = spark.createDataFrame(words, "side string, token string, id bigint")
+    marks = {"unk": 70, "eos": 71, "sos": 72}
+    listed = lambda df: sorted(tuple(r) for r in df.collect())
+    plain, blocks = encode.encode_pairs(frame, table, marks), encode.encode_numbered(frame, table, marks)
+    assert listed(blocks) == listed(plain) and 0 < plain.count() < len(rows)
+    kept = encode.encode_numbered(frame, table, marks, texts=True)
+    assert listed(kept.select("ex_id", "source", "target")) == listed(frame.join(plain, "ex_id", "left_semi"))
+    side = table.where("side = 'source'").drop("side")
+    assert listed(encode.decode_numbered(plain, "source_ids", side)) == listed(encode.decode_ids(plain, "source_ids", side))
+    text = frame.select("ex_id", F.col("source").alias("text"))
+    assert listed(encode.encode_numbered_text(text, side, 7)) == listed(encode.encode_text(text, side, 7))
+
+
+def test_lookup_of_rare_words_is_the_plain_left_join(spark):
+    facts = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("token"))
+    dim = spark.createDataFrame([("hot", 0), ("5", 1), ("7", 2), ("never", 3)], "token string, id int")
+    found = joins.lookup_rare(facts, dim, "token", "id", broadcast_rows=2)
+    assert sorted(found.collect(), key=str) == sorted(facts.join(dim, "token", "left").collect(), key=str)
