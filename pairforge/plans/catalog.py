@@ -16,7 +16,7 @@ from ..operators import (
 )
 from ..session import scratch_path, stored
 from ..sources import corpus as corpus_source
-from ..sources import growing, tables
+from ..sources import folders, growing, tables
 from ..streaming import inflight, monitor
 from ..streaming.runner import run_to_table
 from . import datasets as D
@@ -718,8 +718,8 @@ def _run_folders(spark, d):
         F.when(run % 5 != 0, F.struct(F.lit(tables.SCORE_FILE).alias("file"), score.alias("value"))),
     )
     path = scratch_path(spark, "runs")
-    files = rows.select(run.alias("run"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("f")).select("run", "f.file", "f.value")
-    files.repartition("run").write.partitionBy("run", "file").text(path)
+    files = rows.select(run.alias("run"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("f"))
+    folders.write_lines(files.select(F.concat(F.lit("run="), F.col("run").cast("string"), F.lit("/"), "f.file").alias("path"), "f.value"), path)
     return tables.read_run_folders(spark, path)
 
 
@@ -775,8 +775,9 @@ def growing_log_lines(spark, d):
     """Training logs, a folder a run, followed while they grow: the first runs of the stream meet half of the files."""
     lines, path, keep = stored(D.log_lines(spark, d), "lines"), scratch_path(spark, "logs"), scratch_path(spark, "growing")
     for half in (0, 1):
-        part = lines.where(F.floor(F.col("line_no") / 2) % 2 == half).select(F.col("run_id").alias("run"), "value")
-        part.repartition("run").write.mode("append").partitionBy("run").text(path)
+        part = lines.where(F.floor(F.col("line_no") / 2) % 2 == half)
+        run = F.coalesce(F.col("run_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+        folders.write_lines(part.select(F.concat(F.lit("run="), run, F.lit(f"/part-{half}.txt")).alias("path"), "line_no", "value"), path, ["line_no"])
         table = run_to_table(growing.growing_logs(spark, path, by_folder=True), "growing", keep=keep)
     return table.select(F.regexp_extract("run_id", r"(\d+)$", 1).cast("bigint").alias("run_id"), "value")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.operators import trials
-from pairforge.sources import committed, corpus, growing, tables
+from pairforge.sources import committed, corpus, folders, growing, tables
 from pairforge.streaming.runner import run_to_table
 
 
@@ -132,3 +132,22 @@ def test_a_batch_that_comes_again_appends_nothing(spark, tmp_path):
     for batch_id in (0, 1, 1, 0):
         tables.append_scalars_once(rows.withColumn("step", F.col("step") + batch_id), batch_id, path)
     assert tables.read_scalars(spark, path).count() == 4
+
+
+def test_files_are_written_by_many_tasks_in_line_order(spark, tmp_path):
+    rows = spark.range(400).select(
+        F.concat(F.lit("run="), (F.col("id") % 40).cast("string"), F.lit("/a.txt")).alias("path"),
+        (-F.col("id")).alias("line_no"), F.when(F.col("id") != 7, F.col("id").cast("string")).alias("value"),
+    )
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("written", "files written")
+    for _ in range(2):  # a write that comes again leaves the same files
+        folders.write_lines(rows.coalesce(1), str(tmp_path), ["line_no"])
+    spark.sparkContext.setJobGroup("rest", "rest of the tests")
+    tasks = [seen.getStageInfo(s).numTasks for j in seen.getJobIdsForGroup("written") for s in seen.getJobInfo(j).stageIds if seen.getStageInfo(s)]
+    assert max(tasks) == spark.sparkContext.defaultParallelism
+    files = sorted(p for p in tmp_path.rglob("*") if p.is_file())
+    assert len(files) == 40 and not any(p.name.startswith(".") for p in files)
+    for run in range(40):
+        lines = (tmp_path / f"run={run}" / "a.txt").read_text().splitlines()
+        assert lines == [str(i) if i != 7 else "" for i in range(run, 400, 40)][::-1]
