@@ -147,3 +147,12 @@ def test_slices_are_sums_of_finest_slices(spark):
             assert by_lang[row["lang"]][name] == (value if isinstance(value, str) or value is None else pytest.approx(value))
     assert by_lang["de"]["perplexity"] == pytest.approx(scoring.perplexity(tokens.where("lang = 'de'"), 9).first()["perplexity"])
     assert by_lang[None]["perplexity"] == float("inf") and by_lang[None]["n_pairs"] == 1
+
+
+def test_equal_sides_need_no_helper(spark):
+    none = spark.range(1).select(F.lit(None).cast("array<string>").alias("a"))
+    assert none.select(overlap.block_matches("a", "a").alias("n")).first()["n"] is None
+    ids = spark.createDataFrame([([1, None, 2], [1, None, 2]), ([1, 2], [1, 3, 4]), ([], [])], "a array<int>, b array<int>")
+    assert [r["n"] for r in ids.select(sequences.positional_hits(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 0]
+    same = spark.createDataFrame([([1, 2], [1, 2]), ([1, 3], [1, 2])], "hyp_ids array<int>, ref_ids array<int>")
+    assert scoring.block_accuracy(same).first()["token_accuracy"] == 0.75
