@@ -18,7 +18,7 @@ from ..functions.rng import SEED
 from ..functions.text import word_or_punct, words_of
 from ..session import stored
 from .bpe_training import MARKERS, MERGE_SCHEMA, VOCAB_SIZE, train
-from .encode import by_block, dictionary_of, id_lists, renoise
+from .encode import by_block, dictionary_of, id_lists, renoise, words_in
 from .joins import lookup
 from .pairs import ON_THE_FLY
 
@@ -146,7 +146,7 @@ def encode(
     by_word = stored(parts.select("raw", code("parts").alias("word_ids")), "word-ids")
     if numbered:
         known = by_word.select(F.col("raw").alias("item"), "word_ids")
-        return by_block(rows.select("ex_id", "text"), words_of(F.col("text")), known, _pieces_of_block, "ex_id bigint, ids array<int>")
+        return by_block(rows.select("ex_id", "text"), words_in, known, _pieces_of_block, "ex_id bigint, ids array<int>")
     held = F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("v"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), held)))
     grouped = lookup(tokens, by_word, ["raw"]).groupBy("ex_id").agg(F.transform(ordered, lambda x: x["v"]).alias("v"))

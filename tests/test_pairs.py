@@ -333,3 +333,46 @@ def test_lookup_of_rare_words_is_the_plain_left_join(spark):
     dim = spark.createDataFrame([("hot", 0), ("5", 1), ("7", 2), ("never", 3)], "token string, id int")
     found = joins.lookup_rare(facts, dim, "token", "id", broadcast_rows=2)
     assert sorted(found.collect(), key=str) == sorted(facts.join(dim, "token", "left").collect(), key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_noise_is_made_once(spark):
+    rows = pairs.variants(sents(spark, TEXTS), times=3)
+    assert plan_of(rows).count("ArrowEvalPython") == 1 and plan_of(pairs.change_profile(rows)).count("ArrowEvalPython") == 1
+    assert rows.count() == 3 * len(TEXTS) and pairs.variants(sents(spark, TEXTS), times=0).count() == 0
+
+
+def test_change_profile_by_hand(spark):
+    data = [("a b c", "a b c"), ("", ""), ("a bb", "a b"), ("", "x"), ("a c", "a b"), ("x y", "xx y"), (None, "k")]
+    got = pairs.change_profile(spark.createDataFrame(data, "source string, target string")).collect()
+    assert {r["effect"]: (r["n_words"], r["char_delta"]) for r in got} == {
+        "unchanged": (6, 0), "longer": (1, 1), "same_length": (2, 0), "shorter": (1, -1),
+    }
+
+
+def test_ranks_of_batches_carry_lengths_only(spark, sf_dir):
+    from pairforge.plans import datasets
+
+    assert set(datasets.numbered_batches(spark, sf_dir).columns) == {"ex_id", "len", "batch_no", "slot"}
+    assert set(datasets.numbered_pairs(spark, sf_dir).columns) == {"source", "target", "ex_id"}
+
+
+def test_only_kept_columns_are_ranked_and_packed(spark):
+    rows = spark.range(50).select("id", (-F.col("id")).alias("k"), F.lit("x").alias("other"))
+    ranked = indexing.dense_index(rows, ["k"], "rank", ["id"])
+    assert ranked.columns == ["id", "rank"] and {(r["id"], r["rank"]) for r in ranked.collect()} == {(i, 49 - i) for i in range(50)}
+    assert all(".zstd." in f for f in ranked.inputFiles())
+
+
+def test_items_of_a_block_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(encode, "HELD_ITEMS", 3)
+    rows = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} only{i}" if i else "") for i in range(30)], "ex_id bigint, text string").coalesce(1)
+    words = sorted({w for r in rows.collect() for w in r["text"].split()})
+    vocabulary = spark.createDataFrame([(w, k) for k, w in enumerate(words) if w != "only7"], "token string, id int")
+    coded = encode.encode_numbered_text(rows, vocabulary, -1)
+    want = {r["ex_id"]: [words.index(w) if w != "only7" else -1 for w in r["text"].split()] for r in rows.collect()}
+    assert {r["ex_id"]: r["ids"] for r in coded.collect()} == want
+    assert "HashAggregate" not in plan_of(coded)
