@@ -19,6 +19,10 @@ from .common import only, slices, texts
 #: Distinct pre-tokens of a generation that a worker remembers, of two. Only speed depends on it.
 REMEMBERED = 1 << 18
 _NONE = 1 << 62
+#: Pre-tokens of so many bytes at most are merged together, so many of them at once.
+FOREST_BYTES, FOREST_PIECES = 64, 1 << 13
+#: Characters of text whose new pre-tokens are merged together.
+LOT = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,6 +98,93 @@ class PairTree:
         return out
 
 
+class PairForest:
+    """The trees of :class:`PairTree` for many short pre-tokens at once, one row of an array each.
+
+    A step merges the pair at the root of every tree that still has one and mends the same
+    three leaves and their paths. Symbols are ranks; the rank of a pair comes from a table of
+    all splits of a vocabulary word into two others.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        keys, values = [], []
+        for word, rank in ranks.items():
+            for cut in range(1, len(word)):
+                left, right = ranks.get(word[:cut]), ranks.get(word[cut:])
+                if left is not None and right is not None:
+                    keys.append(left * self.size + right)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = (np.append(np.array(x, np.int64)[order], last) for x, last in ((keys, _NONE), (values, 0)))
+        byte = self.bytes[:, None] * self.size + self.bytes[None, :]
+        self.byte_pairs = self._ranked(byte.ravel())
+
+    @staticmethod
+    def fits(ranks: dict[bytes, int]) -> bool:
+        """Whether every symbol that can come up has a rank."""
+        return all(bytes([b]) in ranks for b in range(256))
+
+    def _ranked(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``_NONE`` if they make no word."""
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.values[at], _NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every piece (one byte at least) as little-endian unsigned 32-bit integers."""
+        count, n = len(pieces), np.array(list(map(len, pieces)))
+        width = 1 << int(n.max() - 1).bit_length()
+        shift = width.bit_length()
+        low, place = (1 << shift) - 1, np.arange(width)
+        inside = place < n[:, None]
+        raw = np.zeros((count, width), np.uint8)
+        raw[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        symbols = self.bytes[raw]
+        right = np.broadcast_to(place + 1, (count, width)).copy().ravel()
+        left = np.broadcast_to(place - 1, (count, width)).copy().ravel()
+        tree = np.full((count, 2 * width), _NONE)
+        pair = self.byte_pairs[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        tree[:, width : 2 * width - 1] = np.where(inside[:, 1:] & (pair != _NONE), pair << shift | place[:-1], _NONE)
+        level = width
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+        live, symbols, tree = inside.ravel(), symbols.ravel(), tree.ravel()
+        row = np.flatnonzero(tree[1 :: 2 * width] != _NONE)
+        while len(row):
+            end, base, root = n[row], row * width, 2 * width * row
+            best = tree[root + 1]
+            i = best & low
+            dead = right[base + i]
+            after = right[base + dead]
+            right[base + i] = after
+            symbols[base + i] = best >> shift
+            live[base + dead] = False
+            inner = np.flatnonzero(after < end)
+            left[(base + after)[inner]] = i[inner]
+            before = left[base + i]
+            outer = np.flatnonzero(before >= 0)
+            first = np.concatenate([(base + i)[inner], (base + before)[outer]])
+            second = np.concatenate([(base + after)[inner], (base + i)[outer]])
+            rank = self._ranked(symbols[first] * self.size + symbols[second])
+            value = np.where(rank != _NONE, rank << shift | first & width - 1, _NONE)
+            tree[root + width + dead] = _NONE
+            tree[root + width + i] = _NONE
+            tree[(root + width + i)[inner]] = value[: len(inner)]
+            tree[(root + width + before)[outer]] = value[len(inner) :]
+            base = np.concatenate([root, root, root[outer]])
+            k = np.concatenate([i, dead, before[outer]]) + width >> 1
+            while k[0]:
+                at = base + 2 * k
+                tree[base + k] = np.minimum(tree[at], tree[at + 1])
+                k >>= 1
+            row = row[tree[root + 1] != _NONE]
+        packed = symbols[live].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(live.reshape(count, width).sum(1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encoder and decoder of one worker; remembers the ids of pre-tokens it has met."""
 
@@ -106,6 +197,7 @@ class Codec:
             self.words[rank] = word
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.forest = PairForest(ranks) if PairForest.fits(ranks) else None
 
     def piece_ids(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -127,9 +219,45 @@ class Codec:
                 self.known[piece] = got
         return got
 
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of new short pre-tokens, those of like length together."""
+        by_width: dict[int, tuple[list[str], list[bytes]]] = {}
+        for piece in pieces:
+            raw = piece.encode()
+            if len(raw) <= FOREST_BYTES and raw not in self.ranks:
+                names, raws = by_width.setdefault((len(raw) - 1).bit_length(), ([], []))
+                names.append(piece)
+                raws.append(raw)
+        for names, raws in by_width.values():
+            for at in range(0, len(raws), FOREST_PIECES):
+                part = slice(at, at + FOREST_PIECES)
+                self.known.update(zip(names[part], self.forest.merge_all(raws[part])))
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.packed, self.find(text)))
 
+    def encode_all(self, lot: list[str]) -> Iterator[bytes]:
+        """The ids of every text; what is new in some texts is merged together."""
+        first = 0
+        while first < len(lot):
+            last, size = first, 0
+            while last < len(lot) and size < LOT:
+                size += len(lot[last])
+                last += 1
+            found = list(map(self.find, lot[first:last]))
+            if self.forest is not None:
+                if len(self.known) >= REMEMBERED:
+                    self.older, self.known = self.known, {}
+                known, older = self.known, self.older
+                self.learn({p for p in set().union(*found) if p not in known and p not in older})
+            for k, pieces in enumerate(found):
+                found[k] = None
+                try:
+                    yield b"".join(map(self.known.__getitem__, pieces))
+                except KeyError:
+                    yield b"".join(map(self.packed, pieces))
+            first = last
+
     def decode(self, packed_ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(packed_ids, "<u4").tolist()))
 
@@ -161,7 +289,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks, pattern)
         for batch in slices(batches):
-            ids = [np.frombuffer(codec.encode(t), "<u4").astype("<i4") for t in texts(batch)]
+            ids = [np.frombuffer(x, "<u4").astype("<i4") for x in codec.encode_all(texts(batch))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
             )
@@ -200,8 +328,7 @@ def round_trip(
         sha = hashlib.sha256
         for batch in slices(batches):
             counts, ids_sha, text_sha = [], [], []
-            for text in texts(batch):
-                ids = codec.encode(text)
+            for ids in codec.encode_all(texts(batch)):
                 counts.append(len(ids) // 4)
                 ids_sha.append(sha(ids).hexdigest())
                 text_sha.append(sha(codec.decode(ids)).hexdigest())

@@ -43,6 +43,25 @@ def test_encoding_equals_the_library():
         assert codec.decode(ids) == text.encode()
 
 
+def test_new_pre_tokens_of_a_lot_are_merged_together(monkeypatch):
+    rng = random.Random(4)
+    lot = ["".join(rng.choice("aeinrst é漢😀\n 1#") for _ in range(rng.randrange(120))) for _ in range(300)]
+    lot += ["a" * n for n in (1, 2, 63, 64, 65, 200)] + ["", "é" * 32, "é" * 33]
+    one_by_one = bpe.Codec(RANK_TABLE, PATTERN)
+    expected = [one_by_one.encode(text) for text in lot]
+    built = []
+
+    class Counted(bpe.PairTree):
+        def __init__(self, piece, *rest):
+            built.append(len(piece))
+            super().__init__(piece, *rest)
+
+    monkeypatch.setattr(bpe, "PairTree", Counted)
+    monkeypatch.setattr(bpe, "LOT", 2000)
+    assert list(bpe.Codec(RANK_TABLE, PATTERN).encode_all(lot)) == expected
+    assert built and min(built) > bpe.FOREST_BYTES
+
+
 def test_round_trip_of_edge_rows(spark, edge):
     got = sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in bpe.round_trip(edge, RANKS, PATTERN).collect())
     want = [(str(i), len(LIBRARY.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in EDGE]
