@@ -273,13 +273,19 @@ def linked_sets(ids: list[int], sets: list[np.ndarray], similarity: float) -> li
     """
     n = np.array(list(map(len, sets)))
     owner = np.repeat(np.arange(len(sets)), n)
-    _, word = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    owner, word = owner[order], word[order]
+    held = np.concatenate(sets)
+    order = np.argsort(held)
+    owner, held = owner[order], held[order]
+    new = np.r_[True, held[1:] != held[:-1]]
+    several = ~(new & np.r_[new[1:], True])  # what one set alone has is in no intersection
+    if not several.any():
+        return []
+    owner, word = owner[several], np.cumsum(new[several]) - 1
     both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(word[-1]) + 1, 8192):  # columns in lots, so that the matrix stays small
+    size = int(word[-1]) + 1
+    for low in range(0, size, 8192):  # columns in lots, so that the matrix stays small
         part = slice(*np.searchsorted(word, [low, low + 8192]))
-        has = np.zeros((len(sets), 8192), np.float32)
+        has = np.zeros((len(sets), min(8192, size - low)), np.float32)
         has[owner[part], word[part] - low] = 1
         both += has @ has.T
     same = np.rint(both).astype(np.int64)

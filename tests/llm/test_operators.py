@@ -275,6 +275,31 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
         assert {tuple(sorted(x)) for x in links} <= near and parts(links) == parts(near)
 
 
+def test_sets_are_compared_by_their_shared_elements_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.append(rng.integers(100, 1 << 60, k % 3), rng.choice(20, 8))) for k in range(30)]
+    wide, zeros = [], np.zeros
+
+    def recorded(shape, *rest):
+        wide.append(shape[1] if isinstance(shape, tuple) else 0)
+        return zeros(shape, *rest)
+
+    monkeypatch.setattr(np, "zeros", recorded)
+    links = substrings.linked_sets(list(range(30)), sets, 0.6)
+    assert max(wide) <= 30
+    root = list(range(30))
+    for a, b in links:
+        root = [root[b] if r == root[a] else r for r in root]
+    want = list(range(30))
+    for a in range(30):
+        for b in range(a):
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b])):
+                want = [want[b] if r == want[a] else r for r in want]
+    assert {frozenset(k for k in range(30) if root[k] == r) for r in root} == {frozenset(k for k in range(30) if want[k] == r) for r in want}
+    assert len(set(want)) < 30
+    assert substrings.linked_sets([1, 2], [np.array([1, 2]), np.array([3, 4])], 0.6) == []
+
+
 def test_neighbours_with_many_ties_and_repeats(spark):
     rng = np.random.default_rng(9)
     rows = [(20, [1.0, 0.0, 0.0])] + [(k, [0.9, 0.1, 0.2]) for k in rng.permutation(np.arange(101, 301)).tolist() if k % 20]
