@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from ..session import scratch_path, stored
+from ..session import brief_shuffles, scratch_path, stored
 from .common import fresh, only, sieve, slices, texts
 from .components import components
 from .hashing import Words, mix, shingles
@@ -216,10 +216,12 @@ def _shared(docs: DataFrame, n_words: int) -> np.ndarray:
             yield close()
 
     sent = docs.select("text").mapInArrow(send, "part int, marks binary")
-    bits = sent.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "part int, bits binary")
+    with brief_shuffles(docs.sparkSession):
+        bits = sent.repartition("part").sortWithinPartitions("part").mapInArrow(gather, "part int, bits binary")
+        rows = bits.collect()  # one bit a place: as large as the filter
     shared = np.zeros(1 << SHARED_BITS - 3, np.uint8)
     width = 1 << places - 3
-    for row in bits.collect():  # one bit a place: as large as the filter
+    for row in rows:
         shared[row.part * width : (row.part + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return shared
 

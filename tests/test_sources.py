@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairforge.operators import trials
+from pairforge.session import stored
 from pairforge.sources import committed, corpus, folders, growing, tables
 from pairforge.streaming.runner import run_to_table
 
@@ -151,3 +154,16 @@ def test_files_are_written_by_many_tasks_in_line_order(spark, tmp_path):
     for run in range(40):
         lines = (tmp_path / f"run={run}" / "a.txt").read_text().splitlines()
         assert lines == [str(i) if i != 7 else "" for i in range(run, 400, 40)][::-1]
+
+
+def test_shuffles_go_when_a_table_is_stored(spark):
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    count = lambda: sum(1 for _ in local.rglob("shuffle_*"))
+    before = count()
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n")))
+    until = time.time() + 20
+    while count() > before and time.time() < until:  # files go in the background
+        time.sleep(0.1)
+    assert count() <= before
+    assert rows.count() == 100 and rows.agg(F.sum("n")).first()[0] == 499500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
