@@ -233,6 +233,10 @@ class Codec:
                 part = slice(at, at + FOREST_PIECES)
                 self.known.update(zip(names[part], self.forest.merge_all(raws[part])))
 
+    def forget(self) -> None:
+        """Drop the remembered pre-tokens: workers live on after a task, and other stages need the memory."""
+        self.known, self.older = {}, {}
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.packed, self.find(text)))
 
@@ -263,11 +267,11 @@ class Codec:
 
 
 def codec_of(ranks: Broadcast, pattern: str) -> Codec:
-    """The worker's codec for broadcast ranks, built once per Python worker."""
+    """The worker's codec for broadcast ranks, built once per Python worker and kept until another one is asked for."""
     return _codec(ranks, pattern)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(ranks: Broadcast, pattern: str) -> Codec:
     return Codec(ranks.value, pattern)
 
@@ -293,6 +297,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
             )
+        codec.forget()
+        pa.default_memory_pool().release_unused()
 
     rows = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -336,6 +342,8 @@ def round_trip(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
+        pa.default_memory_pool().release_unused()
 
     rows = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

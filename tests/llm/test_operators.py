@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and hand-made cases."""
 
+import gc
 import hashlib
 import random
 import re
@@ -62,6 +63,22 @@ def test_new_pre_tokens_of_a_lot_are_merged_together(monkeypatch):
     assert built and min(built) > bpe.FOREST_BYTES
 
 
+def test_a_worker_keeps_no_words_between_tasks(spark):
+    """Idle workers of the last stage once held hundreds of MB while other stages ran."""
+    docs = spark.createDataFrame([(i, f"unheardof{i} words{i}") for i in range(50)], "doc_id bigint, text string").coalesce(1)
+
+    def left(_):
+        codecs = [x for x in gc.get_objects() if type(x).__name__ == "Codec"]
+        yield from ([len(c.known) + len(c.older) for c in codecs] or [0])
+
+    for _ in range(3):
+        assert bpe.round_trip(docs, RANKS, PATTERN).count() == 50
+        bpe.encode(docs, RANKS, PATTERN).collect()
+        bpe.round_trip(docs, RANKS, PATTERN).collect()
+    found = spark.sparkContext.parallelize(range(16), 16).mapPartitions(left).collect()
+    assert sum(found) == 0 and len(found) == 16  # one codec a worker at most
+
+
 def test_round_trip_of_edge_rows(spark, edge):
     got = sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in bpe.round_trip(edge, RANKS, PATTERN).collect())
     want = [(str(i), len(LIBRARY.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in EDGE]
