@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sys import byteorder
+
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
@@ -22,22 +24,25 @@ class Words:
     """64-bit hashes of the words of a text; remembers words it has met."""
 
     def __init__(self, remembered: int = _REMEMBERED) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     def __call__(self, text: str) -> np.ndarray:
+        return self.of(text.encode("utf-8", "replace"))
+
+    def of(self, raw: bytes) -> np.ndarray:
         # bytes.lower() changes A-Z only, bytes.split() splits at the ASCII white space
-        words = text.encode("utf-8", "replace").lower().split()
+        words = raw.lower().split()
         known = self.known
         try:
-            return np.array([known[w] for w in words], np.uint64)
+            held = b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > self.remembered:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], np.uint64)
+            for w in set(words).difference(known):
+                known[w] = xxh3_64_intdigest(w).to_bytes(8, byteorder)
+            held = b"".join(map(known.__getitem__, words))
+        return np.frombuffer(held, np.uint64)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -20,6 +20,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 ROWS = 2
 #: Paragraphs in a row of which one begins a long paragraph: those have some 50 words.
 LONG = 12
+#: Characters of text that are cut into paragraphs together; only speed depends on it.
+LOT_CHARS = 1 << 18
 #: Paragraphs that one task compares with each other.
 GROUP_UNITS = 1024
 _SPACE = np.zeros(256, bool)
@@ -34,62 +36,123 @@ def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
     return bands
 
 
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word, in code points."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return point[np.flatnonzero(edge == 1)], point[np.flatnonzero(edge == -1)]
+class Lot:
+    """Several texts cut together: words and paragraphs of all of them in a row.
 
+    Work per text is a few array steps on all texts at once, not some on each. Words are
+    maximal runs without ASCII white space. ``words`` are their hashes, ``starts`` the words
+    at which paragraphs begin (:func:`paragraph_starts`), ``wide`` the paragraphs at which
+    long ones begin (:func:`long_starts`). ``word_at``, ``start_at`` and ``wide_at`` tell,
+    text by text and behind the last one, where its own begin in these.
+    """
 
-def paragraph_starts(words: np.ndarray, window: int) -> np.ndarray:
-    """Where paragraphs begin: at the least word-pair hash of every ``window`` places in a row.
+    def __init__(self, texts: list[str], hashed: Words, window: int) -> None:
+        raws = [t.encode("utf-8", "replace") for t in texts]
+        joined = b" ".join(raws)
+        self.words = hashed.of(joined)
+        raw = np.frombuffer(joined, np.uint8)
+        self.byte_at = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.first, self.last = edges[::2], edges[1::2]  # bytes
+        self.point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80), [0]])  # the separator behind the last text is not there
+        self.word_at = np.searchsorted(self.first, self.byte_at)
+        self.starts = paragraph_starts(self.words, self.word_at, window)
+        self.start_at = np.searchsorted(self.starts, self.word_at)
+        self.ends = np.append(self.starts[1:], len(self.words))
+        self.wide = long_starts(self.words, self.starts, self.start_at)
+        self.wide_at = np.searchsorted(self.wide, self.start_at)
+
+    def points(self, places: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Code points in their texts of byte places."""
+        return self.point[places] - self.point[self.byte_at[text]]
+
+
+def lots(texts: list[str], hashed: Words, window: int) -> Iterator[tuple[int, Lot]]:
+    """Texts in lots of bounded length, each with the number of its first text."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and size < LOT_CHARS:
+            size += len(texts[last])
+            last += 1
+        yield first, Lot(texts[first:last], hashed, window)
+        first = last
+
+
+def _owners(at: np.ndarray) -> np.ndarray:
+    """The text of each thing, of bounds like ``Lot.word_at``."""
+    return np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs ``first, first + 1, ...``, so many each: the run of every value, and the values."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
+
+
+def paragraph_starts(words: np.ndarray, word_at: np.ndarray, window: int) -> np.ndarray:
+    """Where paragraphs begin: at the least word-pair hash of every ``window`` places in a row of a text.
 
     The cuts depend on the words around them alone, so a passage is cut alike wherever it
     stands, also in the middle of a line, and no paragraph but the first and last of a text
     exceeds ``window`` words: any 2 * ``window`` words hold a whole one.
     """
-    if len(words) <= window:
-        return np.zeros(min(1, len(words)), np.int64)
-    pair = mix(words[:-1] * _STEP + words[1:])
-    held = np.lib.stride_tricks.sliding_window_view(pair, min(window, len(pair)))
-    step = max(1, (1 << 20) // window)  # rows at a time, for very long texts
-    least = [held[at : at + step].argmin(1) + np.arange(at, min(at + step, len(held))) for at in range(0, len(held), step)]
-    return np.concatenate([[0], np.unique(np.concatenate(least)) + 1])
-
-
-def long_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which paragraphs begin a long one: those whose cut has the least hash of ``LONG`` cuts in a row."""
-    if len(starts) <= LONG:
-        return np.zeros(min(1, len(starts)), np.int64)
-    pair = mix(words[starts[1:] - 1] * _STEP + words[starts[1:]])
-    least = np.lib.stride_tricks.sliding_window_view(pair, LONG - 1).argmin(1)
-    return np.concatenate([[0], np.unique(least + np.arange(len(least))) + 1])
-
-
-def paragraph_units(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, np.int64)
+    cut = np.zeros(len(words), bool)
+    cut[word_at[:-1][np.diff(word_at) > 0]] = True
+    if len(words) > window:
+        pair = mix(words[:-1] * _STEP + words[1:])
+        held = np.lib.stride_tricks.sliding_window_view(pair, window)
+        # all pairs of a row are of one text
+        whole = np.flatnonzero(np.arange(len(held)) + window < np.repeat(word_at[1:], np.diff(word_at))[: len(held)])
+        step = max(1, (1 << 20) // window)  # rows at a time, for very long texts
+        for at in range(0, len(whole), step):
+            rows = whole[at : at + step]
+            cut[held[rows].argmin(1) + rows + 1] = True
+    return np.flatnonzero(cut)
+
+
+def long_starts(words: np.ndarray, starts: np.ndarray, start_at: np.ndarray) -> np.ndarray:
+    """Which paragraphs begin a long one: those whose cut has the least hash of ``LONG`` cuts in a row of a text."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    cut = np.zeros(len(starts), bool)
+    cut[start_at[:-1][np.diff(start_at) > 0]] = True
+    if len(starts) > LONG:
+        pair = mix(words[starts[1:] - 1] * _STEP + words[starts[1:]])  # at paragraph k + 1
+        held = np.lib.stride_tricks.sliding_window_view(pair, LONG - 1)
+        row = np.arange(len(held))
+        count = np.diff(start_at)
+        until, several = (np.repeat(x, count)[: len(held)] for x in (start_at[1:], count > LONG))
+        rows = row[several & (row + LONG - 1 < until)]
+        cut[held[rows].argmin(1) + rows + 1] = True
+    return np.flatnonzero(cut)
+
+
+def paragraph_units(words: np.ndarray, starts: np.ndarray, room: np.ndarray, n: int) -> np.ndarray:
     """What equal paragraphs share: the hash of their words.
 
     One of fewer than ``n`` words takes its ``n`` last words and its length instead, words
-    before it included, so that common words alone do not make documents alike.
+    before it included, so that common words alone do not make documents alike. ``room`` is
+    the number of words from the begin of its text to the end of a paragraph.
     """
     unit = paragraph_hashes(words, starts)
-    if len(words) < n:
-        return unit
     ends = np.append(starts[1:], len(words))
-    short = (ends - starts < n) & (ends >= n)
-    unit[short] = mix(shingles(words, n)[ends[short] - n] + (ends - starts)[short].astype(np.uint64) * _STEP)
+    short = (ends - starts < n) & (room >= n)
+    if short.any():
+        unit[short] = mix(shingles(words, n)[ends[short] - n] + (ends - starts)[short].astype(np.uint64) * _STEP)
     return unit
 
 
 def paragraph_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hash of each paragraph's word sequence."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     ends = np.append(starts[1:], len(words))
-    place = np.arange(len(words)) - np.repeat(starts, ends - starts)
-    return mix(np.add.reduceat(mix(words + (place.astype(np.uint64) + np.uint64(1)) * _STEP), starts) + (ends - starts).astype(np.uint64))
+    place = np.arange(1, len(words) + 1) - np.repeat(starts, ends - starts)
+    return mix(np.add.reduceat(mix(words + place.astype(np.uint64) * _STEP), starts) + (ends - starts).astype(np.uint64))
 
 
 def paragraph_shingles(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -128,41 +191,39 @@ def _scan(docs: DataFrame, window: int, n: int, bands: int) -> str:
             return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), *arrays], names)
 
         for batch in slices(batches):
-            found: list[list[np.ndarray]] = [[] for _ in range(6)]
-            wide: list[list[np.ndarray]] = [[] for _ in range(5)]
-            keys: list[np.ndarray] = []
-            for row, text in enumerate(texts(batch)):
-                words = hashed(text)
-                if len(words) < n:
+            for row, lot in lots(texts(batch), hashed, window):
+                # texts under n words have no paragraphs
+                counts = np.diff(lot.word_at)
+                owner = _owners(lot.start_at)
+                room = lot.ends - lot.word_at[owner]
+                unit = paragraph_units(lot.words, lot.starts, room, n)
+                kept = np.flatnonzero(counts[owner] >= n)
+                if not len(kept):
                     continue
-                starts = paragraph_starts(words, window)
-                first, last = word_places(text)
-                ends = np.append(starts[1:], len(words))
-                unit = paragraph_units(words, starts, n).view(np.int64)
-                for out, value in zip(found, (np.full(len(unit), row), unit, np.arange(len(unit)), first[starts], last[ends - 1], ends - starts)):
-                    out.append(value)
-
-                begin = long_starts(words, starts)
-                until = np.append(begin[1:], len(starts)) - 1
-                sizes = ends[until] - starts[begin]
+                held = {
+                    "unit": unit[kept].view(np.int64), "place": (kept - lot.start_at[owner[kept]]).astype(np.int32),
+                    "start": lot.points(lot.first[lot.starts[kept]], owner[kept]), "end": lot.points(lot.last[lot.ends[kept] - 1], owner[kept]),
+                    "n_words": (lot.ends - lot.starts)[kept].astype(np.int32),
+                }
+                until = np.append(lot.wide[1:], len(lot.starts)) - 1
+                begin = lot.starts[lot.wide]
+                sizes = lot.ends[until] - begin
                 whole = np.flatnonzero(sizes >= n)
-                unit = paragraph_hashes(words, starts[begin])[whole].view(np.int64)
-                for out, value in zip(wide, (np.full(len(whole), row), unit, begin[whole], until[whole], whole)):
-                    out.append(value)
-                held = paragraph_shingles(words, starts[begin], n)
-                banded = band_keys(held[held != _MOST], (sizes - n + 1)[whole], bands)
-                keys.extend(np.stack([k.view(np.int64), unit]) for k in banded)
-            if not keys:
-                continue
-            row, *rest = map(np.concatenate, found)
-            columns = dict(zip(("unit", "place", "start", "end", "n_words"), rest))
-            row_wide, *rest = map(np.concatenate, wide)
-            for kind, rows, held in ((0, row, columns), (2, row_wide, dict(zip(("unit", "place", "n_words", "key"), rest)))):
-                ready, at = batch_of(kind, {c: v.astype(np.int32) if c in ("place", "n_words") else v for c, v in held.items()}), pa.array(rows)
-                own = [batch.column("doc_id").take(at), batch.column("address").take(at)]
-                yield pa.RecordBatch.from_arrays([ready.column(0), *own, *ready.columns[3:]], names)
-            key = np.unique(np.concatenate(keys, axis=1), axis=1)
-            yield batch_of(1, {"unit": key[1], "key": key[0]})
+                wide_owner = _owners(lot.wide_at)[whole]
+                unit = paragraph_hashes(lot.words, begin)[whole].view(np.int64)
+                places = [x - lot.start_at[wide_owner] for x in (lot.wide[whole], until[whole])]
+                wide = {"unit": unit, "place": places[0].astype(np.int32), "n_words": places[1].astype(np.int32), "key": whole - lot.wide_at[wide_owner]}
+                for kind, own, columns in ((0, owner[kept], held), (2, wide_owner, wide)):
+                    ready, at = batch_of(kind, columns), pa.array(row + own)
+                    ids = [batch.column("doc_id").take(at), batch.column("address").take(at)]
+                    yield pa.RecordBatch.from_arrays([ready.column(0), *ids, *ready.columns[3:]], names)
+                shingled = paragraph_shingles(lot.words, begin, n)
+                key = band_keys(shingled[shingled != _MOST], (sizes - n + 1)[whole], bands).view(np.int64).ravel()
+                unit = np.tile(unit, bands)
+                order = np.lexsort((unit, key))
+                key, unit = key[order], unit[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])]
+                yield batch_of(1, {"unit": unit[new], "key": key[new]})
 
     path = scratch_path(docs.sparkSession, "paragraphs")
     docs.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
@@ -184,19 +245,22 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int, n: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
-        for batch in slices(batches, 64):
-            units, sets = [], []
-            for text, places in zip(texts(batch), batch.column("places").to_pylist()):
-                words = hashed(text)
-                starts = paragraph_starts(words, window)
-                starts = starts[long_starts(words, starts)]
-                unit, held = paragraph_hashes(words, starts).view(np.int64), paragraph_shingles(words, starts, n)
-                ends = np.append(starts[1:], len(words))
-                for k in places:
-                    units.append(unit[k])
-                    part = held[starts[k] : ends[k]]
-                    sets.append(np.unique(part[part != _MOST]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["unit", "words"])
+        for batch in slices(batches):
+            wanted_of = batch.column("places").to_pylist()
+            for row, lot in lots(texts(batch), hashed, window):
+                begin = lot.starts[lot.wide]
+                ends = np.append(begin[1:], len(lot.words))
+                unit, held = paragraph_hashes(lot.words, begin).view(np.int64), paragraph_shingles(lot.words, begin, n)
+                number = np.concatenate([lot.wide_at[k] + np.array(w, np.int64) for k, w in enumerate(wanted_of[row : row + len(lot.wide_at) - 1])])
+                # the distinct shingles of each, in order
+                owner, at = _spread(begin[number], (ends - begin)[number])
+                part = held[at]
+                owner, part = owner[part != _MOST], part[part != _MOST]
+                order = np.lexsort((part, owner))
+                owner, part = owner[order], part[order]
+                new = np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])][: len(part)]
+                sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[new], np.arange(len(number) + 1)), pa.int32()), pa.array(part[new].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[number]), sets], ["unit", "words"])
 
     return _fetched(docs, wanted).mapInArrow(run, "unit bigint, words array<bigint>").dropDuplicates(["unit"])
 
@@ -211,23 +275,24 @@ def _outwards(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
-        for batch in slices(batches, 64):
-            rows, edges, near, points = [], [], [], []
-            for row, (text, places) in enumerate(zip(texts(batch), batch.column("places").to_pylist())):
-                words = hashed(text)
-                first, last = word_places(text)
-                cuts = np.append(paragraph_starts(words, window), len(words))
-                for edge in places:
-                    at = cuts[edge // 2 + edge % 2]
-                    on = np.arange(at, min(at + 2 * window, len(words))) if edge % 2 else np.arange(at - 1, max(at - 2 * window, 0) - 1, -1)
-                    rows.append(row)
-                    edges.append(edge)
-                    near.append(words[on].view(np.int64))
-                    points.append((last if edge % 2 else first)[on])
-            at = pa.array(rows, pa.int64())
-            arrays = [batch.column("doc_id").take(at), batch.column("address").take(at), pa.array(edges, pa.int32())]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (near, points)]
-            yield pa.RecordBatch.from_arrays([*arrays, *lists], ["doc_id", "address", "edge", "words", "points"])
+        for batch in slices(batches):
+            wanted_of = batch.column("places").to_pylist()
+            for row, lot in lots(texts(batch), hashed, window):
+                here = wanted_of[row : row + len(lot.word_at) - 1]
+                own = np.repeat(np.arange(len(here)), list(map(len, here)))
+                edge = np.array([e for w in here for e in w], np.int64)
+                behind = edge % 2 == 1
+                at = np.append(lot.starts, 0)[lot.start_at[own] + edge // 2 + edge % 2]
+                at = np.where(edge // 2 + edge % 2 == np.diff(lot.start_at)[own], lot.word_at[own + 1], at)  # behind the last paragraph
+                count = np.minimum(2 * window, np.where(behind, lot.word_at[own + 1] - at, at - lot.word_at[own]))
+                item, on = _spread(np.zeros(len(own), np.int64), count)
+                on = np.where(behind[item], at[item] + on, at[item] - 1 - on)
+                points = lot.points(np.where(behind[item], lot.last[on], lot.first[on]), own[item])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                taken = pa.array(row + own)
+                arrays = [batch.column("doc_id").take(taken), batch.column("address").take(taken), pa.array(edge, pa.int32())]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (lot.words[on].view(np.int64), points)]
+                yield pa.RecordBatch.from_arrays([*arrays, *lists], ["doc_id", "address", "edge", "words", "points"])
 
     return _fetched(docs, wanted).mapInArrow(run, schema).dropDuplicates(["doc_id", "address", "edge"])
 

@@ -272,6 +272,35 @@ def test_near_copies_behind_a_frequent_line(spark):
     assert sum(2 * k in whole and 2 * k + 1 in whole for k in range(150)) >= 149
 
 
+def test_texts_are_cut_in_lots(monkeypatch):
+    """A few array steps for all texts of a lot, with the cuts of each text on its own."""
+    rng = random.Random(5)
+    lot = ["", " ", "one", "é ü " * 30, "same " * 90, *(" ".join(rng.choices([f"w{i}é" for i in range(k)], k=k)) for k in range(1, 300))]
+    calls = []
+
+    def counted(x, mix=substrings.mix):
+        calls.append(len(x))
+        return mix(x)
+
+    alone = [next(substrings.lots([text], substrings.Words(), 15))[1] for text in lot]
+    monkeypatch.setattr(substrings, "mix", counted)
+    (first, whole), = substrings.lots(lot, substrings.Words(), 15)
+    assert first == 0 and len(calls) <= 4
+    for k, own in enumerate(alone):
+        a, b = whole.start_at[k : k + 2]
+        at = whole.starts[a:b] - whole.word_at[k]
+        assert at.tolist() == own.starts.tolist()
+        assert (whole.wide[whole.wide_at[k] : whole.wide_at[k + 1]] - a).tolist() == own.wide.tolist()
+        assert (whole.words[whole.word_at[k] : whole.word_at[k + 1]] == own.words).all()
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", lot[k])]
+        begins = whole.points(whole.first[whole.starts[a:b]], np.full(b - a, k))
+        ends = whole.points(whole.last[whole.ends[a:b] - 1], np.full(b - a, k))
+        assert begins.tolist() == [words[i][0] for i in at]
+        assert ends.tolist() == [words[i - 1][1] for i in [*at[1:], *([len(words)] if words else [])]]
+    monkeypatch.setattr(substrings, "LOT_CHARS", 1000)
+    assert sum(len(x.word_at) - 1 for _, x in substrings.lots(lot, substrings.Words(), 15)) == len(lot)
+
+
 def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     sets = {i: set(rng.choice(12, 6, replace=False).tolist()) for i in range(40)}
