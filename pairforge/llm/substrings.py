@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, stored
 from .common import only, sieve, slices, texts
 from .components import components
+from .crowds import compared, crowd_links
 from .hashing import Words, mix, shingles
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -374,42 +375,21 @@ def linked_sets(ids: list[int], sets: list[np.ndarray], similarity: float) -> li
 def _alike(members: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links between the paragraphs of each cluster; ``members`` has ``cluster, u``, ``contents`` ``unit, words``.
 
-    A cluster is dealt into blocks of bounded size, and each pair of blocks is compared
-    exactly in one task, so that no pair of a cluster is left out, whatever its size.
+    All of a small cluster are compared in one task; those of a large one by
+    :func:`crowd_links`, which joins the same without copying each to every block.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sets = None, [], []
-        found: list[tuple[int, int]] = []
-
-        def ready() -> pa.RecordBatch:
-            sides = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
-            found.clear()
-            return pa.RecordBatch.from_arrays(sides, ["a", "b"])
-
-        for batch in slices(batches):
-            words = batch.column("words")
-            marks = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "unit")))
-            for row, (cluster, i, j, unit) in enumerate(marks):
-                if (cluster, i, j) != at:
-                    if len(ids) > 1:
-                        found.extend(linked_sets(ids, sets, similarity))
-                    at, ids, sets = (cluster, i, j), [], []
-                ids.append(unit)
-                sets.append(np.asarray(words[row].values))
-            yield ready()
-        if len(ids) > 1:
-            found.extend(linked_sets(ids, sets, similarity))
-        yield ready()
-
-    blocks = F.when(F.col("units") <= GROUP_UNITS, 1).otherwise(F.ceil(F.col("units") * 2 / GROUP_UNITS)).cast("int")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("units")).select(F.col("cluster").alias("c"), blocks.alias("blocks"))
-    dealt = members.join(sizes, F.col("cluster") == F.col("c")).join(contents, F.col("u") == F.col("unit"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "unit", "words")
-    ordered = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "unit")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    def compare(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        return linked_sets(ids, sets, similarity)
+
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("units")).select(F.col("cluster").alias("c"), "units")
+    if sizes.where(F.col("units") > GROUP_UNITS).isEmpty():
+        return compared(members.join(contents, F.col("u") == F.col("unit")).select(F.struct("cluster").alias("g"), "u", "words"), compare)
+    held = members.join(sizes, F.col("cluster") == F.col("c")).join(contents, F.col("u") == F.col("unit"))
+    held = held.select("cluster", "u", "units", "words")
+    small = held.where(F.col("units") <= GROUP_UNITS).select(F.struct("cluster").alias("g"), "u", "words")
+    large = held.where(F.col("units") > GROUP_UNITS).select("cluster", "u", F.lit(max(GROUP_UNITS // 2, 1)).alias("room"), "words")
+    return compared(small, compare).union(crowd_links(large, compare, similarity))
 
 
 def _members(roots: DataFrame) -> DataFrame:

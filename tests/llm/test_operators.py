@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, jaccard, mixing, neighbours, pages, pii, quality, substrings, token_counts, toxicity
+from pairforge.llm import bpe, crowds, jaccard, mixing, neighbours, pages, pii, quality, substrings, token_counts, toxicity
 from pairforge.llm.queries import PATTERN, RANKS
 
 RANK_TABLE = bpe.read_ranks(RANKS)
@@ -584,3 +584,28 @@ def test_empty_tables(spark, edge):
         pii.remove_pii(none), jaccard.drop_similar(none), jaccard.drop_similar(none, 5, 80), quality.drop_rejected(none),
     )
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+@pytest.mark.parametrize(("n", "changed"), [(300, 3), (600, 3), (300, 9)])
+def test_a_crowd_is_joined_without_copying_each_set_to_every_block(spark, monkeypatch, n, changed):
+    rng = np.random.default_rng(n + changed)
+    base = rng.integers(1 << 60, size=(3, 60))
+    sets = [(0, i, 8, sorted({*(base[i % 3] if i % 5 else rng.integers(1 << 60, size=60)).tolist()[changed * (i % 5) // 4 :], *rng.integers(1 << 60, size=changed).tolist()})) for i in range(n)]
+    rows = spark.createDataFrame(sets, "cluster bigint, u bigint, room int, words array<bigint>")
+    met = []
+    plain = crowds.compared
+    monkeypatch.setattr(crowds, "compared", lambda groups, compare: met.append(groups.count()) or plain(groups, compare))
+    links = crowds.crowd_links(rows, lambda ids, held: substrings.linked_sets(ids, held, 0.8), 0.8).collect()
+
+    def parts(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i in range(n) if root[i] == r) for r in set(root)}
+
+    held = [set(s[3]) for s in sets]
+    near = [(a, b) for a in range(n) for b in range(a) if len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])]
+    assert parts(links) == parts(near)
+    if changed == 3:
+        assert sum(met) < 8 * n  # in blocks of 16 sets that all meet each other: n * n / 8, 37 or 75 for each set
