@@ -14,6 +14,7 @@ from xxhash import xxh3_64_intdigest
 from ..session import brief_shuffles, scratch_path, stored
 from .common import fresh, only, sieve, slices, texts
 from .components import components
+from .crowds import crowd_links
 from .hashing import Words, mix, shingles
 
 #: Sizes of heavy sets are cut into ranges of this ratio; each has its own number of blocks.
@@ -315,50 +316,51 @@ def _candidates(docs: DataFrame, path: str) -> DataFrame:
     return pairs.union(_part(docs, path, 2).select(F.col("set_id").alias("a"), F.col("other").alias("b")))
 
 
+def _forest(ids: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
+    """Links that join the sets whose similarity is p/q or more: all pairs are compared, of those alike a spanning forest is returned."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[word] > 1  # what one set alone has is in no intersection
+    if not several.any():
+        return []
+    owner, word = owner[several], (np.cumsum(times > 1) - 1)[word[several]]
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    # columns in lots, so that the matrix stays small whatever the sets' sizes
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    for low in range(0, int(word[-1]) + 1, 8192):
+        part = slice(*np.searchsorted(word, [low, low + 8192]))
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[owner[part], word[part] - low] = 1
+        both += has @ has.T
+    same = np.rint(both).astype(np.int64)
+    near = np.triu(q * same >= p * (n[:, None] + n[None, :] - same), 1)
+    found = []
+    for x, y in zip(*np.nonzero(near)):
+        rx, ry = find(int(x)), find(int(y))
+        if rx != ry:
+            root[rx] = ry
+            found.append((ids[x], ids[y]))
+    return found
+
+
 def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
     """``a, b``: links that join, group by group, the sets that the threshold links.
 
-    ``groups`` has ``cluster, i, j, set_id, text``. All sets of a group are compared by
+    ``groups`` has ``cluster, set_id, text``. All sets of a group are compared by
     the exact size of their intersections, and of the links found a spanning forest is
     returned: fewer than sets, never all pairs.
     """
 
-    def forest(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        n = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), n)
-        _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        several = times[word] > 1  # what one set alone has is in no intersection
-        if not several.any():
-            return [], []
-        owner, word = owner[several], (np.cumsum(times > 1) - 1)[word[several]]
-        root = list(range(len(sets)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        # columns in lots, so that the matrix stays small whatever the sets' sizes
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(word, kind="stable")
-        owner, word = owner[order], word[order]
-        for low in range(0, int(word[-1]) + 1, 8192):
-            part = slice(*np.searchsorted(word, [low, low + 8192]))
-            has = np.zeros((len(sets), 8192), np.float32)
-            has[owner[part], word[part] - low] = 1
-            both += has @ has.T
-        same = np.rint(both).astype(np.int64)
-        near = np.triu(q * same >= p * (n[:, None] + n[None, :] - same), 1)
-        left, right = [], []
-        for x, y in zip(*np.nonzero(near)):
-            rx, ry = find(int(x)), find(int(y))
-            if rx != ry:
-                root[rx] = ry
-                left.append(ids[x])
-                right.append(ids[y])
-        return left, right
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words(REMEMBERED)
         at, ids, sets = None, [], []
@@ -367,8 +369,9 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
 
         def close() -> None:
             if len(ids) > 1:
-                for out, found in zip((left, right), forest(ids, sets)):
-                    out.extend(found)
+                for a, b in _forest(ids, sets, p, q):
+                    left.append(a)
+                    right.append(b)
 
         def ready() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -377,11 +380,11 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
             return batch
 
         for batch in slices(batches, 64):
-            marks = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "set_id", "text")))
-            for cluster, i, j, set_id, text in marks:
-                if (cluster, i, j) != at:
+            marks = zip(*(batch.column(c).to_pylist() for c in ("cluster", "set_id", "text")))
+            for cluster, set_id, text in marks:
+                if cluster != at:
                     close()
-                    at, ids, sets = (cluster, i, j), [], []
+                    at, ids, sets = cluster, [], []
                 if not ids or ids[-1] != set_id:  # repeated rows stand side by side
                     ids.append(set_id)
                     sets.append(np.unique(shingles(hashed(text), n_words)))
@@ -390,7 +393,7 @@ def _linked(groups: DataFrame, n_words: int, p: int, q: int) -> DataFrame:
         yield ready()
         pa.default_memory_pool().release_unused()
 
-    ordered = groups.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "set_id")
+    ordered = groups.repartition("cluster").sortWithinPartitions("cluster", "set_id")
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -404,9 +407,9 @@ def similar_sets(
     2. Sets get the keys of :class:`Signatures`; sets that share a key are joined to a
        cluster by one pair each, never all pairs, and clusters are closed by components.
     3. Linked sets are now in one cluster. Only sets of clusters of two or more fetch their
-       text. A cluster is cut by size, since sets of very different sizes cannot link, and
-       dealt into blocks of bounded size; each pair of blocks is compared exactly, so a very
-       large cluster is many tasks and no link is lost.
+       text. A cluster is cut by size, since sets of very different sizes cannot link. All
+       pairs of a small part are compared; a large one goes to :func:`crowd_links`, which is
+       many tasks, copies no text to each of them, and loses no link.
     4. Components of the links.
     """
     rows = only(docs, doc_id=(id_col, "bigint"), text=(text_col, "string"))
@@ -429,20 +432,40 @@ def similar_sets(
     sizes = placed.groupBy("cluster", "g").agg(
         F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.count_if(F.col("range") == F.col("g")).alias("own")
     )
-    blocks = F.ceil(F.greatest(F.col("sets") * 2 / GROUP_SETS, F.col("shingles") * 2 / GROUP_SHINGLES))
-    blocks = F.when((F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES), 1).otherwise(blocks)
-    sizes = sizes.where("own > 0 and sets > 1").select("cluster", "g", blocks.cast("int").alias("blocks"))
+    # sets of a group that one task compares at a time, 0 if it is the whole group
+    whole = (F.col("sets") <= GROUP_SETS) & (F.col("shingles") <= GROUP_SHINGLES)
+    room = F.least(F.lit(GROUP_SETS / 2), F.col("sets") * GROUP_SHINGLES / F.col("shingles") / 2)
+    room = F.when(whole, 0).otherwise(F.greatest(F.floor(room), F.lit(1))).cast("int")
+    sizes = sizes.where("own > 0 and sets > 1").select("cluster", "g", room.alias("room"))
     targets = placed.select("cluster", "set_id", "g").join(sizes.hint("merge"), ["cluster", "g"])
-    targets = targets.groupBy("set_id").agg(F.collect_list(F.struct(F.xxhash64("cluster", "g").alias("cluster"), "blocks")).alias("targets"))
+    targets = targets.groupBy("set_id").agg(F.collect_list(F.struct(F.xxhash64("cluster", "g").alias("cluster"), "room")).alias("targets"))
     wanted = stored(members.select("set_id", "at", "id").join(targets.hint("merge"), "set_id"), "wanted")
     # the same kind of join at every size: with the filter before it, few texts move
     fetched = sieve(rows, "address", wanted, "at")[0].join(
         wanted.hint("merge"), (F.col("address") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    ).select("set_id", "text", F.explode("targets").alias("t"))
-    dealt = fetched.select("set_id", "text", "t.cluster", "t.blocks").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "set_id", "text")
-    return held, components(_linked(dealt, n_words, p, q))
+    )
+    single = lambda x: x["room"] == 0
+    small = fetched.select("set_id", "text", F.explode(F.filter("targets", single)).alias("t")).select("t.cluster", "set_id", "text")
+    links = _linked(small, n_words, p, q)
+    if not wanted.where(F.exists("targets", lambda x: ~single(x))).isEmpty():
+        large = fetched.select("set_id", "text", F.filter("targets", lambda x: ~single(x)).alias("t")).where(F.size("t") > 0)
+        links = links.union(crowd_links(_sets(large, n_words), lambda ids, sets: _forest(ids, sets, p, q), p / q))
+    return held, components(links)
+
+
+def _sets(rows: DataFrame, n_words: int) -> DataFrame:
+    """``cluster, u, room, words`` of ``rows(set_id, text, t)``, ``t`` the clusters of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Words(REMEMBERED)
+        for batch in slices(batches, 64):
+            sets = [np.unique(shingles(hashed(text), n_words)).view(np.int64) for text in texts(batch)]
+            words = pa.array(sets, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), words, batch.column("t")], ["u", "words", "t"])
+        pa.default_memory_pool().release_unused()
+
+    made = rows.mapInArrow(run, "u bigint, words array<bigint>, t array<struct<cluster:bigint,room:int>>")
+    return made.select("u", "words", F.explode("t").alias("t")).select("t.cluster", "u", "t.room", "words")
 
 
 def jaccard_groups(
