@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import overlap, sequences
+from pairforge.functions import text as text_fns
+from pairforge.functions.stemming import stem
 from pairforge.operators import nbest, scoring
 
 PAIRS = [("the cat sat on the mat", "the cat is on the mat"), ("a b c d", "a b c d"), ("x", "y z")]
@@ -156,3 +158,33 @@ def test_equal_sides_need_no_helper(spark):
     assert [r["n"] for r in ids.select(sequences.positional_hits(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 1, 0]
     same = spark.createDataFrame([([1, 2], [1, 2]), ([1, 3], [1, 2])], "hyp_ids array<int>, ref_ids array<int>")
     assert scoring.block_accuracy(same).first()["token_accuracy"] == 0.75
+
+
+@pytest.mark.parametrize("alphabet", ["ab ", "abcdefgh é日 .,-1&;", "".join(map(chr, range(200, 700))) + " " * 50])
+@pytest.mark.parametrize("longest", [5, 80, 300])
+def test_many_pairs_at_once_count_like_each_pair_alone(alphabet, longest):
+    rng = random.Random(longest)
+    text = lambda: "".join(rng.choices(alphabet, k=rng.randint(0, longest)))
+    hyp = [text() for _ in range(200)]
+    ref = ["".join(c if rng.random() > 0.1 else rng.choice(alphabet) for c in h) if k % 3 else text() for k, h in enumerate(hyp)]
+
+    def alone(h, r):
+        a, b = ([stem(w) if len(w) > 3 else w for w in overlap.rouge_words(t)] for t in (h, r))
+        x, y = h.split(), r.split()
+        return [
+            *overlap.clipped(overlap.bleu_words(h), overlap.bleu_words(r), 4), *overlap.clipped("".join(x), "".join(y), 6), *overlap.clipped(x, y, 4),
+            *overlap.clipped(a, b, 2), overlap.common_subsequence(a, b),
+            overlap.edit_distance(h.strip(" "), r.strip(" ")), len(r.strip(" ")), overlap.edit_distance(x, y), len(y),
+            sum(p == q for p, q in zip(x, y)), min(len(x), len(y)),
+        ]
+
+    parts = ["bleu", "chrf", "gram", "rouge", "edits", "agree"]
+    for long in ((2_000, 1_000), (40, 8)):
+        assert overlap.pair_counts(hyp, ref, parts, long).tolist() == [alone(h, r) for h, r in zip(hyp, ref)]
+    assert overlap.pair_counts(hyp, [None] * len(hyp), parts).tolist() == [alone(h, h) for h in hyp]
+
+
+def test_texts_are_cut_into_words_as_in_columns(spark):
+    texts = ["a-\nb 3-4 x.y 1.5, &quot;q&amp;<skipped>\n", " K İ ÉA'b\u2028c\xa0d\x1ce", "e.g. (a) [b] {c}~`^_", "plain words", "", "日本。.,5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text_fns.bleu_tokens(F.col("t")), text_fns.rouge_tokens(F.col("t")), text_fns.split_words(F.col("t"))).collect()
+    assert [tuple(r) for r in rows] == [(overlap.bleu_words(t), overlap.rouge_words(t), t.split()) for t in texts]
