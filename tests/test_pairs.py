@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import noise
-from pairforge.functions.rng import key_of
+from pairforge.functions import text as text_fns
+from pairforge.functions.rng import digest, key_of, uniform
 from pairforge.operators import batching, bpe, bpe_training, corpus, encode, indexing, joins, pairs, splits, vocab
 from pairforge.session import stored
 
@@ -376,3 +377,16 @@ def test_items_of_a_block_are_dealt_once(spark, monkeypatch):
     want = {r["ex_id"]: [words.index(w) if w != "only7" else -1 for w in r["text"].split()] for r in rows.collect()}
     assert {r["ex_id"]: r["ids"] for r in coded.collect()} == want
     assert "HashAggregate" not in plan_of(coded)
+
+
+@pytest.mark.parametrize("p", [0.0, 1 / 4294967296, 0.1470863195582148, 0.5, 1.0, 2.0])
+def test_the_sentence_gate_is_the_uniform_draw(spark, p):
+    rows = spark.range(500).select(key_of(7, F.col("id")).alias("k"))
+    wrong = rows.where(noise._gate(F.col("k"), p) != (uniform(digest(F.col("k")), 0) <= p))
+    assert wrong.count() == 0
+
+
+def test_squeezed_text_is_its_words_joined(spark):
+    rows = spark.createDataFrame([(" a\u2028\u00a0b\x1c c ",), ("",), ("\n\t",), ("a",), ("\u3000a  b",)], "t string")
+    wrong = rows.where(text_fns.squeeze(F.col("t")) != F.array_join(text_fns.split_words(F.col("t")), " "))
+    assert wrong.count() == 0
